@@ -12,7 +12,8 @@ from layerstack.operators.prepare import (
     scale_minmax,
     validate_features,
 )
-from layerstack.operators.profile import feature_column, feature_profile
+from layerstack.operators.profile import feature_profile
+from layerstack.operators.tables import feature_column
 
 __all__ = [
     "assemble_weights", "corrupt", "corrupt_fixed", "feature_column", "feature_profile",

@@ -17,7 +17,7 @@ from layerstack.operators.rules import Rules
 
 
 def features_block(column: pa.Array, width: int) -> np.ndarray:
-    """Arrow list column -> (rows, width) doubles; refuses nulls and other widths."""
+    """Arrow list column -> (rows, width) matrix; refuses nulls and other widths."""
     rows = len(column)
     values = column.flatten()
     if column.null_count or values.null_count:
@@ -25,17 +25,21 @@ def features_block(column: pa.Array, width: int) -> np.ndarray:
     sizes = np.diff(column.offsets.to_numpy())
     if rows and (sizes != width).any():
         raise ValueError(f"every row must have {width} features, found {set(sizes.tolist())}")
-    flat = values.to_numpy(zero_copy_only=False).astype("f8", copy=False)
-    return flat.reshape(rows, width)
+    return values.to_numpy(zero_copy_only=False).reshape(rows, width)
 
 
-def scale_block(x: np.ndarray, lo: np.ndarray | None, hi: np.ndarray | None) -> np.ndarray:
-    """Min-max scaling; a constant feature becomes 0."""
-    if lo is None:
-        return x
+def scale_block(x: np.ndarray, ranges: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Doubles scaled by (lo, hi) ranges; a constant feature becomes 0."""
+    if ranges is None:
+        return x.astype("f8", copy=False)
+    lo, hi = ranges
     span = hi - lo
     flat = span == 0
-    return np.where(flat, 0.0, (x - lo) / np.where(flat, 1.0, span))
+    y = x - lo
+    y /= np.where(flat, 1.0, span)
+    if flat.any():
+        y[:, flat] = 0.0
+    return y
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -24,19 +24,19 @@ from layerstack.operators.blocks import (
     sigmoid,
     target_of,
 )
-from layerstack.operators.sums import Shared, narrow_to, read_blocks
+from layerstack.operators.tables import Shared, Source
 
 
-def mean_activation(blocks: DataFrame, width: int, shared: Shared, upto: int,
-                    tasks: int) -> DataFrame:
+def mean_activation(source: Source, shared: Shared, upto: int, tasks: int) -> DataFrame:
     """`(unit, p, m)`: mean activation of every unit of layer `upto`, and the row count."""
     schema = "unit int, s double, m bigint"
     arrow = pa.schema([("unit", pa.int32()), ("s", pa.float64()), ("m", pa.int64())])
+    read = source.read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = shared.get()
         total, rows = None, 0
-        for x, _ in read_blocks(batches, width):
+        for x, _ in read(batches):
             s = stack.encode(x, upto).sum(axis=0)
             total = s if total is None else total + s
             rows += len(x)
@@ -51,7 +51,7 @@ def mean_activation(blocks: DataFrame, width: int, shared: Shared, upto: int,
             )
 
     return (
-        narrow_to(blocks, tasks)
+        source.narrowed(tasks)
         .mapInArrow(run, schema)
         .groupBy("unit")
         .agg((F.sum("s") / F.sum("m")).alias("p"), F.sum("m").alias("m"))
@@ -128,10 +128,11 @@ class _Nudged:
 
 
 def _entry_rows(
-    blocks: DataFrame, width: int, shared: Shared, layer: int, eps: float | None, tasks: int
+    source: Source, shared: Shared, layer: int, eps: float | None, tasks: int
 ) -> DataFrame:
     """Partial gradients (and, with eps, nudged losses) of one layer, one row per entry and
     task."""
+    read = source.read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = shared.get()
@@ -139,7 +140,7 @@ def _entry_rows(
         total, rows = None, 0
         enc = {c: np.zeros(w.shape) for c in ("plus", "minus", "active_plus", "active_minus")}
         dec = {c: np.zeros(s.shape) for c in ("plus", "minus")}
-        for x, keys in read_blocks(batches, width):
+        for x, keys in read(batches):
             x = stack.encode(x, layer - 1)
             sums = layer_sums(x, keys, w, s, spec)
             parts = (sums.encoder, sums.decoder, sums.active, sums.lever)
@@ -169,7 +170,7 @@ def _entry_rows(
 
     sums = ("g", "lever", "active", "plus", "minus", "active_plus", "active_minus", "m")
     return (
-        narrow_to(blocks, tasks)
+        source.narrowed(tasks)
         .mapInArrow(run, _ENTRY_SCHEMA)
         .groupBy("role", "i", "j")
         .agg(F.max("w").alias("w"), *[F.sum(c).alias(c) for c in sums])
@@ -186,17 +187,17 @@ def _penalty(spec: LayerSpec, target: float, beta: float) -> Column:
 
 
 def layer_gradients(
-    blocks: DataFrame, width: int, shared: Shared, layer: int, spec: LayerSpec,
+    source: Source, shared: Shared, layer: int, spec: LayerSpec,
     target: float, beta: float, tasks: int,
 ) -> DataFrame:
     """`(role, i, j, g, m)`: gradient of a layer's matrices, summed over rows."""
-    rows = _entry_rows(blocks, width, shared, layer, None, tasks)
+    rows = _entry_rows(source, shared, layer, None, tasks)
     return rows.select("role", "i", "j", (F.col("g") + _penalty(spec, target, beta)).alias("g"),
                        "m")
 
 
 def checked_gradients(
-    blocks: DataFrame, width: int, shared: Shared, layer: int, spec: LayerSpec,
+    source: Source, shared: Shared, layer: int, spec: LayerSpec,
     target: float, beta: float, lmbda: float, eps: float, tasks: int,
 ) -> DataFrame:
     """`(role, i, j, analytic, numeric, difference)` for every weight of a layer.
@@ -209,7 +210,7 @@ def checked_gradients(
     bias = F.col("i") == 0
     l2 = F.when(bias, 0.0).otherwise(lmbda * F.col("w"))
     m = F.col("m")
-    rows = _entry_rows(blocks, width, shared, layer, eps, tasks)
+    rows = _entry_rows(source, shared, layer, eps, tasks)
     numeric = (F.col("plus") - F.col("minus")) / m / (2 * eps)
     if spec.method == "sparse" and spec.rules.beta_power == 1:
         up = kl_term(F.col("active_plus") / m, target)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerstack.operators.sums import check_model_bytes
+from layerstack.operators.tables import check_model_bytes
 
 MODEL_SCHEMA = "layer int, role string, n_in int, n_out int, weights array<double>"
 _MODEL_ARROW = pa.schema(

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerstack.operators.profile import checked_profile, feature_column
+from layerstack.operators.profile import checked_profile
 from layerstack.operators.randoms import fixed_mask, keep_threshold
+from layerstack.operators.tables import feature_column
 
 
 def _literal(values: np.ndarray) -> Column:

@@ -7,28 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from layerstack.operators.sums import narrow_to, task_bound
-
-
-def feature_column(df: DataFrame, features: str | list[str]) -> Column:
-    """Features as an array column: an array, an ML vector, or a list of numeric columns."""
-    if isinstance(features, (list, tuple)):
-        return F.array(*[F.col(c).cast("double") for c in features])
-    kind = df.schema[features].dataType
-    if isinstance(kind, VectorUDT):
-        return vector_to_array(F.col(features))
-    if isinstance(kind, T.ArrayType):
-        if isinstance(kind.elementType, (T.DoubleType, T.FloatType)):
-            return F.col(features)
-        return F.col(features).cast("array<double>")
-    raise TypeError(f"column {features!r} is {kind.simpleString()}, not an array or vector")
 
+from layerstack.operators.tables import feature_column, task_bound
 
 _SCHEMA = "feature int, lo double, hi double, n bigint, bad bigint"
 _ARROW = pa.schema(
@@ -79,8 +61,21 @@ class _Running:
         self.lo[:width] = np.minimum(self.lo[:width], np.where(good, x, np.inf).min(axis=0))
         self.hi[:width] = np.maximum(self.hi[:width], np.where(good, x, -np.inf).max(axis=0))
 
+    def add_block(self, rows: int, null_rows: int, bad: int, lo: bytes, hi: bytes) -> None:
+        """Take in what `pack` stored with a block; its defects are booked on feature 0."""
+        self.rows += rows + null_rows
+        self.null_rows += null_rows
+        width = len(lo) // 8 if lo else 0
+        if not width:
+            return
+        self._grow(width)
+        self.n[:width] += rows
+        self.bad[0] += bad
+        self.lo[:width] = np.fmin(self.lo[:width], np.frombuffer(lo))
+        self.hi[:width] = np.fmax(self.hi[:width], np.frombuffer(hi))
+
     def batch(self) -> pa.RecordBatch:
-        seen = self.n > self.bad
+        seen = np.isfinite(self.lo) | np.isfinite(self.hi)
         lo = [None, *[v if ok else None for v, ok in zip(self.lo.tolist(), seen)]]
         hi = [None, *[v if ok else None for v, ok in zip(self.hi.tolist(), seen)]]
         return pa.RecordBatch.from_arrays(
@@ -111,16 +106,15 @@ def feature_profile(df: DataFrame, features: str | list[str], max_tasks: int = 0
 
     tasks = task_bound(df.sparkSession, max_tasks)
     column = feature_column(df, features).alias("x")
-    return (
-        narrow_to(df.select(column), tasks)
-        .mapInArrow(run, _SCHEMA)
-        .groupBy("feature")
-        .agg(
-            F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-            F.sum("n").alias("n"),
-            F.sum("bad").alias("bad"),
-        )
+    return _merged(df.select(column).coalesce(tasks).mapInArrow(run, _SCHEMA))
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("feature").agg(
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.sum("n").alias("n"),
+        F.sum("bad").alias("bad"),
     )
 
 
@@ -136,7 +130,28 @@ def checked_profile(
     df: DataFrame, features: str | list[str], width: int = 0, max_tasks: int = 0
 ) -> Profile:
     """Profile of a table that can be trained on; raises for any row that cannot."""
-    found = feature_profile(df, features, max_tasks).collect()
+    return _checked(feature_profile(df, features, max_tasks), width)
+
+
+def block_profile(blocks: DataFrame, width: int = 0, max_tasks: int = 0) -> Profile:
+    """The same for a packed block table. It reads the figures stored with the blocks, not the
+    values: about a thousandth of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = _Running()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                running.add_block(*row)
+        if running.rows:
+            yield running.batch()
+
+    tasks = task_bound(blocks.sparkSession, max_tasks)
+    figures = blocks.select("rows", "null_rows", "bad", "lo", "hi").coalesce(tasks)
+    return _checked(_merged(figures.mapInArrow(run, _SCHEMA)), width)
+
+
+def _checked(profile: DataFrame, width: int) -> Profile:
+    found = profile.collect()
     head = [r for r in found if r.feature < 0]
     body = sorted((r for r in found if r.feature >= 0), key=lambda r: r.feature)
     if not head:
@@ -153,8 +168,8 @@ def checked_profile(
     bad = sum(r.bad for r in body)
     if bad:
         raise ValueError(f"{bad} feature values are null or NaN")
-    lo = np.array([r.lo for r in body])
-    hi = np.array([r.hi for r in body])
+    lo = np.array([r.lo for r in body], dtype="f8")
+    hi = np.array([r.hi for r in body], dtype="f8")
     if not (np.isfinite(lo).all() and np.isfinite(hi).all()):
         raise ValueError("feature values are infinite")
     return Profile(rows, len(body), lo, hi)

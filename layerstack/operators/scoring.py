@@ -26,7 +26,7 @@ from layerstack.operators.blocks import (
     target_of,
 )
 from layerstack.operators.randoms import fixed_mask
-from layerstack.operators.sums import Shared
+from layerstack.operators.tables import Shared
 
 
 @dataclass
@@ -38,6 +38,11 @@ class Stack:
     specs: list[LayerSpec]
     ranges: tuple[np.ndarray, np.ndarray] | None
 
+    def add(self, w: np.ndarray, s: np.ndarray, spec: LayerSpec) -> None:
+        self.weights.append(w)
+        self.decoders.append(s)
+        self.specs.append(spec)
+
     @property
     def width(self) -> int:
         return self.weights[0].shape[0] - 1
@@ -46,7 +51,7 @@ class Stack:
         return [*self.weights, *self.decoders, *(self.ranges or ())]
 
     def scaled(self, column: pa.Array) -> np.ndarray:
-        return scale_block(features_block(column, self.width), *(self.ranges or (None, None)))
+        return scale_block(features_block(column, self.width), self.ranges)
 
     def encode(self, x: np.ndarray, upto: int) -> np.ndarray:
         for w, spec in zip(self.weights[:upto], self.specs[:upto]):

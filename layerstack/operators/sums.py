@@ -1,146 +1,20 @@
-"""Row blocks, and sums of vectors over them.
-
-A block table has one row per matrix block of about a megabyte: `rows int`, `keys binary`
-(one int64 per row, or null) and `x binary` (float64, row-major). Training re-reads it once per
-epoch, and a block crosses from the JVM to Python as one memory copy.
-"""
+"""Sums of vectors over all blocks of a table."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from layerstack.operators.blocks import features_block, scale_block
+from layerstack.operators.tables import Source
 
-BLOCK_BYTES = 1 << 20
 # Largest total of partial sums that is brought to the driver directly.
 COLLECT_BYTES = 256 << 20
 # Largest group of partial chunks that one reducing task adds up.
 REDUCE_BYTES = 256 << 20
-# Weights above this size travel as a broadcast instead of inside the task closure.
-CLOSURE_BYTES = 1 << 20
-# Weights live on the driver and in every Python worker, so their size is bounded.
-MODEL_BYTES = 2 << 30
-# An epoch job has at most this many tasks (or four per core, if that is more).
-MIN_TASK_BOUND = 4096
-
-BLOCK_SCHEMA = "rows int, keys binary, x binary"
-_BLOCK_ARROW = pa.schema([("rows", pa.int32()), ("keys", pa.binary()), ("x", pa.binary())])
-
-
-def check_model_bytes(arrays: list[np.ndarray]) -> None:
-    size = sum(a.nbytes for a in arrays)
-    if size > MODEL_BYTES:
-        raise ValueError(f"weights take {size} bytes; at most {MODEL_BYTES} are supported")
-
-
-class Shared:
-    """A value for tasks: in the closure when small, else one broadcast."""
-
-    def __init__(self, spark: SparkSession, value: Any, arrays: list[np.ndarray]):
-        check_model_bytes(arrays)
-        large = sum(a.nbytes for a in arrays) > CLOSURE_BYTES
-        self._broadcast = spark.sparkContext.broadcast(value) if large else None
-        self._value = None if large else value
-
-    def get(self) -> Any:
-        return self._value if self._broadcast is None else self._broadcast.value
-
-    def close(self) -> None:
-        if self._broadcast is not None:
-            self._broadcast.destroy()
-
-
-def task_bound(spark: SparkSession, requested: int = 0) -> int:
-    """Number of partial sums a pass may produce: it follows the cluster, not the data."""
-    return requested or max(MIN_TASK_BOUND, 4 * spark.sparkContext.defaultParallelism)
-
-
-def narrow_to(df: DataFrame, tasks: int) -> DataFrame:
-    """At most `tasks` partitions, without a shuffle."""
-    return df.coalesce(tasks)
-
-
-def pack_blocks(
-    df: DataFrame,
-    features: Column,
-    width: int,
-    ranges: tuple[np.ndarray, np.ndarray] | None,
-    ids: list[str],
-) -> DataFrame:
-    """Block table of a feature column, scaled when ranges are given.
-
-    With id columns, the row key is their hash. Only the features and ids are read.
-    """
-    spark = df.sparkSession
-    lo, hi = ranges if ranges is not None else (None, None)
-    shared = Shared(spark, (lo, hi), [] if lo is None else [lo, hi])
-    key = F.xxhash64(*ids) if ids else F.lit(None).cast("bigint")
-    step = max(1, BLOCK_BYTES // (8 * max(width, 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lo, hi = shared.get()
-        for batch in batches:
-            x = scale_block(features_block(batch.column(0), width), lo, hi)
-            keys = batch.column(1).to_numpy(zero_copy_only=False) if ids else None
-            for at in range(0, len(x), step):
-                part = x[at : at + step]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([len(part)], pa.int32()),
-                        pa.array(
-                            [None if keys is None else keys[at : at + step].tobytes()],
-                            pa.binary(),
-                        ),
-                        pa.array([np.ascontiguousarray(part).tobytes()], pa.binary()),
-                    ],
-                    schema=_BLOCK_ARROW,
-                )
-
-    return df.select(features.alias("x"), key.alias("key")).mapInArrow(run, BLOCK_SCHEMA)
-
-
-def read_blocks(
-    batches: Iterator[pa.RecordBatch], width: int
-) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """(x, keys) of every block in a task."""
-    for batch in batches:
-        keys_column, x_column = batch.column(1), batch.column(2)
-        for i in range(batch.num_rows):
-            x = np.frombuffer(x_column[i].as_buffer(), dtype="f8").reshape(-1, width)
-            keys = None
-            if keys_column[i].is_valid:
-                keys = np.frombuffer(keys_column[i].as_buffer(), dtype="i8")
-            yield x, keys
-
-
-def map_blocks(
-    blocks: DataFrame, width: int, shared: Shared, f: Callable[[np.ndarray, Any], np.ndarray]
-) -> DataFrame:
-    """Replace the matrix of every block by `f(x, value)`; rows and keys stay."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = shared.get()
-        for x, keys in read_blocks(batches, width):
-            y = np.ascontiguousarray(f(x, value))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([len(y)], pa.int32()),
-                    pa.array([None if keys is None else keys.tobytes()], pa.binary()),
-                    pa.array([y.tobytes()], pa.binary()),
-                ],
-                schema=_BLOCK_ARROW,
-            )
-
-    return blocks.mapInArrow(run, BLOCK_SCHEMA)
-
 
 _PARTIAL_SCHEMA = "chunk int, bucket int, part int, v binary"
 _PARTIAL_ARROW = pa.schema(
@@ -149,14 +23,9 @@ _PARTIAL_ARROW = pa.schema(
 
 
 def _partial(chunk: int, bucket: int, part: int, v: np.ndarray) -> pa.RecordBatch:
+    places = [pa.array([n], pa.int32()) for n in (chunk, bucket, part)]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([chunk], pa.int32()),
-            pa.array([bucket], pa.int32()),
-            pa.array([part], pa.int32()),
-            pa.array([v.tobytes()], pa.binary()),
-        ],
-        schema=_PARTIAL_ARROW,
+        [*places, pa.array([v.tobytes()], pa.binary())], schema=_PARTIAL_ARROW
     )
 
 
@@ -179,7 +48,9 @@ def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _partial(*current, 0, total)
 
 
-def reduce_layout(partials: int, size: int, collect_bytes: int, reduce_bytes: int):
+def reduce_layout(
+    partials: int, size: int, collect_bytes: int, reduce_bytes: int
+) -> tuple[int, int]:
     """(buckets, chunk length) of the shuffle that shrinks partial vectors.
 
     What reaches the driver is `buckets` vectors, at most `collect_bytes` (or one vector); what
@@ -192,37 +63,41 @@ def reduce_layout(partials: int, size: int, collect_bytes: int, reduce_bytes: in
 
 
 def sum_blocks(
-    blocks: DataFrame,
-    width: int,
+    source: Source,
     size: int,
     f: Callable[[np.ndarray, np.ndarray | None], np.ndarray],
     partials: int,
     collect_bytes: int = COLLECT_BYTES,
     reduce_bytes: int = REDUCE_BYTES,
 ) -> np.ndarray | None:
-    """Sum of `f(x, keys)` (a vector of length `size`) over all blocks; None without rows.
+    """Sum of `f(block, keys)` (a vector of length `size`) over all blocks; None without rows.
 
-    Each task adds its blocks into one vector. When all those vectors together are small they
-    come straight to the driver; beyond that they are cut into chunks and added up by a shuffle
-    first. Partials are added in partition order, so a sum is repeatable.
+    Each task adds its blocks into one vector; there are at most `partials` tasks. When all
+    those vectors together are small they come straight to the driver; beyond that they are
+    cut into chunks and added up by a shuffle first. Partials are added in partition order, so
+    a sum is repeatable.
     """
     direct = partials * size * 8 <= collect_bytes
     buckets, length = (1, size) if direct else reduce_layout(
         partials, size, collect_bytes, reduce_bytes
     )
+    read = source.read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for x, keys in read_blocks(batches, width):
+        for x, keys in read(batches):
             v = f(x, keys)
-            total = v if total is None else total + v
+            if total is None:
+                total = v
+            else:
+                total += v
         if total is None:
             return
         part = TaskContext.get().partitionId()
         for chunk, at in enumerate(range(0, size, length)):
             yield _partial(chunk, part % buckets, part, total[at : at + length])
 
-    rows = narrow_to(blocks, partials).mapInArrow(run, _PARTIAL_SCHEMA)
+    rows = source.narrowed(partials).mapInArrow(run, _PARTIAL_SCHEMA)
     if not direct:
         groups = buckets * math.ceil(size / length)
         rows = (

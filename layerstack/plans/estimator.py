@@ -17,15 +17,19 @@ from pyspark.ml.util import (
     MLWriter,
 )
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from layerstack.functions.activations import ACTIVATIONS
 from layerstack.operators import gradients, matrices, scoring
-from layerstack.operators.profile import feature_column
 from layerstack.operators.randoms import keep_threshold
 from layerstack.operators.rules import METHODS, SEMANTICS
-from layerstack.operators.sums import Shared, task_bound
-from layerstack.plans.training import EpochReport, Settings, prepare_blocks, train
+from layerstack.operators.tables import (
+    Shared,
+    Source,
+    feature_column,
+    task_bound,
+    vector_source,
+)
+from layerstack.plans.training import EpochReport, Settings, train
 from layerstack.sources import weights as files
 
 HISTORY_SCHEMA = "layer int, epoch int, loss double, m bigint"
@@ -239,9 +243,12 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
         loss = scoring.loss_column(self._shared(), self._column(df), self._layer(upto))
         return df.withColumn(output, loss)
 
-    def _blocks(self, df: DataFrame) -> DataFrame:
-        ids = self._get("idCols") if self._stack.specs[0].keyed else []
-        return prepare_blocks(df, self._column(df), self._stack.width, self.ranges, ids)
+    def _source(self, df: DataFrame, masked: bool) -> Source:
+        keyed = masked and self._stack.specs[0].keyed
+        ids = self._get("idCols") if keyed else []
+        if keyed and not ids:
+            raise ValueError("denoising draws a mask per row: name the id columns in idCols")
+        return vector_source(df, self._features(), self._stack.width, self.ranges, ids)
 
     def _tasks(self) -> int:
         return task_bound(self._spark, self._get("maxTasks"))
@@ -249,7 +256,7 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
     def mean_activation(self, df: DataFrame, upto: int | None = None) -> DataFrame:
         """`(unit, p, m)`: mean activation per unit of layer `upto`."""
         return gradients.mean_activation(
-            self._blocks(df), self._stack.width, self._shared(), self._layer(upto),
+            self._source(df, False), self._shared(), self._layer(upto),
             self._tasks(),
         )
 
@@ -263,7 +270,7 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
         """`(role, i, j, g, m)`: gradient of a layer's matrices, summed over rows."""
         at = self._layer(layer)
         return gradients.layer_gradients(
-            self._blocks(df), self._stack.width, self._shared(), at, self._stack.specs[at - 1],
+            self._source(df, True), self._shared(), at, self._stack.specs[at - 1],
             self._get("sparsity"), self._get("beta"), self._tasks(),
         )
 
@@ -273,7 +280,7 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
         """`(role, i, j, analytic, numeric, difference)` for every weight of a layer."""
         at = self._layer(layer)
         return gradients.checked_gradients(
-            self._blocks(df), self._stack.width, self._shared(), at, self._stack.specs[at - 1],
+            self._source(df, True), self._shared(), at, self._stack.specs[at - 1],
             self._get("sparsity"), self._get("beta"), self._get("lmbda"), eps, self._tasks(),
         )
 

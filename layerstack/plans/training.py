@@ -7,23 +7,32 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from layerstack.operators.blocks import LayerSpec, Sums, encode_layer, layer_sums
-from layerstack.operators.profile import check_unit_range, checked_profile, feature_column
+from layerstack.operators.profile import (
+    Profile,
+    block_profile,
+    check_unit_range,
+    checked_profile,
+)
 from layerstack.operators.rules import Rules
 from layerstack.operators.scoring import Stack
-from layerstack.operators.sums import (
-    COLLECT_BYTES,
-    REDUCE_BYTES,
+from layerstack.operators.sums import COLLECT_BYTES, REDUCE_BYTES, sum_blocks
+from layerstack.operators.tables import (
     Shared,
+    Source,
+    block_source,
+    element_type,
     map_blocks,
-    pack_blocks,
-    sum_blocks,
+    pack,
     task_bound,
 )
 from layerstack.plans.update import Descent, initial_decoder, initial_encoder, sparsity
 
+# A table up to this size per core is cached in one partition per core.
+SMALL_BYTES_PER_CORE = 64 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -70,7 +79,8 @@ class BlockStore:
 
     `table` writes it to the shared folder of `spark.checkpoint.dir`: it survives lost
     executors and cuts the lineage. `cache` keeps it in executor memory and disk. `auto` takes
-    the table where the session names such a folder.
+    the table where the session names such a folder. A table small enough to be spread over
+    the cores is cached in any case.
     """
 
     def __init__(self, spark: SparkSession, storage: str):
@@ -92,12 +102,23 @@ class BlockStore:
             blocks.write.parquet(self._path)
             self._held = self._spark.read.schema(blocks.schema).parquet(self._path)
         else:
+            self._path = None
             self._held = blocks.persist(StorageLevel.MEMORY_AND_DISK)
             if previous is not None:
                 self._held.count()
         self._drop(previous, previous_path)
         return self._held
 
+    def spread(self, blocks: DataFrame) -> DataFrame:
+        """Cache a small table in one partition per core (the rows are few blocks)."""
+        previous, previous_path = self._held, self._path
+        cores = self._spark.sparkContext.defaultParallelism
+        self._held = blocks.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        self._held.count()
+        self._path = None
+        self._drop(previous, previous_path)
+        return self._held
+
     def close(self) -> None:
         self._drop(self._held, self._path)
         if self._root is not None:
@@ -118,27 +139,13 @@ class BlockStore:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread(blocks: DataFrame) -> DataFrame:
-    """Use all cores for a table that came in few partitions, hence is small."""
-    cores = blocks.sparkSession.sparkContext.defaultParallelism
-    if blocks.rdd.getNumPartitions() < cores:
-        return blocks.repartition(cores)
-    return blocks
-
-
-def prepare_blocks(
-    df: DataFrame, features: Column, width: int, ranges, ids: list[str]
-) -> DataFrame:
-    return pack_blocks(df, features, width, ranges, ids)
-
-
 def epoch_sums(
-    blocks: DataFrame, w: np.ndarray, s: np.ndarray, spec: LayerSpec, partials: int,
+    source: Source, w: np.ndarray, s: np.ndarray, spec: LayerSpec, partials: int,
     settings: Settings,
 ) -> Sums:
     """One full-batch pass: forward, backward and all sums, in a single job."""
     n, k = w.shape[0] - 1, w.shape[1]
-    shared = Shared(blocks.sparkSession, (w, s), [w, s])
+    shared = Shared(source.df.sparkSession, (w, s), [w, s])
 
     def block(x: np.ndarray, keys: np.ndarray | None) -> np.ndarray:
         w, s = shared.get()
@@ -146,7 +153,7 @@ def epoch_sums(
 
     try:
         total = sum_blocks(
-            blocks, n, Sums.size(n, k, spec.method == "sparse"), block, partials,
+            source, Sums.size(n, k, spec.method == "sparse"), block, partials,
             settings.collect_bytes, settings.reduce_bytes,
         )
     finally:
@@ -156,28 +163,32 @@ def epoch_sums(
     return Sums.unflatten(total, n, k)
 
 
-def train_layer(
-    blocks: DataFrame | None, n: int, k: int, layer: int, settings: Settings
-) -> tuple[np.ndarray, np.ndarray, list[EpochReport]]:
-    """Fixed number of epochs on one layer: (encoder, decoder, reports). Without epochs no
-    blocks are needed."""
+def start_layer(n: int, k: int, layer: int, settings: Settings) -> tuple[Descent, Descent]:
+    """Encoder and decoder of a layer before its first epoch."""
     rules = Rules.of(settings.semantics)
     w = initial_encoder(n, k, rules, settings.seed, layer)
-    encoder = Descent(w, settings.learning, settings.lmbda, rules)
-    decoder = Descent(initial_decoder(w), settings.learning, settings.lmbda, rules)
-    partials = 0
-    if settings.epochs:
-        bound = task_bound(blocks.sparkSession, settings.max_tasks)
-        partials = max(1, min(blocks.rdd.getNumPartitions(), bound))
+    return (
+        Descent(w, settings.learning, settings.lmbda, rules),
+        Descent(initial_decoder(w), settings.learning, settings.lmbda, rules),
+    )
+
+
+def train_layer(
+    source: Source, k: int, layer: int, settings: Settings
+) -> tuple[np.ndarray, np.ndarray, list[EpochReport]]:
+    """Fixed number of epochs on one layer: (encoder, decoder, reports)."""
+    encoder, decoder = start_layer(source.width, k, layer, settings)
+    bound = task_bound(source.df.sparkSession, settings.max_tasks)
+    partials = max(1, min(source.df.rdd.getNumPartitions(), bound))
     reports = []
     for epoch in range(settings.epochs):
         spec = replace(settings.spec(layer), epoch=epoch)
-        sums = epoch_sums(blocks, encoder.theta, decoder.theta, spec, partials, settings)
+        sums = epoch_sums(source, encoder.theta, decoder.theta, spec, partials, settings)
         loss = sums.loss / sums.rows
         gradient = sums.encoder
         if spec.method == "sparse":
             kl, pull = sparsity(
-                sums.active, sums.rows, settings.sparsity, settings.beta, rules.beta_power
+                sums.active, sums.rows, settings.sparsity, settings.beta, spec.rules.beta_power
             )
             loss += settings.beta * kl
             gradient = gradient + sums.lever * pull
@@ -189,40 +200,58 @@ def train_layer(
     return encoder.theta, s, reports
 
 
+def _ranges(profile: Profile, settings: Settings):
+    if settings.scaling:
+        return profile.lo, profile.hi
+    check_unit_range(profile)
+    return None
+
+
+def untrained(df: DataFrame, settings: Settings) -> Stack:
+    """Start weights and ranges only."""
+    profile = checked_profile(df, settings.features, settings.width, settings.max_tasks)
+    stack = Stack([], [], [], _ranges(profile, settings))
+    n = profile.width
+    for layer, k in enumerate(settings.hidden, 1):
+        encoder, decoder = start_layer(n, k, layer, settings)
+        stack.add(encoder.theta, decoder.theta, settings.spec(layer))
+        n = k
+    return stack
+
+
 def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
-    """Train all layers. Layer d reads the stored codes of layer d - 1, computed once: the
-    layers below never change while d trains."""
+    """Train all layers. The source is read once; layer d reads the stored codes of layer
+    d - 1, computed once: the layers below never change while d trains."""
+    if not settings.epochs:
+        return untrained(df, settings), []
     spark = df.sparkSession
-    profile = checked_profile(df, settings.features, settings.width, settings.max_tasks)
-    if not settings.scaling:
-        check_unit_range(profile)
-    ranges = (profile.lo, profile.hi) if settings.scaling else None
-    ids = settings.ids if settings.spec(1).keyed else []
-    stack = Stack([], [], [], ranges)
     reports: list[EpochReport] = []
     store = BlockStore(spark, settings.storage)
     try:
-        blocks, n = None, profile.width
+        ids = settings.ids if settings.spec(1).keyed else []
+        blocks = store.put(pack(df, settings.features, ids), 1)
+        profile = block_profile(blocks, settings.width, settings.max_tasks)
+        ranges = _ranges(profile, settings)
+        stack = Stack([], [], [], ranges)
+        cores = spark.sparkContext.defaultParallelism
+        if profile.rows * profile.width * 8 <= SMALL_BYTES_PER_CORE * cores:
+            blocks = store.spread(blocks.select("keys", "x"))
+        source = block_source(
+            blocks, profile.width, element_type(df, settings.features), ranges
+        )
         for layer, k in enumerate(settings.hidden, 1):
-            if settings.epochs and blocks is None:
-                features = feature_column(df, settings.features)
-                blocks = store.put(spread(prepare_blocks(df, features, n, ranges, ids)), layer)
-            elif settings.epochs:
-                blocks = store.put(_next_blocks(blocks, stack), layer)
-            w, s, found = train_layer(blocks, n, k, layer, settings)
-            stack.weights.append(w)
-            stack.decoders.append(s)
-            stack.specs.append(settings.spec(layer))
+            w, s, found = train_layer(source, k, layer, settings)
+            stack.add(w, s, settings.spec(layer))
             reports += found
-            n = k
+            if layer < len(settings.hidden):
+                codes = store.put(_codes(source, w, settings.spec(layer)), layer + 1)
+                source = block_source(codes, k, "f8", None)
     finally:
         store.close()
     return stack, reports
 
 
-def _next_blocks(blocks: DataFrame, stack: Stack) -> DataFrame:
+def _codes(source: Source, w: np.ndarray, spec: LayerSpec) -> DataFrame:
     """Codes of the layer just finished, as the block table of the next one."""
-    w, spec = stack.weights[-1], stack.specs[-1]
-    width = w.shape[0] - 1
-    shared = Shared(blocks.sparkSession, (w, spec), [w])
-    return map_blocks(blocks, width, shared, lambda x, value: encode_layer(x, *value))
+    shared = Shared(source.df.sparkSession, (w, spec), [w])
+    return map_blocks(source, shared, lambda x, value: encode_layer(x, *value))
