@@ -43,8 +43,11 @@ def scale_block(x: np.ndarray, ranges: tuple[np.ndarray, np.ndarray] | None) ->
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
+    y = np.negative(z)
     with np.errstate(over="ignore"):
-        return 1.0 / (1.0 + np.exp(-z))
+        np.exp(y, out=y)
+    y += 1.0
+    return np.reciprocal(y, out=y)
 
 
 def activate(z: np.ndarray, name: str) -> np.ndarray:
@@ -80,8 +83,14 @@ def cross_entropy(t: np.ndarray, p: np.ndarray, clamp: bool) -> np.ndarray:
     """Summed cross-entropy per row."""
     if clamp:
         p = np.clip(p, CLAMP, 1.0 - CLAMP)
+    off = 1.0 - p
     with np.errstate(divide="ignore", invalid="ignore"):
-        return -(t * np.log(p) + (1.0 - t) * np.log(1.0 - p)).sum(axis=1)
+        on = np.log(p)
+        np.log(off, out=off)
+        on *= t
+        off *= 1.0 - t
+        on += off
+    return -on.sum(axis=1)
 
 
 @dataclass(frozen=True)
@@ -149,11 +158,17 @@ class Sums:
     def size(n: int, k: int, sparse: bool) -> int:
         return 2 + (2 if sparse else 1) * (n + 1) * k + (k + 1) * n + k
 
-    def flatten(self) -> np.ndarray:
-        return np.concatenate(
-            [[self.rows, self.loss], self.encoder.ravel(), self.decoder.ravel(),
-             self.active, self.lever.ravel()]
-        )
+    def add_to(self, total: np.ndarray) -> None:
+        """Add to a flat vector in place."""
+        n, k = self.encoder.shape[0] - 1, self.encoder.shape[1]
+        views = Sums.unflatten(total, n, k)
+        total[0] += self.rows
+        total[1] += self.loss
+        for mine, theirs in (
+            (self.encoder, views.encoder), (self.decoder, views.decoder),
+            (self.active, views.active), (self.lever, views.lever),
+        ):
+            theirs += mine
 
     @staticmethod
     def unflatten(v: np.ndarray, n: int, k: int) -> Sums:

@@ -106,7 +106,8 @@ def feature_profile(df: DataFrame, features: str | list[str], max_tasks: int = 0
 
     tasks = task_bound(df.sparkSession, max_tasks)
     column = feature_column(df, features).alias("x")
-    return _merged(df.select(column).coalesce(tasks).mapInArrow(run, _SCHEMA))
+    parts = df.select(column).coalesce(tasks).mapInArrow(run, _SCHEMA)
+    return _merged(parts).drop("most")
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -115,6 +116,7 @@ def _merged(parts: DataFrame) -> DataFrame:
         F.max("hi").alias("hi"),
         F.sum("n").alias("n"),
         F.sum("bad").alias("bad"),
+        F.max("n").alias("most"),
     )
 
 
@@ -124,13 +126,14 @@ class Profile:
     width: int
     lo: np.ndarray
     hi: np.ndarray
+    heaviest: int  # rows of the fullest task of the pass
 
 
 def checked_profile(
     df: DataFrame, features: str | list[str], width: int = 0, max_tasks: int = 0
 ) -> Profile:
     """Profile of a table that can be trained on; raises for any row that cannot."""
-    return _checked(feature_profile(df, features, max_tasks), width)
+    return _checked(feature_profile(df, features, max_tasks).withColumn("most", F.col("n")), width)
 
 
 def block_profile(blocks: DataFrame, width: int = 0, max_tasks: int = 0) -> Profile:
@@ -172,7 +175,7 @@ def _checked(profile: DataFrame, width: int) -> Profile:
     hi = np.array([r.hi for r in body], dtype="f8")
     if not (np.isfinite(lo).all() and np.isfinite(hi).all()):
         raise ValueError("feature values are infinite")
-    return Profile(rows, len(body), lo, hi)
+    return Profile(rows, len(body), lo, hi, head[0].most)
 
 
 def check_unit_range(profile: Profile) -> None:

@@ -65,14 +65,14 @@ def reduce_layout(
 def sum_blocks(
     source: Source,
     size: int,
-    f: Callable[[np.ndarray, np.ndarray | None], np.ndarray],
+    add: Callable[[np.ndarray, np.ndarray, np.ndarray | None], None],
     partials: int,
     collect_bytes: int = COLLECT_BYTES,
     reduce_bytes: int = REDUCE_BYTES,
 ) -> np.ndarray | None:
-    """Sum of `f(block, keys)` (a vector of length `size`) over all blocks; None without rows.
+    """Sum of a vector of length `size` over all blocks; None without rows.
 
-    Each task adds its blocks into one vector; there are at most `partials` tasks. When all
+    Each task calls `add(total, block, keys)` to add its blocks into one vector; there are at most `partials` tasks. When all
     those vectors together are small they come straight to the driver; beyond that they are
     cut into chunks and added up by a shuffle first. Partials are added in partition order, so
     a sum is repeatable.
@@ -86,11 +86,9 @@ def sum_blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for x, keys in read(batches):
-            v = f(x, keys)
             if total is None:
-                total = v
-            else:
-                total += v
+                total = np.zeros(size)
+            add(total, x, keys)
         if total is None:
             return
         part = TaskContext.get().partitionId()

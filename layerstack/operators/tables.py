@@ -1,6 +1,6 @@
 """Row sources for passes over a table: feature columns as they are, or stored blocks.
 
-A block table has one row per matrix block of about a megabyte. Training re-reads it once per
+A block table has one row per matrix block of some hundred kilobytes. Training re-reads it once per
 epoch, and a block crosses from the JVM to Python as one memory copy. Values keep their source
 type (four bytes for float features) and are scaled when read, so that packing needs no
 earlier pass over the source: ranges and defects are stored with each block.
@@ -23,7 +23,10 @@ from pyspark.sql import types as T
 
 from layerstack.operators.blocks import features_block, scale_block
 
-BLOCK_BYTES = 1 << 20
+# A block fits a core's second-level cache, but holds enough rows for matrix products to pay.
+BLOCK_BYTES = 256 << 10
+BLOCK_ROWS = 256
+LARGE_BLOCK_BYTES = 32 << 20
 # Weights above this size travel as a broadcast instead of inside the task closure.
 CLOSURE_BYTES = 1 << 20
 # Weights live on the driver and in every Python worker, so their size is bounded.
@@ -86,8 +89,10 @@ def element_type(df: DataFrame, features: str | list[str]) -> str:
     return "f8"
 
 
-def _step(width: int) -> int:
-    return max(1, BLOCK_BYTES // (8 * max(width, 1)))
+def block_rows(width: int) -> int:
+    """Rows per block."""
+    row = 8 * max(width, 1)
+    return max(1, min(max(BLOCK_ROWS, BLOCK_BYTES // row), LARGE_BLOCK_BYTES // row))
 
 
 @dataclass(frozen=True)
@@ -106,7 +111,7 @@ class Source:
 def _read_vectors(
     batches: Iterator[pa.RecordBatch], width: int, ranges: Ranges, keyed: bool
 ) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    step = _step(width)
+    step = block_rows(width)
     for batch in batches:
         x = features_block(batch.column(0), width)
         keys = batch.column(1).to_numpy(zero_copy_only=False) if keyed else None
@@ -145,15 +150,13 @@ def block_source(blocks: DataFrame, width: int, dtype: str, ranges: Ranges) -> S
     return Source(blocks.select("keys", "x"), width, read)
 
 
-CODE_SCHEMA = "keys binary, x binary"
-_CODE_ARROW = pa.schema([("keys", pa.binary()), ("x", pa.binary())])
+CODE_SCHEMA = "rows int, keys binary, x binary"
+_CODE_ARROW = pa.schema([("rows", pa.int32()), ("keys", pa.binary()), ("x", pa.binary())])
 
-PACKED_SCHEMA = (
-    "rows int, width int, null_rows int, bad int, lo binary, hi binary, " + CODE_SCHEMA
-)
+PACKED_SCHEMA = CODE_SCHEMA + ", null_rows int, bad int, lo binary, hi binary"
 _PACKED_ARROW = pa.schema(
-    [("rows", pa.int32()), ("width", pa.int32()), ("null_rows", pa.int32()),
-     ("bad", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary()), *_CODE_ARROW]
+    [*_CODE_ARROW, ("null_rows", pa.int32()), ("bad", pa.int32()), ("lo", pa.binary()),
+     ("hi", pa.binary())]
 )
 
 
@@ -161,6 +164,10 @@ def _binary(values: np.ndarray | None) -> pa.Array:
     return pa.array([None if values is None else values.tobytes()], pa.binary())
 
 
+def _count(n: int) -> pa.Array:
+    return pa.array([n], pa.int32())
+
+
 def _packed(x: np.ndarray, keys: np.ndarray | None, null_rows: int) -> pa.RecordBatch:
     rows, width = x.shape
     bad = int(np.isnan(x).sum())
@@ -168,9 +175,10 @@ def _packed(x: np.ndarray, keys: np.ndarray | None, null_rows: int) -> pa.Record
     if rows and width:
         lo = np.fmin.reduce(x, axis=0).astype("f8")
         hi = np.fmax.reduce(x, axis=0).astype("f8")
-    counts = [pa.array([n], pa.int32()) for n in (rows, width, null_rows, bad)]
     return pa.RecordBatch.from_arrays(
-        [*counts, _binary(lo), _binary(hi), _binary(keys), _binary(x)], schema=_PACKED_ARROW
+        [_count(rows), _binary(keys), _binary(x), _count(null_rows), _count(bad), _binary(lo),
+         _binary(hi)],
+        schema=_PACKED_ARROW,
     )
 
 
@@ -200,7 +208,7 @@ def pack(df: DataFrame, features: str | list[str], ids: list[str]) -> DataFrame:
                 flat = same.flatten().to_numpy(zero_copy_only=False)
                 x = flat.astype(dtype, copy=False).reshape(len(chosen), width)
                 k = None if keys is None else keys[chosen]
-                step = _step(width)
+                step = block_rows(width)
                 for at in range(0, len(x), step):
                     yield _packed(
                         np.ascontiguousarray(x[at : at + step]),
@@ -223,6 +231,18 @@ def map_blocks(
         value = shared.get()
         for x, keys in read(batches):
             y = np.ascontiguousarray(f(x, value))
-            yield pa.RecordBatch.from_arrays([_binary(keys), _binary(y)], schema=_CODE_ARROW)
+            yield pa.RecordBatch.from_arrays(
+                [_count(len(y)), _binary(keys), _binary(y)], schema=_CODE_ARROW
+            )
 
     return source.df.mapInArrow(run, CODE_SCHEMA)
+
+
+def heaviest_task(blocks: DataFrame, tasks: int) -> tuple[int, int]:
+    """(rows of the fullest task, rows) of a pass over a block table; reads only the counts."""
+    loads = (
+        blocks.select("rows").coalesce(tasks)
+        .groupBy(F.spark_partition_id().alias("task")).agg(F.sum("rows").alias("rows"))
+    )
+    found = loads.agg(F.max("rows").alias("most"), F.sum("rows").alias("rows")).first()
+    return found.most or 0, found.rows or 0

@@ -22,15 +22,21 @@ from layerstack.operators.sums import COLLECT_BYTES, REDUCE_BYTES, sum_blocks
 from layerstack.operators.tables import (
     Shared,
     Source,
+    block_rows,
     block_source,
     element_type,
+    heaviest_task,
     map_blocks,
     pack,
     task_bound,
 )
 from layerstack.plans.update import Descent, initial_decoder, initial_encoder, sparsity
 
-# A table up to this size per core is cached in one partition per core.
+# A task with this many times its fair share of rows makes redistributing worth while.
+UNEVEN = 1.5
+# Size of a task after redistributing.
+TASK_BYTES = 128 << 20
+# A redistributed table up to this size per core stays in the cache.
 SMALL_BYTES_PER_CORE = 64 << 20
 
 
@@ -79,26 +85,32 @@ class BlockStore:
 
     `table` writes it to the shared folder of `spark.checkpoint.dir`: it survives lost
     executors and cuts the lineage. `cache` keeps it in executor memory and disk. `auto` takes
-    the table where the session names such a folder. A table small enough to be spread over
-    the cores is cached in any case.
+    the table where the session names such a folder, but caches a small table that it has to
+    redistribute anyway.
     """
 
-    def __init__(self, spark: SparkSession, storage: str):
+    def __init__(self, spark: SparkSession, settings: Settings):
         self._spark = spark
+        self._storage = settings.storage
+        self._tasks = task_bound(spark, settings.max_tasks)
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if storage == "table" and not folder:
+        if self._storage == "table" and not folder:
             raise ValueError("storage='table' needs spark.checkpoint.dir")
         self._root = None
-        if folder and storage in ("auto", "table"):
+        if folder and self._storage in ("auto", "table"):
             self._root = f"{folder.rstrip('/')}/layerstack-{uuid.uuid4().hex}"
         self._held: DataFrame | None = None
         self._path: str | None = None
 
-    def put(self, blocks: DataFrame, layer: int) -> DataFrame:
+    @property
+    def on_disk(self) -> bool:
+        return self._path is not None
+
+    def put(self, blocks: DataFrame, cached: bool = False) -> DataFrame:
         """Store the next block table and let go of the previous one."""
         previous, previous_path = self._held, self._path
-        if self._root is not None:
-            self._path = f"{self._root}/layer-{layer}"
+        if self._root is not None and not cached:
+            self._path = f"{self._root}/{uuid.uuid4().hex}"
             blocks.write.parquet(self._path)
             self._held = self._spark.read.schema(blocks.schema).parquet(self._path)
         else:
@@ -109,15 +121,20 @@ class BlockStore:
         self._drop(previous, previous_path)
         return self._held
 
-    def spread(self, blocks: DataFrame) -> DataFrame:
-        """Cache a small table in one partition per core (the rows are few blocks)."""
-        previous, previous_path = self._held, self._path
+    def balance(self, blocks: DataFrame, heaviest: int, rows: int, width: int) -> DataFrame:
+        """Redistribute blocks once if one task would hold up every epoch.
+
+        That happens with few or badly split source files, or one source with most of the
+        rows. A table whose tasks are even, as large tables mostly are, is not shuffled.
+        """
         cores = self._spark.sparkContext.defaultParallelism
-        self._held = blocks.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-        self._held.count()
-        self._path = None
-        self._drop(previous, previous_path)
-        return self._held
+        share = max(rows / cores, block_rows(width))
+        if heaviest <= UNEVEN * share:
+            return blocks
+        size = rows * width * 8
+        tasks = min(max(cores, size // TASK_BYTES), self._tasks)
+        small = self._storage == "auto" and size <= SMALL_BYTES_PER_CORE * cores
+        return self.put(blocks.select("rows", "keys", "x").repartition(tasks), cached=small)
 
     def close(self) -> None:
         self._drop(self._held, self._path)
@@ -147,13 +164,13 @@ def epoch_sums(
     n, k = w.shape[0] - 1, w.shape[1]
     shared = Shared(source.df.sparkSession, (w, s), [w, s])
 
-    def block(x: np.ndarray, keys: np.ndarray | None) -> np.ndarray:
+    def add(total: np.ndarray, x: np.ndarray, keys: np.ndarray | None) -> None:
         w, s = shared.get()
-        return layer_sums(x, keys, w, s, spec).flatten()
+        layer_sums(x, keys, w, s, spec).add_to(total)
 
     try:
         total = sum_blocks(
-            source, Sums.size(n, k, spec.method == "sparse"), block, partials,
+            source, Sums.size(n, k, spec.method == "sparse"), add, partials,
             settings.collect_bytes, settings.reduce_bytes,
         )
     finally:
@@ -226,16 +243,15 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
         return untrained(df, settings), []
     spark = df.sparkSession
     reports: list[EpochReport] = []
-    store = BlockStore(spark, settings.storage)
+    store = BlockStore(spark, settings)
+    tasks = task_bound(spark, settings.max_tasks)
     try:
         ids = settings.ids if settings.spec(1).keyed else []
-        blocks = store.put(pack(df, settings.features, ids), 1)
+        blocks = store.put(pack(df, settings.features, ids))
         profile = block_profile(blocks, settings.width, settings.max_tasks)
         ranges = _ranges(profile, settings)
         stack = Stack([], [], [], ranges)
-        cores = spark.sparkContext.defaultParallelism
-        if profile.rows * profile.width * 8 <= SMALL_BYTES_PER_CORE * cores:
-            blocks = store.spread(blocks.select("keys", "x"))
+        blocks = store.balance(blocks, profile.heaviest, profile.rows, profile.width)
         source = block_source(
             blocks, profile.width, element_type(df, settings.features), ranges
         )
@@ -244,8 +260,10 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
             stack.add(w, s, settings.spec(layer))
             reports += found
             if layer < len(settings.hidden):
-                codes = store.put(_codes(source, w, settings.spec(layer)), layer + 1)
-                source = block_source(codes, k, "f8", None)
+                blocks = store.put(_codes(source, w, settings.spec(layer)), not store.on_disk)
+                if store.on_disk:
+                    blocks = store.balance(blocks, *heaviest_task(blocks, tasks), k)
+                source = block_source(blocks, k, "f8", None)
     finally:
         store.close()
     return stack, reports
