@@ -33,8 +33,8 @@ class _Running:
     def _grow(self, width: int) -> None:
         more = width - len(self.lo)
         if more > 0:
-            self.lo = np.concatenate([self.lo, np.full(more, np.inf)])
-            self.hi = np.concatenate([self.hi, np.full(more, -np.inf)])
+            self.lo = np.concatenate([self.lo, np.full(more, np.nan)])
+            self.hi = np.concatenate([self.hi, np.full(more, np.nan)])
             self.n = np.concatenate([self.n, np.zeros(more, "i8")])
             self.bad = np.concatenate([self.bad, np.zeros(more, "i8")])
 
@@ -50,7 +50,7 @@ class _Running:
         width = int(sizes.max())
         self._grow(width)
         if (sizes == width).all():
-            x = values.reshape(-1, width)
+            x = values.reshape(len(sizes), width)
         else:  # ragged: NaN-pad here; the counts below tell the widths apart
             x = np.full((len(sizes), width), np.nan)
             x[np.arange(width)[None, :] < sizes[:, None]] = values
@@ -58,8 +58,7 @@ class _Running:
         good = ~np.isnan(x)
         self.n[:width] += present
         self.bad[:width] += present - good.sum(axis=0)
-        self.lo[:width] = np.minimum(self.lo[:width], np.where(good, x, np.inf).min(axis=0))
-        self.hi[:width] = np.maximum(self.hi[:width], np.where(good, x, -np.inf).max(axis=0))
+        self._widen(np.fmin.reduce(x, axis=0), np.fmax.reduce(x, axis=0))
 
     def add_block(self, rows: int, null_rows: int, bad: int, lo: bytes, hi: bytes) -> None:
         """Take in what `pack` stored with a block; its defects are booked on feature 0."""
@@ -71,11 +70,16 @@ class _Running:
         self._grow(width)
         self.n[:width] += rows
         self.bad[0] += bad
-        self.lo[:width] = np.fmin(self.lo[:width], np.frombuffer(lo))
-        self.hi[:width] = np.fmax(self.hi[:width], np.frombuffer(hi))
+        self._widen(np.frombuffer(lo), np.frombuffer(hi))
+
+    def _widen(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Extend the ranges; NaN stands for no value yet."""
+        width = len(lo)
+        self.lo[:width] = np.fmin(self.lo[:width], lo)
+        self.hi[:width] = np.fmax(self.hi[:width], hi)
 
     def batch(self) -> pa.RecordBatch:
-        seen = np.isfinite(self.lo) | np.isfinite(self.hi)
+        seen = ~np.isnan(self.lo)
         lo = [None, *[v if ok else None for v, ok in zip(self.lo.tolist(), seen)]]
         hi = [None, *[v if ok else None for v, ok in zip(self.hi.tolist(), seen)]]
         return pa.RecordBatch.from_arrays(

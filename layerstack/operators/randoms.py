@@ -70,12 +70,15 @@ def _rotate(x: np.ndarray, bits: int) -> np.ndarray:
 
 def _hash_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
     """xxHash of one 64-bit integer, as `xxhash64` in Spark SQL chains it."""
-    h = seed + _P5 + np.uint64(8)
-    h = h ^ (_rotate(value * _P2, 31) * _P1)
-    h = _rotate(h, 27) * _P1 + _P4
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
+    h = (seed + _P5 + np.uint64(8)) ^ (_rotate(value * _P2, 31) * _P1)
+    h = _rotate(h, 27)
+    h *= _P1
+    h += _P4
+    for shift, factor in ((33, _P2), (29, _P3), (32, None)):
+        h ^= h >> np.uint64(shift)
+        if factor is not None:
+            h *= factor
+    return h
 
 
 def keep_threshold(drop: float) -> int:
@@ -88,7 +91,8 @@ def keep_threshold(drop: float) -> int:
 def hash_mask(
     keys: np.ndarray, width: int, drop: float, layer: int, epoch: int, seed: int
 ) -> np.ndarray:
-    """0/1 mask (rows x width): a function of row key, feature, layer, epoch and seed.
+    """Which features to keep (rows x width): a function of row key, feature, layer, epoch and
+    seed.
 
     Equals `xxhash64(key, layer, epoch, seed, feature) >= threshold` in Spark SQL, all as
     bigint; `layerstack.operators.corrupt` uses that form.
@@ -98,4 +102,4 @@ def hash_mask(
         for part in (layer, epoch, seed):
             h = _hash_long(np.array(part, dtype="i8").astype("u8"), h)
         grid = _hash_long(np.arange(width, dtype="u8")[None, :], h[:, None])
-    return (grid.astype("i8") >= keep_threshold(drop)).astype("f8")
+    return grid.view("i8") >= keep_threshold(drop)
