@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import oracles as o
 from catalog.session import scratch, ship
-from layerstack import StackedAutoencoder, StackedAutoencoderModel
+from layerstack import (
+    StackedAutoencoder,
+    StackedAutoencoderModel,
+    check_gradients,
+    summarize_check,
+)
 from layerstack import functions as fn
 from layerstack import operators as op
 from layerstack.operators.randoms import fixed_mask
@@ -717,7 +721,8 @@ def weights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- gradient check --------------------------------------------------------------------------
 
 
-def _check_oracle(method: str, eps: float = 1e-3, lmbda: float = 1e-3, k: int = 2) -> str:
+def _check_oracle(method: str, eps: float = 1e-3, lmbda: float = 1e-3, k: int = 2,
+                  summary: bool = False) -> str:
     """Brute force: the whole mean loss for every weight moved up and down."""
     n = 4
     w = initial_encoder(n, k, STANDARD, 0, 1)
@@ -760,10 +765,16 @@ def _check_oracle(method: str, eps: float = 1e-3, lmbda: float = 1e-3, k: int =
         f"({at}, '{'encoder' if m == 'w' else 'decoder'}', {i}, {j})"
         for at, (m, i, j) in enumerate(cells)
     )
+    source = f"FROM cost JOIN (VALUES {labels}) AS n(cell, role, i, j) USING (cell)"
+    if summary:
+        return sql.render(
+            f"SELECT role, {o.rounded(f'sum(side * c) / {o.number(2 * eps)}')} AS numeric, "
+            f"true AS agree {source} GROUP BY role"
+        )
     return sql.render(
         "SELECT role, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, "
         f"{o.rounded(f'sum(side * c) / {o.number(2 * eps)}')} AS numeric, true AS agree "
-        f"FROM cost JOIN (VALUES {labels}) AS n(cell, role, i, j) USING (cell) GROUP BY role, i, j"
+        f"{source} GROUP BY role, i, j"
     )
 
 
@@ -782,6 +793,16 @@ for _method in ("regular", "sparse"):
     _register_check(_method)
 
 
+@register("check_gradients_summary", _check_oracle("regular", summary=True))
+def check_gradients_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    check = check_gradients(
+        lineitem(spark, sf_dir), hidden=[2], method="regular", lmbda=1e-3, **LINE
+    )
+    return summarize_check(check).select(
+        "role", r6("numeric").alias("numeric"), (F.abs("difference") < 1e-5).alias("agree")
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scale, train one layer for three epochs and encode."""
     ship(spark)

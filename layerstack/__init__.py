@@ -7,11 +7,17 @@ from layerstack.operators import (
     scale_minmax,
     validate_features,
 )
-from layerstack.plans import StackedAutoencoder, StackedAutoencoderModel, model_from_weights
+from layerstack.operators.gradients import summarize_check
+from layerstack.plans import (
+    StackedAutoencoder,
+    StackedAutoencoderModel,
+    check_gradients,
+    model_from_weights,
+)
 from layerstack.sources import import_text, read_features
 
 __all__ = [
-    "StackedAutoencoder", "StackedAutoencoderModel", "corrupt", "corrupt_fixed",
-    "feature_profile", "import_text", "model_from_weights", "read_features", "scale_minmax",
-    "validate_features",
+    "StackedAutoencoder", "StackedAutoencoderModel", "check_gradients", "corrupt",
+    "corrupt_fixed", "feature_profile", "import_text", "model_from_weights", "read_features",
+    "scale_minmax", "summarize_check", "validate_features",
 ]

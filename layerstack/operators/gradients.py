@@ -222,3 +222,14 @@ def checked_gradients(
     return rows.select(
         "role", "i", "j", analytic.alias("analytic"), (numeric + l2).alias("numeric")
     ).withColumn("difference", F.abs(F.col("analytic") - F.col("numeric")))
+
+
+def summarize_check(check: DataFrame) -> DataFrame:
+    """`(role, analytic, numeric, difference, largest)`: sums over a gradient check's entries,
+    and the largest difference of a single entry."""
+    return check.groupBy("role").agg(
+        F.sum("analytic").alias("analytic"),
+        F.sum("numeric").alias("numeric"),
+        (F.sum("numeric") - F.sum("analytic")).alias("difference"),
+        F.max("difference").alias("largest"),
+    )

@@ -1,7 +1,8 @@
 from layerstack.plans.estimator import (
     StackedAutoencoder,
     StackedAutoencoderModel,
+    check_gradients,
     model_from_weights,
 )
 
-__all__ = ["StackedAutoencoder", "StackedAutoencoderModel", "model_from_weights"]
+__all__ = ["StackedAutoencoder", "StackedAutoencoderModel", "check_gradients", "model_from_weights"]

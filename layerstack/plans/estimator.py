@@ -343,6 +343,11 @@ class _ModelReader(MLReader):
         return model._init(spark, stack, reports)
 
 
+def check_gradients(df: DataFrame, eps: float = 1e-3, **options) -> DataFrame:
+    """Gradient check of the start weights on the rows of a table, before any training."""
+    return StackedAutoencoder(epochs=0, **options).fit(df).check_gradients(df, 1, eps)
+
+
 def model_from_weights(
     spark: SparkSession,
     encoders: list[np.ndarray],

@@ -107,18 +107,25 @@ class BlockStore:
         return self._path is not None
 
     def put(self, blocks: DataFrame, cached: bool = False) -> DataFrame:
-        """Store the next block table and let go of the previous one."""
+        """Store the next block table and let go of the previous one.
+
+        A cached table is rebuilt from what it was made of when an executor is lost, so files
+        it came from stay until the end.
+        """
         previous, previous_path = self._held, self._path
         if self._root is not None and not cached:
             self._path = f"{self._root}/{uuid.uuid4().hex}"
             blocks.write.parquet(self._path)
             self._held = self._spark.read.schema(blocks.schema).parquet(self._path)
+            if previous_path is not None:
+                self._delete(previous_path)
         else:
             self._path = None
             self._held = blocks.persist(StorageLevel.MEMORY_AND_DISK)
             if previous is not None:
                 self._held.count()
-        self._drop(previous, previous_path)
+        if previous is not None and previous_path is None:
+            previous.unpersist()
         return self._held
 
     def balance(self, blocks: DataFrame, heaviest: int, rows: int, width: int) -> DataFrame:
@@ -132,24 +139,18 @@ class BlockStore:
         if heaviest <= UNEVEN * share:
             return blocks
         size = rows * width * 8
-        tasks = min(max(cores, size // TASK_BYTES), self._tasks)
+        pieces = -(-rows // block_rows(width))
+        tasks = min(max(cores, size // TASK_BYTES), pieces, self._tasks)
         small = self._storage == "auto" and size <= SMALL_BYTES_PER_CORE * cores
         return self.put(blocks.select("rows", "keys", "x").repartition(tasks), cached=small)
 
     def close(self) -> None:
-        self._drop(self._held, self._path)
+        if self._held is not None and self._path is None:
+            self._held.unpersist()
         if self._root is not None:
             self._delete(self._root)
         self._held = self._path = None
 
-    def _drop(self, held: DataFrame | None, path: str | None) -> None:
-        if held is None:
-            return
-        if path is None:
-            held.unpersist()
-        else:
-            self._delete(path)
-
     def _delete(self, path: str) -> None:
         sc = self._spark.sparkContext
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
