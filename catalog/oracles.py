@@ -186,7 +186,7 @@ class Layer:
         else:
             t = f"SELECT id, i - 1 AS g, v AS t FROM {source} WHERE i > 0"
         self.e = add("e", f"SELECT id, g, t, p, p - t AS e FROM {self.out} JOIN ({t}) USING (id, g)")
-        q = "greatest(least(p, 1e0 - 1e-14), 1e-14)" if rules.clamp else "p"
+        q = "greatest(least(p, 1e0 - 1e-14), 1e-14)" if rules.guard else "p"
         self.losses = add(
             "l", f"SELECT id, -sum(t * ln({q}) + (1e0 - t) * ln(1e0 - {q})) AS loss "
             f"FROM {self.e} GROUP BY id",

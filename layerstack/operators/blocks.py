@@ -198,7 +198,7 @@ def layer_sums(
     h = activate(z, spec.activation)
     out = sigmoid(decode_input(h, w, s, spec.tied))
     t = target_of(x, a, spec)
-    loss = cross_entropy(t, out, spec.rules.clamp).sum()
+    loss = cross_entropy(t, out, spec.rules.guard).sum()
     e = out - t
     slopes = slope(z, h, spec.activation)
     if spec.tied:

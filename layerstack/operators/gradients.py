@@ -108,7 +108,7 @@ class _Nudged:
         self.t = target_of(x, self.a, spec)
 
     def _loss(self, out: np.ndarray) -> float:
-        return float(cross_entropy(self.t, sigmoid(out), self.spec.rules.clamp).sum())
+        return float(cross_entropy(self.t, sigmoid(out), self.spec.rules.guard).sum())
 
     def encoder(self, i: int, j: int, by: float) -> tuple[float, float]:
         """Only unit j moves, so only its share of the output has to be redone."""
@@ -124,7 +124,7 @@ class _Nudged:
         """Only output j moves."""
         out = self.out[:, j] + (by if i == 0 else by * self.h[:, i - 1])
         p = sigmoid(out)[:, None]
-        return float(cross_entropy(self.t[:, j : j + 1], p, self.spec.rules.clamp).sum())
+        return float(cross_entropy(self.t[:, j : j + 1], p, self.spec.rules.guard).sum())
 
 
 def _entry_rows(

@@ -1,18 +1,19 @@
-"""Scaling, validation and corruption of feature tables as column expressions."""
+"""Scaling, validation and corruption of feature tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerstack.operators.blocks import features_block, scale_block
 from layerstack.operators.profile import checked_profile
-from layerstack.operators.randoms import fixed_mask, keep_threshold
-from layerstack.operators.tables import feature_column
-
-
-def _literal(values: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+from layerstack.operators.randoms import fixed_mask, hash_mask, keep_threshold
+from layerstack.operators.tables import feature_column, task_bound
+from layerstack.operators.vectors import keyed_vector_udf, vector_udf
 
 
 def scale_minmax(
@@ -28,17 +29,12 @@ def scale_minmax(
     if ranges is None:
         profile = checked_profile(df, features)
         ranges = (profile.lo, profile.hi)
-    lo, hi = ranges
-    span = hi - lo
+    width = len(ranges[0])
 
-    def one(v: Column, r: Column) -> Column:
-        return F.when(r["span"] == 0, 0.0).otherwise(
-            (v.cast("double") - r["lo"])
-            / F.when(r["span"] == 0, 1.0).otherwise(r["span"])
-        )
+    def scaled(column: pa.Array) -> np.ndarray:
+        return scale_block(features_block(column, width), ranges)
 
-    bounds = F.arrays_zip(_literal(lo).alias("lo"), _literal(span).alias("span"))
-    return df.withColumn(output, F.zip_with(feature_column(df, features), bounds, one))
+    return df.withColumn(output, vector_udf(scaled, feature_column(df, features)))
 
 
 def validate_features(
@@ -48,19 +44,33 @@ def validate_features(
 
     `bad_values` are nulls and NaN, `outside` are values below `low` or above `high`.
     """
-    x = feature_column(df, features)
-
-    def how_many(test) -> Column:
-        return F.coalesce(F.sum(F.size(F.filter(F.coalesce(x, F.array()), test))), F.lit(0))
-
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(x.isNull().cast("bigint")).alias("null_rows"),
-        F.min(F.when(x.isNotNull(), F.size(x))).alias("min_width"),
-        F.max(F.when(x.isNotNull(), F.size(x))).alias("max_width"),
-        how_many(lambda v: v.isNull() | F.isnan(v)).alias("bad_values"),
-        how_many(lambda v: ~F.isnan(v) & ((v < low) | (v > high))).alias("outside"),
-    )
+    names = ["rows", "null_rows", "min_width", "max_width", "bad_values", "outside"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    arrow = pa.schema(list(zip(names, types)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            nulls = column.null_count
+            rows, column = len(column), column.drop_null() if nulls else column
+            sizes = np.diff(column.offsets.to_numpy())
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            counts = [
+                rows, nulls, int(sizes.min()) if len(sizes) else None,
+                int(sizes.max()) if len(sizes) else None, int(np.isnan(values).sum()),
+                int(((values < low) | (values > high)).sum()),
+            ]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, counts))], schema=arrow)
+
+    schema = "rows bigint, null_rows bigint, min_width int, max_width int, bad_values bigint, " \
+             "outside bigint"
+    parts = df.select(feature_column(df, features).alias("x")).coalesce(
+        task_bound(df.sparkSession)
+    ).mapInArrow(run, schema)
+    total = {n: F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in names}
+    total["min_width"] = F.min("min_width").alias("min_width")
+    total["max_width"] = F.max("max_width").alias("max_width")
+    return parts.agg(*[total[n] for n in names])
 
 
 def corrupt(
@@ -80,21 +90,23 @@ def corrupt(
     """
     if not ids:
         raise ValueError("name the id columns: the mask is drawn per row")
-    threshold = F.lit(keep_threshold(drop)).cast("bigint")
-    run = [F.lit(v).cast("bigint") for v in (layer, epoch, seed)]
+    keep_threshold(drop)
 
-    def keep(v: Column, i: Column) -> Column:
-        h = F.xxhash64(F.col("__key"), *run, i.cast("bigint"))
-        return F.when(h >= threshold, v.cast("double")).otherwise(0.0)
+    def masked(column: pa.Array, key: pa.Array) -> np.ndarray:
+        width = len(column[0]) if len(column) else 0
+        keys = key.to_numpy(zero_copy_only=False)
+        return features_block(column, width) * hash_mask(keys, width, drop, layer, epoch, seed)
 
-    keyed = df.withColumn("__key", F.xxhash64(*ids))
-    return keyed.withColumn(output, F.transform(feature_column(df, features), keep)).drop("__key")
+    x = feature_column(df, features)
+    return df.withColumn(output, keyed_vector_udf(masked, x, F.xxhash64(*ids)))
 
 
 def corrupt_fixed(
     df: DataFrame, features: str | list[str], width: int, output: str = "corrupted"
 ) -> DataFrame:
     """Add a copy of the features under the one fixed mask of the reference semantics."""
-    x = feature_column(df, features)
-    mask = _literal(fixed_mask(width))
-    return df.withColumn(output, F.zip_with(x, mask, lambda v, m: v.cast("double") * m))
+
+    def masked(column: pa.Array) -> np.ndarray:
+        return features_block(column, width) * fixed_mask(width)
+
+    return df.withColumn(output, vector_udf(masked, feature_column(df, features)))

@@ -95,7 +95,7 @@ def hash_mask(
     seed.
 
     Equals `xxhash64(key, layer, epoch, seed, feature) >= threshold` in Spark SQL, all as
-    bigint; `layerstack.operators.corrupt` uses that form.
+    bigint.
     """
     with np.errstate(over="ignore"):
         h = _hash_long(keys.astype("u8"), np.full(len(keys), _SPARK_SEED))

@@ -17,7 +17,7 @@ class Rules:
     fixed_mask: bool  # denoising: one mask for every row, epoch and layer
     beta_power: int  # how often the sparsity weight enters the gradient
     decay: bool  # L2 both in the gradient and as a decay factor
-    clamp: bool  # keep probabilities off 0 and 1 in the loss
+    guard: bool  # keep probabilities off 0 and 1 in the loss, and the step's norm off 0
     same_init: bool  # every layer starts from the same generator seed
 
     @staticmethod

@@ -7,7 +7,6 @@ streaming tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +26,7 @@ from layerstack.operators.blocks import (
 )
 from layerstack.operators.randoms import fixed_mask
 from layerstack.operators.tables import Shared
+from layerstack.operators.vectors import skip_nulls, vector_udf
 
 
 @dataclass
@@ -65,35 +65,12 @@ class Stack:
         )
 
 
-def _rows_to_arrow(y: np.ndarray) -> pa.Array:
-    rows, width = y.shape
-    offsets = np.arange(0, rows * width + 1, width, dtype="i4")
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()))
-
-
-def _skip_nulls(column: pa.Array, f: Callable[[pa.Array], pa.Array]) -> pa.Array:
-    """Apply f to the non-null rows; null rows stay null."""
-    if not column.null_count:
-        return f(column)
-    valid = column.is_valid().to_numpy(zero_copy_only=False)
-    place = pa.array(np.where(valid, np.cumsum(valid) - 1, 0), mask=~valid)
-    return f(column.drop_null()).take(place)
-
-
-def _vectors(make: Callable[[pa.Array], np.ndarray], x: Column) -> Column:
-    @F.arrow_udf("array<double>")
-    def run(v: pa.Array) -> pa.Array:
-        return _skip_nulls(v, lambda c: _rows_to_arrow(make(c)))
-
-    return run(x)
-
-
 def encode_column(shared: Shared, x: Column, upto: int) -> Column:
     def make(c: pa.Array) -> np.ndarray:
         stack = shared.get()
         return stack.encode(stack.scaled(c), upto)
 
-    return _vectors(make, x)
+    return vector_udf(make, x)
 
 
 def reconstruct_column(
@@ -111,7 +88,7 @@ def reconstruct_column(
             y = lo + y * (hi - lo)
         return y
 
-    return _vectors(make, x)
+    return vector_udf(make, x)
 
 
 def loss_column(shared: Shared, x: Column, upto: int) -> Column:
@@ -129,8 +106,8 @@ def loss_column(shared: Shared, x: Column, upto: int) -> Column:
             if spec.method == "denoising" and spec.rules.fixed_mask:
                 masked = inputs * fixed_mask(inputs.shape[1])
             target = target_of(inputs, masked, spec)
-            return pa.array(cross_entropy(target, out, spec.rules.clamp))
+            return pa.array(cross_entropy(target, out, spec.rules.guard))
 
-        return _skip_nulls(v, loss)
+        return skip_nulls(v, loss)
 
     return run(x)

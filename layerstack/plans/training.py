@@ -34,9 +34,11 @@ from layerstack.plans.update import Descent, initial_decoder, initial_encoder, s
 
 # A task with this many times its fair share of rows makes redistributing worth while.
 UNEVEN = 1.5
+# Tasks up to this size are not worth it.
+SHORT_TASK_BYTES = 4 << 20
 # Size of a task after redistributing.
 TASK_BYTES = 128 << 20
-# A redistributed table up to this size per core stays in the cache.
+# A table up to this size per core is cached.
 SMALL_BYTES_PER_CORE = 64 << 20
 
 
@@ -85,8 +87,7 @@ class BlockStore:
 
     `table` writes it to the shared folder of `spark.checkpoint.dir`: it survives lost
     executors and cuts the lineage. `cache` keeps it in executor memory and disk. `auto` takes
-    the table where the session names such a folder, but caches a small table that it has to
-    redistribute anyway.
+    the table where the session names such a folder, and caches a table found to be small.
     """
 
     def __init__(self, spark: SparkSession, settings: Settings):
@@ -135,14 +136,17 @@ class BlockStore:
         rows. A table whose tasks are even, as large tables mostly are, is not shuffled.
         """
         cores = self._spark.sparkContext.defaultParallelism
-        share = max(rows / cores, block_rows(width))
-        if heaviest <= UNEVEN * share:
-            return blocks
         size = rows * width * 8
-        pieces = -(-rows // block_rows(width))
-        tasks = min(max(cores, size // TASK_BYTES), pieces, self._tasks)
+        share = max(rows / cores, block_rows(width))
+        uneven = heaviest > UNEVEN * share and heaviest * width * 8 > SHORT_TASK_BYTES
         small = self._storage == "auto" and size <= SMALL_BYTES_PER_CORE * cores
-        return self.put(blocks.select("rows", "keys", "x").repartition(tasks), cached=small)
+        if not uneven and not (small and self.on_disk):
+            return blocks
+        blocks = blocks.select("rows", "keys", "x")
+        if uneven:
+            pieces = -(-rows // block_rows(width))
+            blocks = blocks.repartition(min(max(cores, size // TASK_BYTES), pieces, self._tasks))
+        return self.put(blocks, cached=small)
 
     def close(self) -> None:
         if self._held is not None and self._path is None:

@@ -57,7 +57,7 @@ class Descent:
         d = averaged(gradient, self.theta, rows, self.lmbda)
         self.total += d
         norm = float(np.sqrt((self.total**2).sum()))
-        if not self.rules.clamp:
+        if not self.rules.guard:
             with np.errstate(divide="ignore", invalid="ignore"):
                 rate = np.float64(self.learning) / norm
         else:

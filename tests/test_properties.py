@@ -1,12 +1,15 @@
 """Results must not depend on partitioning, storage or the way sums are added up."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from layerstack import StackedAutoencoder, StackedAutoencoderModel, corrupt, import_text
+from layerstack import StackedAutoencoder, StackedAutoencoderModel, corrupt, import_text, model_from_weights
 from layerstack.operators import assemble_weights, flatten_weights
-from layerstack.operators.randoms import hash_mask
+from layerstack.operators.randoms import hash_mask, keep_threshold
 from layerstack.operators.sums import reduce_layout, sum_blocks
 from layerstack.operators.tables import (
     block_source,
@@ -53,7 +56,7 @@ def test_shuffled_sums_equal_collected_ones(embeddings):
         features="embedding", ids=["vec_id"], hidden=[6, 3], method="sparse", epochs=3,
         beta=0.05, storage="cache",
     )
-    small = Settings(**{**settings.__dict__, "collect_bytes": 5000, "reduce_bytes": 3000})
+    small = replace(settings, collect_bytes=5000, reduce_bytes=3000)
     df = embeddings.repartition(8)
     direct, direct_reports = train(df, settings)
     shuffled, shuffled_reports = train(df, small)
@@ -126,12 +129,17 @@ def test_uneven_tables_are_redistributed(spark):
 
 def test_column_mask_equals_training_mask(spark, embeddings):
     ones = embeddings.select("vec_id", F.transform("embedding", lambda v: F.lit(1.0)).alias("x"))
+    words = [F.lit(v).cast("bigint") for v in (2, 4, 5)]
+    threshold = keep_threshold(0.3)
+    in_sql = F.transform("x", lambda v, i: F.when(
+        F.xxhash64("key", *words, i.cast("bigint")) >= threshold, v).otherwise(0.0))
     rows = (
         corrupt(ones, "x", ids=["vec_id"], drop=0.3, seed=5, layer=2, epoch=4)
-        .select("corrupted", F.xxhash64("vec_id").alias("key")).collect()
+        .withColumn("key", F.xxhash64("vec_id")).withColumn("in_sql", in_sql).collect()
     )
     masks = hash_mask(np.array([r.key for r in rows]), 64, 0.3, 2, 4, 5)
     np.testing.assert_array_equal(np.array([r.corrupted for r in rows]), masks.astype(float))
+    assert [r.corrupted for r in rows] == [r.in_sql for r in rows]
     assert abs(masks.mean() - 0.7) < 0.02
 
 
@@ -231,3 +239,27 @@ def test_estimator_params_roundtrip(tmp_path):
     b = StackedAutoencoder.load(str(tmp_path / "estimator"))
     assert b.getOrDefault("hidden") == [3] and b.getOrDefault("beta") == 0.2
     assert b.getOrDefault("epochs") == 15
+
+
+def test_wide_layers_travel_as_broadcasts(spark):
+    """Weights above a megabyte, and partial sums that take the shuffle."""
+    df = spark.range(0, 600, 1, 4).select(
+        F.array(*[F.abs(F.sin(F.col("id") * (i + 1))) for i in range(400)]).alias("features")
+    )
+    settings = Settings("features", [], [200], method="regular", epochs=2, scaling=False)
+    direct, a = train(df, settings)
+    tree, b = train(df, replace(settings, collect_bytes=3 << 20, reduce_bytes=1 << 20))
+    np.testing.assert_allclose(direct.weights[0], tree.weights[0], atol=1e-12)
+    np.testing.assert_allclose([r.loss for r in a], [r.loss for r in b], rtol=1e-12)
+    model = model_from_weights(spark, direct.weights, direct.decoders, method="regular")
+    loss = model.score(df).agg(F.avg("loss")).first()[0]
+    assert loss < a[0].loss
+
+
+def test_pipeline(embeddings, tmp_path):
+    stack = StackedAutoencoder(method="regular", hidden=[3], epochs=1, **SOURCE)
+    fitted = Pipeline(stages=[stack]).fit(embeddings)
+    fitted.save(str(tmp_path / "pipeline"))
+    again = PipelineModel.load(str(tmp_path / "pipeline"))
+    a, b = (m.transform(embeddings).orderBy("vec_id").select("code") for m in (fitted, again))
+    assert a.collect() == b.collect()
