@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import layerstack as op
 from catalog import oracles as o
 from catalog.session import scratch, ship
 from layerstack import (
@@ -16,7 +17,6 @@ from layerstack import (
     summarize_check,
 )
 from layerstack import functions as fn
-from layerstack import operators as op
 from layerstack.operators.randoms import fixed_mask
 from layerstack.operators.rules import Rules
 from layerstack.plans.estimator import model_from_weights

@@ -1,22 +1 @@
-from layerstack.operators.matrices import (
-    assemble_weights,
-    flatten_weights,
-    matrices_of,
-    model_table,
-    transpose_weights,
-    weight_norms,
-)
-from layerstack.operators.prepare import (
-    corrupt,
-    corrupt_fixed,
-    scale_minmax,
-    validate_features,
-)
-from layerstack.operators.profile import feature_profile
-from layerstack.operators.tables import feature_column
-
-__all__ = [
-    "assemble_weights", "corrupt", "corrupt_fixed", "feature_column", "feature_profile",
-    "flatten_weights", "matrices_of", "model_table", "scale_minmax", "transpose_weights",
-    "validate_features", "weight_norms",
-]
+"""Operators on feature tables, row blocks and weight tables."""

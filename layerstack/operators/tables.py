@@ -15,8 +15,6 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +69,10 @@ def feature_column(df: DataFrame, features: str | list[str]) -> Column:
     if isinstance(features, (list, tuple)):
         return F.array(*[F.col(c).cast("double") for c in features])
     kind = df.schema[features].dataType
-    if isinstance(kind, VectorUDT):
+    if kind.typeName() == "vectorudt":
+        # Imported here, as tasks import this module and need nothing of pyspark.ml.
+        from pyspark.ml.functions import vector_to_array
+
         return vector_to_array(F.col(features))
     if isinstance(kind, T.ArrayType):
         if isinstance(kind.elementType, (T.DoubleType, T.FloatType)):

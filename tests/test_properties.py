@@ -7,8 +7,15 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from layerstack import StackedAutoencoder, StackedAutoencoderModel, corrupt, import_text, model_from_weights
-from layerstack.operators import assemble_weights, flatten_weights
+from layerstack import (
+    StackedAutoencoder,
+    StackedAutoencoderModel,
+    assemble_weights,
+    corrupt,
+    flatten_weights,
+    import_text,
+    model_from_weights,
+)
 from layerstack.operators.randoms import hash_mask, keep_threshold
 from layerstack.operators.sums import reduce_layout, sum_blocks
 from layerstack.operators.tables import (
