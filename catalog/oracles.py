@@ -207,9 +207,11 @@ class Layer:
             f"SELECT id, j, (b + {self.pull} * pull) * h * (1e0 - h) AS e "
             f"FROM ({back}) JOIN {self.h} USING (id, j) JOIN {self.kl} USING (j)",
         )
-        encoder = f"SELECT a.i, d.j, sum(a.v * d.e) AS g FROM {self.a} a JOIN {self.eh} d USING (id) GROUP BY 1, 2"
+        encoder = f"SELECT a.i, d.j, sum(a.v * d.e) AS g FROM {self.a} a JOIN {self.eh} d " \
+                  "USING (id) GROUP BY 1, 2"
         if tied:
-            shared = f"SELECT e.g + 1 AS i, h.j, sum(e.e * h.h) AS g FROM {self.e} e JOIN {self.h} h USING (id) GROUP BY 1, 2"
+            shared = f"SELECT e.g + 1 AS i, h.j, sum(e.e * h.h) AS g FROM {self.e} e " \
+                     f"JOIN {self.h} h USING (id) GROUP BY 1, 2"
             encoder = f"SELECT i, j, sum(g) AS g FROM ({encoder} UNION ALL {shared}) GROUP BY 1, 2"
         self.gw = add("gw", encoder)
         self.gs = add(

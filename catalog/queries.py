@@ -19,9 +19,8 @@ from layerstack import (
 from layerstack import functions as fn
 from layerstack.operators.randoms import fixed_mask
 from layerstack.operators.rules import Rules
-from layerstack.plans.estimator import model_from_weights
 from layerstack.plans.update import initial_decoder, initial_encoder
-from layerstack.sources import export_text, import_text, read_features, text_lines, write_libsvm
+from layerstack.sources import import_text, read_features, text_lines, write_libsvm
 from layerstack.streaming import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,7 +203,9 @@ def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scaled_oracle(table: str) -> str:
     sql, _ = o.source(table)
     if table == "embeddings":
-        return sql.render(f"SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS pos, {o.rounded('v')} AS v FROM x1")
+        return sql.render(
+            f"SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS pos, {o.rounded('v')} AS v FROM x1"
+        )
     return sql.render(
         "SELECT l_orderkey, l_linenumber, CAST(i - 1 AS INTEGER) AS pos, "
         f"{o.rounded('v')} AS v FROM x1 JOIN li USING (id)"
@@ -279,7 +280,9 @@ def _encode_oracle(table: str, hidden: list[int], upto: int, activation="sigmoid
             mask = sql.add(f"fm{layer}", f"SELECT i, v AS k FROM ({values})")
         x = o.forward(sql, f"c{layer}", x, tables[layer - 1][0], mask, activation)
     if table == "embeddings":
-        return sql.render(f"SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS unit, {o.rounded('v')} AS a FROM {x}")
+        return sql.render(
+            f"SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS unit, {o.rounded('v')} AS a FROM {x}"
+        )
     return sql.render(
         "SELECT l_orderkey, l_linenumber, CAST(i - 1 AS INTEGER) AS unit, "
         f"{o.rounded('v')} AS a FROM {x} JOIN li USING (id)"
@@ -441,7 +444,8 @@ def column_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _activity_oracle(table: str, k: int) -> str:
     sql, layer = _layer(table, k, "sparse")
     return sql.render(
-        f"SELECT CAST(j AS INTEGER) AS unit, {o.rounded('p')} AS p, (SELECT m FROM {layer.j}) AS m FROM {layer.pj}"
+        f"SELECT CAST(j AS INTEGER) AS unit, {o.rounded('p')} AS p, "
+        f"(SELECT m FROM {layer.j}) AS m FROM {layer.pj}"
     )
 
 
@@ -633,7 +637,8 @@ def weights_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _norm_oracle() -> str:
     sql, _, finals, _ = _trained("lineitem", [3, 2], "regular", "standard", 2)
     return sql.render(
-        f"SELECT layer, role, {o.rounded('sum(CASE WHEN row > 0 THEN w * w ELSE 0e0 END)')} AS square_sum, "
+        "SELECT layer, role, "
+        f"{o.rounded('sum(CASE WHEN row > 0 THEN w * w ELSE 0e0 END)')} AS square_sum, "
         f"{o.rounded('sqrt(sum(w * w))')} AS norm FROM ({o.weights_select(finals, 15)}) GROUP BY 1, 2"
     )
 

@@ -79,9 +79,9 @@ def slope(z: np.ndarray, h: np.ndarray, name: str) -> np.ndarray:
     raise ValueError(f"unknown activation {name!r}")
 
 
-def cross_entropy(t: np.ndarray, p: np.ndarray, clamp: bool) -> np.ndarray:
-    """Summed cross-entropy per row."""
-    if clamp:
+def cross_entropy(t: np.ndarray, p: np.ndarray, guard: bool) -> np.ndarray:
+    """Cross-entropy of every value; the caller sums it, by row or over all."""
+    if guard:
         p = np.clip(p, CLAMP, 1.0 - CLAMP)
     off = 1.0 - p
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -90,7 +90,7 @@ def cross_entropy(t: np.ndarray, p: np.ndarray, clamp: bool) -> np.ndarray:
         on *= t
         off *= 1.0 - t
         on += off
-    return -on.sum(axis=1)
+    return np.negative(on, out=on)
 
 
 @dataclass(frozen=True)

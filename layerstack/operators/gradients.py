@@ -1,7 +1,7 @@
 """Aggregations over a finished or starting layer, as DataFrames.
 
-Each is one pass over row blocks that emits a partial result per task in long form, and one
-small aggregation keyed by matrix entry or unit. The number of partials follows the cluster.
+Each is one pass over row blocks that emits one partial result per task, and one small reduction
+keyed by hidden unit. The number of partials follows the cluster.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ from layerstack.operators.blocks import (
     sigmoid,
     target_of,
 )
+from layerstack.operators.sums import (
+    PARTIAL_SCHEMA,
+    REDUCE_BYTES,
+    partial_row,
+    reduce_partials,
+)
 from layerstack.operators.tables import Shared, Source
 
 
@@ -68,31 +75,28 @@ def sparsity_terms(activity: DataFrame, target: float, beta: float) -> DataFrame
     )
 
 
-# One long-form row per weight entry. `i`, `j` are row and column (row 0 is the bias).
+# One long-form row per weight. `i`, `j` are row and column (row 0 is the bias).
 _ENTRY_SCHEMA = (
     "role string, i int, j int, w double, g double, lever double, active double, "
-    "plus double, minus double, active_plus double, active_minus double, m bigint"
+    "plus double, minus double, active_plus double, active_minus double, m double"
 )
 _ENTRY_ARROW = pa.schema(
     [("role", pa.string()), ("i", pa.int32()), ("j", pa.int32())]
     + [(c, pa.float64()) for c in (
-        "w", "g", "lever", "active", "plus", "minus", "active_plus", "active_minus")]
-    + [("m", pa.int64())]
+        "w", "g", "lever", "active", "plus", "minus", "active_plus", "active_minus", "m")]
 )
-
-
-def _entries(role: str, w: np.ndarray, rows: int, **columns: np.ndarray) -> pa.RecordBatch:
-    i, j = np.indices(w.shape)
-    zero = np.zeros(w.size)
-    arrays = [
-        pa.array([role] * w.size),
-        pa.array(i.ravel().astype("i4")),
-        pa.array(j.ravel().astype("i4")),
-        pa.array(w.ravel()),
-    ]
-    for name in _ENTRY_ARROW.names[4:-1]:
-        arrays.append(pa.array(columns[name].ravel() if name in columns else zero))
-    arrays.append(pa.array(np.full(w.size, rows, dtype="i8")))
+# Sums kept per encoder weight and per decoder weight, in the order of a unit's vector.
+_ENCODER_SUMS = ("g", "lever", "plus", "minus", "active_plus", "active_minus")
+_DECODER_SUMS = ("g", "plus", "minus")
+
+
+def _entries(role: str, i: np.ndarray, j: np.ndarray, **columns) -> pa.RecordBatch:
+    """Entry rows; columns left out are 0."""
+    count = len(i)
+    arrays = [pa.array([role] * count), pa.array(i.astype("i4")), pa.array(j.astype("i4"))]
+    for name in _ENTRY_ARROW.names[3:]:
+        values = np.broadcast_to(np.asarray(columns.get(name, 0.0), dtype="f8"), count)
+        arrays.append(pa.array(np.ascontiguousarray(values)))
     return pa.RecordBatch.from_arrays(arrays, schema=_ENTRY_ARROW)
 
 
@@ -110,6 +114,18 @@ class _Nudged:
     def _loss(self, out: np.ndarray) -> float:
         return float(cross_entropy(self.t, sigmoid(out), self.spec.rules.guard).sum())
 
+    def add_to(self, enc: np.ndarray, dec: np.ndarray, eps: float) -> None:
+        """Add both nudges of every weight to the sums, laid out as the names above."""
+        for i, j in np.ndindex(*self.w.shape):
+            for side, by in ((0, eps), (1, -eps)):
+                loss, active = self.encoder(i, j, by)
+                enc[2 + side, i, j] += loss
+                enc[4 + side, i, j] += active
+        if not self.spec.tied:
+            for i, j in np.ndindex(*self.s.shape):
+                for side, by in ((0, eps), (1, -eps)):
+                    dec[1 + side, i, j] += self.decoder(i, j, by)
+
     def encoder(self, i: int, j: int, by: float) -> tuple[float, float]:
         """Only unit j moves, so only its share of the output has to be redone."""
         step = by if i == 0 else by * self.a[:, i - 1]
@@ -128,53 +144,72 @@ class _Nudged:
 
 
 def _entry_rows(
-    source: Source, shared: Shared, layer: int, eps: float | None, tasks: int
+    source: Source, shared: Shared, layer: int, shape: tuple[int, int], eps: float | None,
+    tasks: int,
 ) -> DataFrame:
-    """Partial gradients (and, with eps, nudged losses) of one layer, one row per entry and
-    task."""
+    """Gradient sums (and, with eps, nudged losses) of one layer, one row per weight.
+
+    A task emits one vector per hidden unit, with everything that belongs to the unit, and one
+    for the decoder's bias. They are added up as vectors, in groups of bounded size, and only
+    the totals are spread into rows.
+    """
     read = source.read
+    n, k = shape
+    bytes_per_unit = 8 * (2 + len(_ENCODER_SUMS) * (n + 1) + len(_DECODER_SUMS) * n)
+    buckets = -(-tasks * bytes_per_unit // REDUCE_BYTES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = shared.get()
         w, s, spec = stack.weights[layer - 1], stack.decoders[layer - 1], stack.specs[layer - 1]
-        total, rows = None, 0
-        enc = {c: np.zeros(w.shape) for c in ("plus", "minus", "active_plus", "active_minus")}
-        dec = {c: np.zeros(s.shape) for c in ("plus", "minus")}
+        enc = np.zeros((len(_ENCODER_SUMS) if eps else 2, *w.shape))
+        dec = np.zeros((len(_DECODER_SUMS) if eps else 1, *s.shape))
+        active, rows = np.zeros(k), 0
         for x, keys in read(batches):
             x = stack.encode(x, layer - 1)
-            sums = layer_sums(x, keys, w, s, spec)
-            parts = (sums.encoder, sums.decoder, sums.active, sums.lever)
-            total = parts if total is None else tuple(a + b for a, b in zip(total, parts))
+            found = layer_sums(x, keys, w, s, spec)
+            enc[0] += found.encoder
+            dec[0] += found.decoder
+            active += found.active
+            if spec.method == "sparse":
+                enc[1] += found.lever
             rows += len(x)
-            if eps is None:
-                continue
-            nudged = _Nudged(x, keys, w, s, spec)
-            for i, j in np.ndindex(*w.shape):
-                for side, by in (("plus", eps), ("minus", -eps)):
-                    loss, active = nudged.encoder(i, j, by)
-                    enc[side][i, j] += loss
-                    enc[f"active_{side}"][i, j] += active
-            if not spec.tied:
-                for i, j in np.ndindex(*s.shape):
-                    dec["plus"][i, j] += nudged.decoder(i, j, eps)
-                    dec["minus"][i, j] += nudged.decoder(i, j, -eps)
-        if total is None:
+            if eps:
+                _Nudged(x, keys, w, s, spec).add_to(enc, dec, eps)
+        if not rows:
             return
-        g_w, g_s, active, lever = total
-        more = {"active": np.broadcast_to(active, w.shape)}
-        if len(lever):
-            more["lever"] = lever
-        yield _entries("encoder", w, rows, g=g_w, **more, **enc)
-        if not spec.tied:
-            yield _entries("decoder", s, rows, g=g_s, **dec)
-
-    sums = ("g", "lever", "active", "plus", "minus", "active_plus", "active_minus", "m")
-    return (
-        source.narrowed(tasks)
-        .mapInArrow(run, _ENTRY_SCHEMA)
-        .groupBy("role", "i", "j")
-        .agg(F.max("w").alias("w"), *[F.sum(c).alias(c) for c in sums])
+        part = TaskContext.get().partitionId()
+        for unit in range(k):
+            v = [[rows, active[unit]], enc[:, :, unit].ravel(), dec[:, unit + 1].ravel()]
+            yield partial_row(unit, part % buckets, part, np.concatenate(v))
+        yield partial_row(k, part % buckets, part, np.concatenate([[rows], dec[:, 0].ravel()]))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack = shared.get()
+        w, s, spec = stack.weights[layer - 1], stack.decoders[layer - 1], stack.specs[layer - 1]
+        inputs, outputs = np.arange(n + 1), np.arange(n)
+        for batch in batches:
+            for unit, data in zip(batch.column(0).to_pylist(), batch.column(3)):
+                v = np.frombuffer(data.as_buffer())
+                rows, at = v[0], 1
+                if unit < k:
+                    at = 2 + (len(_ENCODER_SUMS) if eps else 2) * (n + 1)
+                    found = dict(zip(_ENCODER_SUMS, v[2:at].reshape(-1, n + 1)))
+                    yield _entries(
+                        "encoder", inputs, np.full(n + 1, unit), w=w[:, unit], active=v[1],
+                        m=rows, **found,
+                    )
+                if not spec.tied:
+                    row = (unit + 1) % (k + 1)
+                    found = dict(zip(_DECODER_SUMS, v[at:].reshape(-1, n)))
+                    yield _entries("decoder", np.full(n, row), outputs, w=s[row], m=rows, **found)
+
+    totals = reduce_partials(
+        source.narrowed(tasks).mapInArrow(sums, PARTIAL_SCHEMA), min((k + 1) * buckets, tasks)
     )
+    if buckets > 1:
+        totals = reduce_partials(totals.withColumn("part", F.col("bucket")).withColumn(
+            "bucket", F.lit(0)), min(k + 1, tasks))
+    return totals.mapInArrow(spread, _ENTRY_SCHEMA)
 
 
 def _penalty(spec: LayerSpec, target: float, beta: float) -> Column:
@@ -187,17 +222,17 @@ def _penalty(spec: LayerSpec, target: float, beta: float) -> Column:
 
 
 def layer_gradients(
-    source: Source, shared: Shared, layer: int, spec: LayerSpec,
+    source: Source, shared: Shared, layer: int, shape: tuple[int, int], spec: LayerSpec,
     target: float, beta: float, tasks: int,
 ) -> DataFrame:
     """`(role, i, j, g, m)`: gradient of a layer's matrices, summed over rows."""
-    rows = _entry_rows(source, shared, layer, None, tasks)
+    rows = _entry_rows(source, shared, layer, shape, None, tasks)
     return rows.select("role", "i", "j", (F.col("g") + _penalty(spec, target, beta)).alias("g"),
-                       "m")
+                       F.col("m").cast("bigint").alias("m"))
 
 
 def checked_gradients(
-    source: Source, shared: Shared, layer: int, spec: LayerSpec,
+    source: Source, shared: Shared, layer: int, shape: tuple[int, int], spec: LayerSpec,
     target: float, beta: float, lmbda: float, eps: float, tasks: int,
 ) -> DataFrame:
     """`(role, i, j, analytic, numeric, difference)` for every weight of a layer.
@@ -210,7 +245,7 @@ def checked_gradients(
     bias = F.col("i") == 0
     l2 = F.when(bias, 0.0).otherwise(lmbda * F.col("w"))
     m = F.col("m")
-    rows = _entry_rows(source, shared, layer, eps, tasks)
+    rows = _entry_rows(source, shared, layer, shape, eps, tasks)
     numeric = (F.col("plus") - F.col("minus")) / m / (2 * eps)
     if spec.method == "sparse" and spec.rules.beta_power == 1:
         up = kl_term(F.col("active_plus") / m, target)

@@ -106,7 +106,7 @@ def loss_column(shared: Shared, x: Column, upto: int) -> Column:
             if spec.method == "denoising" and spec.rules.fixed_mask:
                 masked = inputs * fixed_mask(inputs.shape[1])
             target = target_of(inputs, masked, spec)
-            return pa.array(cross_entropy(target, out, spec.rules.guard))
+            return pa.array(cross_entropy(target, out, spec.rules.guard).sum(axis=1))
 
         return skip_nulls(v, loss)
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 from layerstack.operators.tables import Source
 
@@ -16,13 +17,13 @@ COLLECT_BYTES = 256 << 20
 # Largest group of partial chunks that one reducing task adds up.
 REDUCE_BYTES = 256 << 20
 
-_PARTIAL_SCHEMA = "chunk int, bucket int, part int, v binary"
+PARTIAL_SCHEMA = "chunk int, bucket int, part int, v binary"
 _PARTIAL_ARROW = pa.schema(
     [("chunk", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("v", pa.binary())]
 )
 
 
-def _partial(chunk: int, bucket: int, part: int, v: np.ndarray) -> pa.RecordBatch:
+def partial_row(chunk: int, bucket: int, part: int, v: np.ndarray) -> pa.RecordBatch:
     places = [pa.array([n], pa.int32()) for n in (chunk, bucket, part)]
     return pa.RecordBatch.from_arrays(
         [*places, pa.array([v.tobytes()], pa.binary())], schema=_PARTIAL_ARROW
@@ -42,10 +43,19 @@ def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total += v
                 continue
             if current is not None:
-                yield _partial(*current, 0, total)
+                yield partial_row(*current, 0, total)
             current, total = (chunks[i], buckets[i]), v.copy()
     if current is not None:
-        yield _partial(*current, 0, total)
+        yield partial_row(*current, 0, total)
+
+
+def reduce_partials(rows: DataFrame, tasks: int) -> DataFrame:
+    """Add up partial vectors by (chunk, bucket), in the order of their parts."""
+    return (
+        rows.repartition(tasks, "chunk", "bucket")
+        .sortWithinPartitions("chunk", "bucket", "part")
+        .mapInArrow(_add_runs, PARTIAL_SCHEMA)
+    )
 
 
 def reduce_layout(
@@ -78,9 +88,9 @@ def sum_blocks(
     a sum is repeatable.
     """
     direct = partials * size * 8 <= collect_bytes
-    buckets, length = (1, size) if direct else reduce_layout(
-        partials, size, collect_bytes, reduce_bytes
-    )
+    buckets, length = 1, size
+    if not direct:
+        buckets, length = reduce_layout(partials, size, collect_bytes, reduce_bytes)
     read = source.read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,16 +103,11 @@ def sum_blocks(
             return
         part = TaskContext.get().partitionId()
         for chunk, at in enumerate(range(0, size, length)):
-            yield _partial(chunk, part % buckets, part, total[at : at + length])
+            yield partial_row(chunk, part % buckets, part, total[at : at + length])
 
-    rows = source.narrowed(partials).mapInArrow(run, _PARTIAL_SCHEMA)
+    rows = source.narrowed(partials).mapInArrow(run, PARTIAL_SCHEMA)
     if not direct:
-        groups = buckets * math.ceil(size / length)
-        rows = (
-            rows.repartition(min(groups, partials), "chunk", "bucket")
-            .sortWithinPartitions("chunk", "bucket", "part")
-            .mapInArrow(_add_runs, _PARTIAL_SCHEMA)
-        )
+        rows = reduce_partials(rows, min(buckets * math.ceil(size / length), partials))
     found = sorted(rows.collect(), key=lambda r: (r.chunk, r.bucket, r.part))
     if not found:
         return None

@@ -250,6 +250,10 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
             raise ValueError("denoising draws a mask per row: name the id columns in idCols")
         return vector_source(df, self._features(), self._stack.width, self.ranges, ids)
 
+    def _shape(self, layer: int) -> tuple[int, int]:
+        rows, columns = self.weights[layer - 1].shape
+        return rows - 1, columns
+
     def _tasks(self) -> int:
         return task_bound(self._spark, self._get("maxTasks"))
 
@@ -270,7 +274,8 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
         """`(role, i, j, g, m)`: gradient of a layer's matrices, summed over rows."""
         at = self._layer(layer)
         return gradients.layer_gradients(
-            self._source(df, True), self._shared(), at, self._stack.specs[at - 1],
+            self._source(df, True), self._shared(), at, self._shape(at),
+            self._stack.specs[at - 1],
             self._get("sparsity"), self._get("beta"), self._tasks(),
         )
 
@@ -280,7 +285,8 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
         """`(role, i, j, analytic, numeric, difference)` for every weight of a layer."""
         at = self._layer(layer)
         return gradients.checked_gradients(
-            self._source(df, True), self._shared(), at, self._stack.specs[at - 1],
+            self._source(df, True), self._shared(), at, self._shape(at),
+            self._stack.specs[at - 1],
             self._get("sparsity"), self._get("beta"), self._get("lmbda"), eps, self._tasks(),
         )
 

@@ -1,5 +1,7 @@
 """Results must not depend on partitioning, storage or the way sums are added up."""
 
+import contextlib
+import io
 from dataclasses import replace
 
 import numpy as np
@@ -24,7 +26,7 @@ from layerstack.operators.tables import (
     pack,
     vector_source,
 )
-from layerstack.plans.training import Settings, train
+from layerstack.plans.training import BlockStore, Settings, train
 
 METHODS = ["regular", "denoising", "sparse"]
 SOURCE = {"featuresCol": "embedding", "idCols": ["vec_id"]}
@@ -270,3 +272,52 @@ def test_pipeline(embeddings, tmp_path):
     again = PipelineModel.load(str(tmp_path / "pipeline"))
     a, b = (m.transform(embeddings).orderBy("vec_id").select("code") for m in (fitted, again))
     assert a.collect() == b.collect()
+
+
+@pytest.mark.parametrize("method", ["regular", "sparse"])
+def test_gradients_in_two_rounds_of_sums(embeddings, monkeypatch, method):
+    """Unit vectors too many for one reducing group are added up in two rounds."""
+    df = embeddings.repartition(8)
+    model = fit(df, method=method, epochs=1)
+    key = ["role", "i", "j"]
+    once = model.gradients(df).orderBy(key).collect()
+    monkeypatch.setattr("layerstack.operators.gradients.REDUCE_BYTES", 1_000_000)
+    twice = model.gradients(df)
+    one_round = plan_text(model.mean_activation(df)).count("Exchange")
+    assert plan_text(twice).count("Exchange") == one_round + 1
+    rows = twice.orderBy(key).collect()
+    assert [r[:3] for r in rows] == [r[:3] for r in once]
+    np.testing.assert_allclose([r.g for r in rows], [r.g for r in once], atol=1e-10)
+    assert {r.m for r in rows} == {embeddings.count()}
+
+
+def plan_text(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
+def test_store_keeps_files_a_cached_table_came_from(spark, embeddings, tmp_path):
+    """A cached block can be lost with its executor; what it is rebuilt from must still exist."""
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        settings = Settings("embedding", [], [4], method="regular")
+        store = BlockStore(spark, settings)
+        written = store.put(pack(embeddings, "embedding", []))
+        assert store.on_disk
+        cached = store.balance(written, embeddings.count(), embeddings.count(), 64)
+        assert not store.on_disk and cached.is_cached
+        rows = cached.count()
+        cached.unpersist()
+        assert cached.count() == rows
+        assert list(tmp_path.rglob("*.parquet"))
+        store.close()
+        assert not list(tmp_path.iterdir())
+        fit(embeddings, method="regular", storage="table")
+        assert not list(tmp_path.iterdir())
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+        if before is not None:
+            spark.conf.set("spark.checkpoint.dir", before)
