@@ -90,11 +90,10 @@ class BlockStore:
     the table where the session names such a folder, and caches a table found to be small.
     """
 
-    def __init__(self, spark: SparkSession, settings: Settings):
+    def __init__(self, spark: SparkSession, settings: Settings, folder: str | None):
         self._spark = spark
         self._storage = settings.storage
         self._tasks = task_bound(spark, settings.max_tasks)
-        folder = spark.conf.get("spark.checkpoint.dir", None)
         if self._storage == "table" and not folder:
             raise ValueError("storage='table' needs spark.checkpoint.dir")
         self._root = None
@@ -248,7 +247,7 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
         return untrained(df, settings), []
     spark = df.sparkSession
     reports: list[EpochReport] = []
-    store = BlockStore(spark, settings)
+    store = BlockStore(spark, settings, spark.conf.get("spark.checkpoint.dir", None))
     tasks = task_bound(spark, settings.max_tasks)
     try:
         ids = settings.ids if settings.spec(1).keyed else []

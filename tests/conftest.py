@@ -13,20 +13,25 @@ from catalog.session import ship  # noqa: E402
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    session = (
+def builder():
+    return (
         SparkSession.builder.master("local[8]")
         .appName("layerstack-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
-        .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = builder().getOrCreate()
     if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="layerstack-"))
+        session.stop()
+        folder = tempfile.mkdtemp(prefix="layerstack-")
+        session = builder().config("spark.checkpoint.dir", folder).getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
     session.stop()

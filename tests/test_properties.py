@@ -3,6 +3,7 @@
 import contextlib
 import io
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -300,24 +301,25 @@ def plan_text(df):
 
 def test_store_keeps_files_a_cached_table_came_from(spark, embeddings, tmp_path):
     """A cached block can be lost with its executor; what it is rebuilt from must still exist."""
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        settings = Settings("embedding", [], [4], method="regular")
-        store = BlockStore(spark, settings)
-        written = store.put(pack(embeddings, "embedding", []))
-        assert store.on_disk
-        cached = store.balance(written, embeddings.count(), embeddings.count(), 64)
-        assert not store.on_disk and cached.is_cached
-        rows = cached.count()
-        cached.unpersist()
-        assert cached.count() == rows
-        assert list(tmp_path.rglob("*.parquet"))
-        store.close()
-        assert not list(tmp_path.iterdir())
-        fit(embeddings, method="regular", storage="table")
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        if before is not None:
-            spark.conf.set("spark.checkpoint.dir", before)
+    settings = Settings("embedding", [], [4], method="regular")
+    store = BlockStore(spark, settings, str(tmp_path))
+    written = store.put(pack(embeddings, "embedding", []))
+    assert store.on_disk
+    cached = store.balance(written, embeddings.count(), embeddings.count(), 64)
+    assert not store.on_disk and cached.is_cached
+    rows = cached.count()
+    cached.unpersist()
+    assert cached.count() == rows
+    assert list(tmp_path.rglob("*.parquet"))
+    store.close()
+    assert not list(tmp_path.iterdir())
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        BlockStore(spark, replace(settings, storage="table"), None)
+
+
+@pytest.mark.parametrize("storage", ["auto", "table", "cache"])
+def test_training_leaves_nothing_behind(spark, embeddings, storage):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    fit(embeddings, method="regular", storage=storage)
+    assert set(folder.iterdir()) == before
