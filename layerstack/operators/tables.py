@@ -223,9 +223,9 @@ def pack(df: DataFrame, features: str | list[str], ids: list[str]) -> DataFrame:
 
 
 def map_blocks(
-    source: Source, shared: Shared, f: Callable[[np.ndarray, Any], np.ndarray]
+    source: Source, shared: Shared, f: Callable[[np.ndarray, Any], np.ndarray], tasks: int
 ) -> DataFrame:
-    """Block table of `f(block, value)`, with the keys of the source."""
+    """Block table of `f(block, value)`, with the keys of the source, in at most `tasks` parts."""
     read = source.read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def map_blocks(
                 [_count(len(y)), _binary(keys), _binary(y)], schema=_CODE_ARROW
             )
 
-    return source.df.mapInArrow(run, CODE_SCHEMA)
+    return source.narrowed(tasks).mapInArrow(run, CODE_SCHEMA)
 
 
 def heaviest_task(blocks: DataFrame, tasks: int) -> tuple[int, int]:

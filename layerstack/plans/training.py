@@ -264,7 +264,8 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
             stack.add(w, s, settings.spec(layer))
             reports += found
             if layer < len(settings.hidden):
-                blocks = store.put(_codes(source, w, settings.spec(layer)), not store.on_disk)
+                codes = _codes(source, w, settings.spec(layer), tasks)
+                blocks = store.put(codes, cached=not store.on_disk)
                 if store.on_disk:
                     blocks = store.balance(blocks, *heaviest_task(blocks, tasks), k)
                 source = block_source(blocks, k, "f8", None)
@@ -273,7 +274,7 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
     return stack, reports
 
 
-def _codes(source: Source, w: np.ndarray, spec: LayerSpec) -> DataFrame:
+def _codes(source: Source, w: np.ndarray, spec: LayerSpec, tasks: int) -> DataFrame:
     """Codes of the layer just finished, as the block table of the next one."""
     shared = Shared(source.df.sparkSession, (w, spec), [w])
-    return map_blocks(source, shared, lambda x, value: encode_layer(x, *value))
+    return map_blocks(source, shared, lambda x, value: encode_layer(x, *value), tasks)
