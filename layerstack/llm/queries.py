@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from catalog.session import ship
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from layerstack.llm import bpe
+from layerstack.llm import bpe, curriculum, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,57 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(docs, vocabulary).drop("text")
+
+
+def _mix_sql() -> str:
+    """The mix of `curriculum.mix`: lines, water level and positions, by plain window sums."""
+    weights, tilts = curriculum.WEIGHTS, curriculum.TILTS
+    pick = lambda v: "CASE turn % 3 " + " ".join(
+        f"WHEN {i} THEN {x}::DOUBLE" for i, x in enumerate(v)
+    ) + " END"
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), coalesce(md5(text), ''))) AS key
+  FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size,
+    row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM d GROUP BY source),
+w AS (SELECT *, {pick(weights)} AS weight, {pick(tilts)} AS tilt, {curriculum.MOST_REPEATS} * source_size::DOUBLE AS cap FROM t),
+r AS (SELECT *, cap / weight AS fills_at,
+    coalesce(sum(cap) OVER b, 0) AS full_, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open_,
+    sum(source_size) OVER ()::DOUBLE AS total
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total - full_) / open_ AS level FROM r),
+g AS (SELECT *, least(cap, weight * (SELECT level FROM l WHERE level <= fills_at ORDER BY fills_at, turn LIMIT 1)) AS target FROM l),
+p AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.tilt, g.total, round(g.target)::BIGINT AS wanted,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line_start
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, wanted // greatest(source_size, 1) AS whole FROM p),
+m AS (SELECT *, least(greatest(wanted - whole * source_size - line_start, 0), size) AS more FROM q),
+c AS (SELECT *, (whole * size + more)::BIGINT AS taken,
+    CASE WHEN size = 0 THEN 0 ELSE whole + (more > 0)::INT END::INT AS copies, line_start / target AS y FROM m)
+SELECT doc_id, size, source_size, round(target, 3) AS target, taken, line_start, copies, tilt,
+  round(CASE WHEN copies > 0 THEN total * least(1.0, CASE WHEN y <= 0 THEN 0.0
+    ELSE 2 * y / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * y)) END) END, 3) AS position
+FROM c"""
+
+
+@register("op9_curriculum", _mix_sql())
+def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by source, in order of training position."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return curriculum.mix(docs).select(
+        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken",
+        "line_start", "copies", "tilt", F.round("position", 3).alias("position"),
+    )
+
+
+@register("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from four of five folds of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(quality.fold(F.col("doc_id"), 5) != 0)
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model).select(
+        "doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"
+    )
