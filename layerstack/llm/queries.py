@@ -9,7 +9,7 @@ from catalog.session import ship
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerstack.llm import bpe, curriculum, quality
+from layerstack.llm import bpe, curriculum, fingerprints, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, vocabulary).drop("text")
 
 
+@register("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text half replaced by the next one's."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def _mix_sql() -> str:
     """The mix of `curriculum.mix`: lines, water level and positions, by plain window sums."""
     weights, tilts = curriculum.WEIGHTS, curriculum.TILTS
