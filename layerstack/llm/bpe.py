@@ -3,7 +3,8 @@
 Merging works on a segment tree over the ranks of adjacent pairs. Each leaf holds
 `rank * positions + position` of the pair that begins there, so the root yields the leftmost pair
 of the lowest rank. A merge changes three leaves, each with a logarithmic path to the root, until
-the root says that no pair can be merged. A piece of n bytes takes O(n log n).
+the root says that no pair can be merged. A piece of n bytes takes O(n log n). Pieces of up to
+64 bytes are merged many at a time, one tree per row of a matrix; longer ones one by one.
 
 Vocabulary files are read where they lie (a parameter) by each Python worker, once.
 
@@ -35,8 +36,11 @@ from layerstack.llm.common import index_of, texts_of, with_arrow
 #: The pre-tokenisation pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Bounds of each worker's memory of pieces and of chunks already encoded.
-MOST_PIECES, MOST_CHUNKS = 400_000, 250_000
+#: Bound of each worker's memory of pieces already encoded, and of their length there.
+MOST_PIECES, LONG_PIECE = 1_000_000, 64
+#: Characters of texts handled together; bytes of a piece that is merged in a row among others; and
+#: cells of such a group of rows.
+GROUP_CHARS, WIDEST, CELLS = 2_000_000, 64, 1 << 19
 
 
 def printable_bytes() -> dict[str, int]:
@@ -96,10 +100,18 @@ class Bpe:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.merges[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
         self.none = 1 << 62
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        order = sorted(self.merges)
+        self.no_rank = len(order)
+        self.pair_keys = np.array([*order, 1 << 62], np.int64)
+        self.pair_ranks = np.array([*(self.merges[k][0] for k in order), self.no_rank], np.int64)
+        self.merged_id = np.zeros(self.no_rank + 1, np.int64)
+        for rank, new in self.merges.values():
+            self.merged_id[rank] = new
+        self.byte_ids = np.array(self.byte_id, np.int64)
+        self.special_ids = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
+        #: Packed ids of special tokens, and of pieces met before.
+        self.known: dict[str, bytes] = dict(self.special_ids)
         self.split = regex.compile(PATTERN).findall
-        self.uneven = regex.compile(r" \s|\s |^\s|\s$").search
         self.find_special = (
             regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")")
             if self.special
@@ -140,51 +152,119 @@ class Bpe:
                 tree.put(h, found[0] * n + h if found else none)
         return [x for x in ids if x >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        packed = self.pieces.get(piece)
-        if packed is None:
-            packed = np.array(self.merge(piece.encode()), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) >= MOST_PIECES:
-                    self.pieces.clear()
-                self.pieces[piece] = packed
-        return packed
-
-    def _chunk(self, chunk: str) -> bytes:
-        packed = b"".join(map(self._piece, self.split(chunk)))
-        if len(chunk) <= 64:
-            if len(self.chunks) >= MOST_CHUNKS:
-                self.chunks.clear()
-            self.chunks[chunk] = packed
-        return packed
-
-    def _plain(self, text: str) -> bytes:
-        """A text without special tokens.
-
-        Where each space stands alone between two other characters, pieces never cross into
-        the next space, so the text falls into chunks that begin with a space.
-        """
-        if self.uneven(text):
-            return b"".join(map(self._piece, self.split(text)))
-        first, *rest = text.split(" ")
-        known, chunk = self.chunks.get, self._chunk
-        parts = [known(first) or chunk(first)]
-        parts += [known(c) or chunk(c) for c in [" " + r for r in rest]]
-        return b"".join(parts)
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text, as 4-byte unsigned numbers."""
-        if not text:
-            return np.empty(0, "<u4")
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; `no_rank` where the vocabulary has no such merge."""
+        pairs = left << 32 | right
+        at = np.searchsorted(self.pair_keys, pairs)
+        return np.where(self.pair_keys[at] == pairs, self.pair_ranks[at], self.no_rank)
+
+    def merge_many(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Packed ids of pieces of at most `width` bytes (a power of two): one tree per row."""
+        rows, none = len(pieces), self.no_rank * width
+        lengths = np.fromiter(map(len, pieces), np.int64, rows)
+        padded = b"".join(x.ljust(width, b"\0") for x in pieces)
+        ids = self.byte_ids[np.frombuffer(padded, np.uint8)].reshape(rows, width)
+        place = np.arange(width)
+        ids[place >= lengths[:, None]] = -1
+        after = np.repeat(place[None] + 1, rows, 0)
+        before = np.repeat(place[None] - 1, rows, 0)
+        tree = np.full((rows, 2 * width), none, np.int64)
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        ranks[place[1:] >= lengths[:, None]] = self.no_rank
+        tree[:, width:-1] = np.where(ranks < self.no_rank, ranks * width + place[:-1], none)
+        size = width
+        while size > 1:
+            size //= 2
+            level = tree[:, 2 * size : 4 * size]
+            np.minimum(level[:, ::2], level[:, 1::2], out=tree[:, size : 2 * size])
+        live = np.arange(rows)
+        while len(live := live[tree[live, 1] < none]):
+            best = tree[live, 1]
+            i = best % width
+            j = after[live, i]
+            k = after[live, j]
+            ids[live, i] = self.merged_id[best // width]
+            ids[live, j] = -1
+            after[live, i] = k
+            ends = k >= lengths[live]
+            k = np.minimum(k, width - 1)
+            keep = np.flatnonzero(~ends)
+            before[live[keep], k[keep]] = i[keep]
+            here = np.where(ends, self.no_rank, self._ranks(ids[live, i], ids[live, k]))
+            h = before[live, i]
+            none_before = h < 0
+            h = np.maximum(h, 0)
+            there = np.where(none_before, self.no_rank, self._ranks(ids[live, h], ids[live, i]))
+            tree[live, width + j] = none
+            tree[live, width + i] = np.where(here < self.no_rank, here * width + i, none)
+            key = np.where(there < self.no_rank, there * width + h, none)
+            tree[live, width + h] = np.where(none_before, tree[live, width + h], key)
+            nodes = [width + j, width + i, width + h]
+            while nodes[0][0] > 1:
+                nodes = [x >> 1 for x in nodes]
+                for x in nodes:
+                    tree[live, x] = np.minimum(tree[live, 2 * x], tree[live, 2 * x + 1])
+        filled = ids >= 0
+        ends = np.cumsum(filled.sum(1)) * 4
+        flat = ids[filled].astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the packed ids of pieces into memory, those of like length together."""
+        groups: dict[int, list[str]] = {}
+        for piece in pieces:
+            n = len(piece.encode())
+            groups.setdefault(max(2, 1 << (n - 1).bit_length()), []).append(piece)
+        for width, group in groups.items():
+            if width > WIDEST:
+                for piece in group:
+                    packed = np.array(self.merge(piece.encode()), "<u4").tobytes()
+                    self.known[piece] = packed
+                continue
+            step = max(1, CELLS // width)
+            for i in range(0, len(group), step):
+                part = group[i : i + step]
+                packed = self.merge_many([x.encode() for x in part], width)
+                self.known.update(zip(part, packed))
+
+    def _pieces_of(self, text: str) -> list[str]:
+        """The pieces of a text in order, special tokens among them."""
         if self.find_special is None or not self.find_special.search(text):
-            return np.frombuffer(self._plain(text), "<u4")
-        parts = []
+            return self.split(text)
+        out: list[str] = []
         for part in self.find_special.split(text):
-            if part in self.special:
-                parts.append(np.array([self.special[part]], "<u4").tobytes())
-            elif part:
-                parts.append(self._plain(part))
-        return np.frombuffer(b"".join(parts), "<u4")
+            out += [part] if part in self.special else self.split(part)
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, as 4-byte unsigned numbers; texts of any length, in bounded groups."""
+        out, group, chars = [], [], 0
+        for text in texts:
+            group.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                out += self._encode_group(group)
+                group, chars = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > MOST_PIECES:
+            self.known = dict(self.special_ids)
+        split = [self._pieces_of(t) for t in texts]
+        new: set[str] = set()
+        for pieces in split:
+            new.update(pieces)
+        new.difference_update(self.known)
+        self._learn(new)
+        known = self.known.__getitem__
+        ids = [np.frombuffer(b"".join(map(known, pieces)), "<u4") for pieces in split]
+        for piece in new:
+            if len(piece) > LONG_PIECE:
+                del self.known[piece]
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -205,7 +285,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", tokens: str = "to
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = load(vocabulary)
-        ids = [bpe.encode(t) for t in texts_of(batch, at)]
+        ids = bpe.encode_many(texts_of(batch, at))
         ends = np.cumsum([0, *map(len, ids)])
         flat = pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype("<i4"))
         return [
@@ -243,8 +323,8 @@ def digests(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = load(vocabulary)
         counts, ids_sha, decoded_sha = [], [], []
-        for t in texts_of(batch, at):
-            ids = bpe.encode(t).tolist()
+        for packed in bpe.encode_many(texts_of(batch, at)):
+            ids = packed.tolist()
             counts.append(len(ids))
             joined = ",".join(map(bpe.decimal.__getitem__, ids))
             ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -37,6 +38,17 @@ def test_any_text(text):
     assert MINE.decode(ids) == THEIRS.decode(ids, skip_special_tokens=False)
 
 
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_PIECES", 5)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 20)
+    own = bpe.Bpe(PATH)
+    texts = [*EDGES, "many different words in here", "", "x" * 90]
+    for _ in range(2):
+        for text, ids in zip(texts, own.encode_many(texts)):
+            assert ids.tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+    assert all(len(k) <= bpe.LONG_PIECE for k in own.known)
+
+
 def test_ids_that_form_no_character():
     rng = random.Random(1)
     for _ in range(50):
@@ -62,6 +74,9 @@ def test_tree_matches_plain_merging():
     for _ in range(300):
         piece = bytes(rng.choice(b"abcthern ing\xc3\xa9") for _ in range(rng.randrange(1, 40)))
         assert MINE.merge(piece) == plain(piece)
+        for width in (64, 256):
+            packed = MINE.merge_many([piece], width)
+            assert np.frombuffer(packed[0], "<u4").tolist() == plain(piece)
 
 
 def test_operators(spark):
