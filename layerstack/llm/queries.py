@@ -9,7 +9,7 @@ from catalog.session import ship
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerstack.llm import bpe, curriculum, fingerprints, quality
+from layerstack.llm import bpe, curriculum, fingerprints, lattice_lm, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+@register("op6_lattice_lm")
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document by a model of six of seven folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lattice_lm.fold(F.col("doc_id"), 7) == 2
+    model = lattice_lm.fit(docs.where(~held_out), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return lattice_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+        "score",
+    )
+
+
 def _mix_sql() -> str:
     """The mix of `curriculum.mix`: lines, water level and positions, by plain window sums."""
     weights, tilts = curriculum.WEIGHTS, curriculum.TILTS
