@@ -9,7 +9,7 @@ from catalog.session import ship
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerstack.llm import bpe, curriculum, fingerprints, lattice_lm, quality
+from layerstack.llm import bpe, curriculum, fingerprints, lattice_lm, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,13 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op8_substring_dedup")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that 13-word windows of earlier documents cover, removed."""
+    spans = substring_dedup.duplicate_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _mix_sql() -> str:
     """The mix of `curriculum.mix`: lines, water level and positions, by plain window sums."""
     weights, tilts = curriculum.WEIGHTS, curriculum.TILTS
