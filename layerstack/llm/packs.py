@@ -103,20 +103,28 @@ def ask(
     packs: DataFrame,
     entries: Callable[[list, list], tuple[np.ndarray, np.ndarray]],
     answer: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    width: int = 8,
 ) -> DataFrame:
     """Answers to each pack's entries: pack, bucket, n, answers.
 
     entries(ids, texts) gives a pack's distinct hashes, ascending, and their payload (int64).
-    answer(hashes, payload) gets all entries of a bucket and gives a byte for each.
+    answer(hashes, payload) gets all entries of a bucket and gives a byte for each. Hashes are sent
+    by `width` bytes below the bits that the bucket stands for; with fewer than 8, different hashes
+    may be one to the answers, which callers must allow for.
     """
     parts = max(1, int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     buckets = 1 << max(1, (2 * parts - 1).bit_length())
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    bits = buckets.bit_length() - 1
+    shift = np.uint64(64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, texts in _rows(batch):
                 hashes, payload = entries(ids, texts)
+                lower = (hashes << np.uint64(bits)) >> np.uint64(64 - 8 * width)
+                if width == 8:
+                    lower = hashes
+                lower = np.ascontiguousarray(lower.view(np.uint8).reshape(-1, 8)[:, :width])
                 cuts = np.searchsorted(hashes >> shift, np.arange(buckets + 1, dtype=np.uint64))
                 out = [[], [], [], []]
                 for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
@@ -125,7 +133,7 @@ def ask(
                         low = int(own.min())
                         narrow = (own - low).astype(np.min_scalar_type(int(own.max()) - low))
                         out[0].append(b)
-                        out[1].append(hashes[i:j].tobytes())
+                        out[1].append(lower[i:j].tobytes())
                         out[2].append(low)
                         out[3].append(narrow.tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -141,8 +149,12 @@ def ask(
         held: list[tuple] = []
 
         def settle() -> pa.RecordBatch:
-            sizes = [len(r[2]) // 8 for r in held]
-            hashes = np.frombuffer(b"".join(r[2] for r in held), np.uint64)
+            sizes = [len(r[2]) // width for r in held]
+            hashes = np.zeros((sum(sizes), 8), np.uint8)
+            hashes[:, :width] = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(
+                -1, width
+            )
+            hashes = hashes.view(np.uint64)[:, 0]
             payload = np.concatenate(
                 [
                     np.frombuffer(r[4], f"u{len(r[4]) // n}").astype(np.int64) + r[3]

@@ -9,7 +9,15 @@ from catalog.session import ship
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerstack.llm import bpe, curriculum, fingerprints, lattice_lm, quality, substring_dedup
+from layerstack.llm import (
+    bpe,
+    curriculum,
+    fingerprints,
+    lattice_lm,
+    ngram_join,
+    quality,
+    substring_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +69,12 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are similar to at least 0.8."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 @register("op8_substring_dedup")
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that 13-word windows of earlier documents cover, removed."""
