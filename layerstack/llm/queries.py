@@ -15,10 +15,14 @@ from layerstack.llm import (
     fingerprints,
     lattice_lm,
     ngram_join,
+    pii,
     quality,
     substring_dedup,
 )
 
+#: The key of the registered queries' surrogates; a user passes a secret one.
+KEY = "registered queries"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -134,3 +138,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select(
         "doc_id", (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted"
     )
+
+
+@register("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, KEY).select("doc_id", "n_entities", "text")
