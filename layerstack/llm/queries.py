@@ -13,6 +13,7 @@ from layerstack.llm import (
     bpe,
     curriculum,
     fingerprints,
+    hilbert_ann,
     lattice_lm,
     ngram_join,
     pii,
@@ -145,3 +146,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of all documents with surrogates for personal data."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace(docs, KEY).select("doc_id", "n_entities", "text")
+
+
+@register("op5_hilbert_ann")
+def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, by shifted Hilbert orderings."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return hilbert_ann.nearest(vectors, lambda i: i % 100 == 0)
