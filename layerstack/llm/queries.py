@@ -14,6 +14,7 @@ from layerstack.llm import (
     curriculum,
     fingerprints,
     hilbert_ann,
+    html_text,
     lattice_lm,
     ngram_join,
     pii,
@@ -153,3 +154,11 @@ def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one, by shifted Hilbert orderings."""
     vectors = table(spark, sf_dir, "embeddings")
     return hilbert_ann.nearest(vectors, lambda i: i % 100 == 0)
+
+
+@register("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_text.extract(pages)
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
