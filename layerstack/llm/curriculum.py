@@ -102,8 +102,9 @@ def mix(
     weights: Sequence[float] = WEIGHTS,
     tilts: Sequence[float] = TILTS,
     most_repeats: int = MOST_REPEATS,
+    ordered: bool = True,
 ) -> DataFrame:
-    """All documents with their place in the mix, in order of training position.
+    """All documents with their place in the mix, range-sorted by training position if ordered.
 
     Adds size, source_size, target (its source's), taken (words, repeats counted), line_start (its
     first word's place on its source's line), copies (times it is read, in part or whole), tilt,
@@ -158,6 +159,8 @@ def mix(
     )
     placed = placed.withColumn("position", training_position(F.col("line_start")))
     out = placed.select(*[f"`{c}`" for c in without(df, *ADDED).columns], *ADDED)
+    if not ordered:
+        return out
     return out.orderBy(F.col("position").asc_nulls_last(), F.col(f"`{doc_id}`"))
 
 

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerstack.llm.common import WordHashes, gram_hashes, stored
@@ -75,6 +75,12 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def text_hash(text: str | None) -> int:
+    """The text's xxhash64 as Spark gives it; null as empty."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _entries(sets: list[np.ndarray], keys: list[bytes]):
     """Distinct shingles of a pack and in how many different sets they are."""
     different = list({k: s for k, s in zip(keys, sets)}.values())
@@ -96,7 +102,7 @@ def _commonness(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def ordered_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n (size), key, prefix and shingles.
+    """Per document: doc_id, text_hash (Spark's xxhash64), n (size), key, prefix and shingles.
 
     prefix holds the prefix shingles that other sets have too; shingles the whole ordered set
     (8 bytes each) where there are any and the pack has not given this set before.
@@ -129,15 +135,18 @@ def ordered_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         flat = np.concatenate([np.empty(0, np.int64), *prefixes])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(ids, pa.int64()), pa.array(map(text_hash, texts), pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(keys, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 pa.array(wholes, pa.binary()),
             ],
-            names=["doc_id", "n", "key", "prefix", "shingles"],
+            names=["doc_id", "text_hash", "n", "key", "prefix", "shingles"],
         )
 
-    schema = "doc_id long, n long, key binary, prefix array<long>, shingles binary"
+    schema = (
+        "doc_id long, text_hash long, n long, key binary, prefix array<long>, shingles binary"
+    )
     return join_answers(packs, answers, schema, make)
 
 
@@ -297,8 +306,8 @@ def verified_links(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id (smallest id reachable by links)."""
+def _grouped(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per document: doc_id, text_hash, n, and its group: root, or the key of its set if alone."""
     sets = stored(ordered_sets(df, doc_id, text), "join-sets")
     classes = sets.where("shingles IS NOT NULL").dropDuplicates(["key"])
     classes = stored(
@@ -308,10 +317,18 @@ def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     roots = components(candidate_links(classes))
     found = components(verified_links(classes, roots))
     named = found.join(classes.select(F.col("cls").alias("node"), "key"), "node")
-    named = named.select("key", "root")
-    docs = sets.select("doc_id", "n", "key").join(named, "key", "left").select(
-        "doc_id", "n", "root", F.when(F.col("root").isNull(), F.col("key")).alias("alone")
+    grouped = sets.select("doc_id", "text_hash", "n", "key").join(
+        named.select("key", "root"), "key", "left"
+    )
+    return grouped.select(
+        "doc_id", "text_hash", "n", "root",
+        F.when(F.col("root").isNull(), F.col("key")).alias("alone"),
     )
+
+
+def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id (smallest id reachable by links)."""
+    docs = _grouped(df, doc_id, text)
     least = docs.where("n > 0").groupBy("root", "alone").agg(F.min("doc_id").alias("component"))
     least = least.select(F.col("root").alias("r"), F.col("alone").alias("k"), "component")
     linked = docs.where("n > 0 AND root IS NOT NULL").join(
@@ -327,3 +344,32 @@ def join_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, that with the smallest id (null last), with all its columns.
+
+    Documents without words are in no component and stay.
+    """
+    docs = _grouped(df, doc_id, text)
+    null = F.col("doc_id").isNull()
+    first = docs.where("n > 0").groupBy("root", "alone").agg(
+        F.min(F.struct(null.alias("null"), "doc_id", "text_hash")).alias("first")
+    ).select("first.doc_id", "first.text_hash", F.lit(True).alias("_once"))
+    empty = docs.where("n = 0").select("doc_id", "text_hash", F.lit(False).alias("_once")).distinct()
+    stays = first.union(empty).select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), null.alias("_null"),
+        F.col("text_hash").alias("_hash"), "_once",
+    )
+    own = F.col(f"`{doc_id}`").cast("long")
+    keyed = df.select(
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)],
+        F.coalesce(own, F.lit(0)).alias("_id"), own.isNull().alias("_null"),
+        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_hash"),
+    )
+    keys = ["_id", "_null", "_hash"]
+    kept = keyed.join(stays, keys)
+    # Equal rows are one component; the join has brought them together already.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    kept = kept.withColumn("_place", place).where("_place = 1 OR NOT _once")
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])

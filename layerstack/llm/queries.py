@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from catalog.session import ship
 from pyspark.sql import DataFrame, SparkSession
@@ -162,3 +163,9 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     text = html_text.extract(pages)
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that pass all stages of the pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -116,9 +116,29 @@ def test_components_of_links(spark):
     assert got == root
 
 
+def test_keep_one(spark):
+    rows = corpus(9, 60) + [(None, "no id but five words"), (9999, "No Id but\tfive words"), (None, None), (None, None)]
+    rows += [(10000, ""), (7, "five words or more here"), (7, "five words or more here"), (7, "another text of that id")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _id string")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = []
+    for r in set(root):
+        members = [row for k, row in enumerate(rows) if root[k] == r]
+        want.append(min((d for d, _ in members if d is not None), default=None))
+    assert sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join_components(df).count() == 0
+    assert ngram_join.keep_one(df).count() == 0
 
 
 def test_query(spark, llm):
