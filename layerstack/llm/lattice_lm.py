@@ -46,11 +46,14 @@ from pyspark.sql import functions as F
 from layerstack.llm.common import stored
 
 HEAD, HEAD_BYTES = 200_000, 64
-#: Entries of a task's partial counts before they are handed on.
-PARTIAL = 400_000
+#: Entries of a task's partial counts before they are handed on, and documents scored at once.
+PARTIAL, SLICE = 250_000, 500
 #: Weight of the vocabulary's own scores beside the expected counts.
 PRIOR_SHARE = 0.02
 SPACE = b" \t\n\r\x0b\x0c"
+#: Offset of sums per byte, longest word summed relative to it, and smallest such sum.
+LOG_BYTE, SHORT, SMALLEST = math.log(20.0), 64, 1e-250
+LOG_TEN = math.log(10)
 
 
 @functools.cache
@@ -78,6 +81,57 @@ def automaton(path: str) -> ahocorasick.Automaton:
     return found
 
 
+class Pieces:
+    """Scores of the vocabulary's pieces, for sums over segmentations.
+
+    A word's sum is kept relative to BYTE ** n, with each piece's weight multiplied by BYTE per
+    byte, which keeps it within the range of numbers for words of usual length; where it leaves
+    that range, and for long words, the recursion runs on logarithms throughout.
+    """
+
+    def __init__(self, path: str, log_q: list[float], log_stop: float = 0.0):
+        self.log_q, self.log_stop = log_q, log_stop
+        lengths = np.array([len(p) for p in read_pieces(path)[0]])
+        self.weights = np.exp(np.array(log_q) + lengths * LOG_BYTE).tolist()
+        self.find = automaton(path).iter
+
+    def log_sum(self, word: bytes) -> float:
+        """Log of the summed weight of all segmentations."""
+        n = len(word)
+        if n <= SHORT:
+            weights, alpha = self.weights, [1.0] + [0.0] * n
+            for end, (m, i) in self.find(word.decode("latin-1")):
+                alpha[end + 1] += alpha[end + 1 - m] * weights[i]
+            if alpha[n] > SMALLEST:
+                return math.log(alpha[n]) - n * LOG_BYTE
+        return forward(word, self.find, self.log_q)[-1]
+
+    def spell(self, word: bytes) -> float:
+        """Log10 of the probability of a spelling, its end included."""
+        return (self.log_sum(word) + self.log_stop) / LOG_TEN
+
+    def add_expected(self, word: bytes, into: list[float]) -> float:
+        """Add the expected number of uses of each piece; returns the expected number of pieces."""
+        n = len(word)
+        matches = list(self.find(word.decode("latin-1")))
+        if n > SHORT:
+            return expected_counts(word, matches, self.log_q, into)
+        weights, alpha, beta = self.weights, [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for end, (m, i) in matches:
+            alpha[end + 1] += alpha[end + 1 - m] * weights[i]
+        total, used = alpha[n], 0.0
+        if total <= SMALLEST:
+            return expected_counts(word, matches, self.log_q, into)
+        for end, (m, i) in reversed(matches):
+            x = weights[i] * beta[end + 1]
+            begin = end + 1 - m
+            beta[begin] += x
+            share = alpha[begin] * x / total
+            into[i] += share
+            used += share
+        return used
+
+
 def forward(word: bytes, matches, log_q: list[float]) -> list[float]:
     """Log of the summed weight of all segmentations of each prefix."""
     n = len(word)
@@ -109,9 +163,8 @@ def _log_sum(terms: list[float]) -> float:
     return top + math.log(sum([exp(x - top) for x in terms]))
 
 
-def expected_counts(word: bytes, found, log_q: list[float], into: np.ndarray | list[float]) -> float:
-    """Add the expected number of uses of each piece; returns the expected number of pieces."""
-    matches = list(found.iter(word.decode("latin-1")))
+def expected_counts(word: bytes, matches: list, log_q: list[float], into: list[float]) -> float:
+    """As Pieces.add_expected, on logarithms throughout."""
     alpha = forward(word, lambda _: matches, log_q)
     n = len(word)
     total = alpha[n]
@@ -148,11 +201,12 @@ class LatticeModel:
     counts: DataFrame  # word (null for lines), line, c
     head: dict[bytes, int]  # word: c
 
+    def pieces(self) -> Pieces:
+        return Pieces(self.vocabulary, self.log_q, self.log_stop)
+
     def spell(self, word: bytes) -> float:
         """Log10 of the spelling's probability."""
-        q = self.log_q
-        alpha = forward(word, automaton(self.vocabulary).iter, q)
-        return (alpha[-1] + self.log_stop) / math.log(10)
+        return self.pieces().spell(word)
 
     def word_log10(self, count, spelled):
         """Log10 of P(word), in numbers or arrays."""
@@ -231,10 +285,10 @@ def fit(docs: DataFrame, vocabulary: str, text: str = "text", head: int = HEAD)
     log_q = np.log(prior * (1 - stop)).tolist()
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, found, n, used = [0.0] * len(log_q), automaton(vocabulary), 0, 0.0
+        sums, pieces, n = [0.0] * len(log_q), Pieces(vocabulary, log_q), 0
         for batch in batches:
             for word in batch.column(0).cast(pa.binary()).to_pylist():
-                used += expected_counts(word, found, log_q, sums)
+                pieces.add_expected(word, sums)
                 n += 1
         values = np.array([*sums, n])
         at = np.flatnonzero(values)
@@ -254,10 +308,7 @@ def fit(docs: DataFrame, vocabulary: str, text: str = "text", head: int = HEAD)
         stop = n_words / (n_words + used)
         log_q = np.log(q * (1 - stop)).tolist()
 
-    frequent = (
-        counts.where(is_word & (F.octet_length("word") <= HEAD_BYTES))
-        .orderBy(F.desc("c"), "word").limit(head).collect()
-    )
+    frequent = _frequent(counts.where(is_word & (F.octet_length("word") <= HEAD_BYTES)), head)
     line_tokens, lines, again = figures["line_tokens"], figures["lines"], figures["again"]
     units = again + figures["tokens"] + texts
     line_discount = 0.5
@@ -273,10 +324,26 @@ def fit(docs: DataFrame, vocabulary: str, text: str = "text", head: int = HEAD)
         line_mass=line_tokens - line_discount * lines,
         line_discount=line_discount,
         counts=counts,
-        head={r["word"].encode(): r["c"] for r in frequent},
+        head=frequent,
     )
 
 
+def _frequent(words: DataFrame, most: int) -> dict[bytes, int]:
+    """At most `most` words: all those from the lowest count at which there are no more."""
+    step = F.floor(F.log2("c") * 8)
+    rows = words.groupBy(step.alias("step")).count().collect()  # eight rows for each power of two
+    total, low = 0, None
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > most:
+            break
+        low = r["step"]
+    if low is None:
+        return {}
+    table = words.where(step >= low).select(F.col("word").cast("binary"), "c").toArrow()
+    return dict(zip(table["word"].to_pylist(), table["c"].to_pylist()))
+
+
 def score(
     df: DataFrame, model: LatticeModel, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -284,7 +351,8 @@ def score(
     spark = df.sparkSession
     head_words = list(model.head)
     counts = np.array([model.head[w] for w in head_words], float)
-    spelled = np.array([model.spell(w) for w in head_words])
+    pieces = model.pieces()
+    spelled = np.array([pieces.spell(w) for w in head_words])
     vectors = (np.log10(counts + 1), model.word_log10(counts, spelled)) if head_words else None
     head = spark.sparkContext.broadcast(
         ({w: i for i, w in enumerate(head_words)}, vectors, model.log_q, model.log_stop)
@@ -294,7 +362,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, vectors, log_q, log_stop = head.value
         log_c, log_p = vectors if vectors else (np.zeros(1), np.zeros(1))
-        find, ten = automaton(vocabulary).iter, math.log(10)
+        pieces = Pieces(vocabulary, log_q, log_stop)
         known: dict[bytes, float] = {}
         # Deterministic: the same rows come in the same order when a task is run again.
         key = (TaskContext.get().partitionId() << 40) - 1
@@ -303,14 +371,14 @@ def score(
         def spell(word: bytes) -> float:
             value = known.get(word)
             if value is None:
-                value = (forward(word, find, log_q)[-1] + log_stop) / ten
+                value = pieces.spell(word)
                 if len(word) <= HEAD_BYTES:
                     if len(known) > PARTIAL:
                         known.clear()
                     known[word] = value
             return value
 
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             docs: list[tuple] = []
             lines: list[tuple] = []
             tails: list[tuple] = []

@@ -35,15 +35,25 @@ def test_forward_sums_all_segmentations(word):
         for p in s:
             uses[p] += math.prod(q[x] for x in s) / total
     got = [0.0] * len(names)
-    used = lm.expected_counts(word, lm.automaton(PATH), log_q, got)
+    used = lm.expected_counts(word, list(lm.automaton(PATH).iter(word.decode("latin-1"))), log_q, got)
     assert used == pytest.approx(sum(uses.values()))
     assert {names[i]: v for i, v in enumerate(got) if v} == pytest.approx(dict(uses))
+    pieces, again = lm.Pieces(PATH, log_q), [0.0] * len(names)
+    assert pieces.log_sum(word) == pytest.approx(math.log(total))
+    assert pieces.add_expected(word, again) == pytest.approx(used)
+    assert again == pytest.approx(got)
 
 
 def test_long_words_do_not_underflow():
     _, prior = lm.read_pieces(PATH)
     value = lm.forward(b"zq" * 5000, lm.automaton(PATH).iter, np.log(prior).tolist())[-1]
     assert -200_000 < value < -10_000
+    pieces = lm.Pieces(PATH, np.log(prior).tolist())
+    for word in (b"zq" * 5000, b"\xfe" * 64, b"\x01" * 40):
+        exact = lm.forward(word, lm.automaton(PATH).iter, pieces.log_q)[-1]
+        assert pieces.log_sum(word) == pytest.approx(exact)
+        counts = [0.0] * len(prior)
+        assert pieces.add_expected(word, counts) == pytest.approx(sum(counts))
 
 
 def plain(docs, model, training):
