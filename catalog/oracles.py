@@ -159,20 +159,38 @@ def hashed_mask(
 # --- one layer -------------------------------------------------------------------------------
 
 
+_SIGMOID = "(1e0 / (1e0 + exp(-z)))"
+_TANH = "(1e0 - 2e0 / (exp(2e0 * z) + 1e0))"
+#: Activations and their derivatives in z.
+ACTIVATION_SQL = {
+    "sigmoid": (_SIGMOID, f"{_SIGMOID} * (1e0 - {_SIGMOID})"),
+    "tanh": (_TANH, f"1e0 - {_TANH} * {_TANH}"),
+    "relu": ("greatest(z, 0e0)", "CASE WHEN z >= 0 THEN 1e0 ELSE 0e0 END"),
+    "lrelu": (
+        "CASE WHEN z >= 0 THEN z ELSE 0.01e0 * z END", "CASE WHEN z >= 0 THEN 1e0 ELSE 0.01e0 END",
+    ),
+    "elu": (
+        "CASE WHEN z >= 0 THEN z ELSE 0.05e0 * (exp(z) - 1e0) END",
+        "CASE WHEN z >= 0 THEN 1e0 ELSE 0.05e0 * exp(z) END",
+    ),
+}
+
+
 class Layer:
     """SQL names of a forward and backward pass over x(id, i, v) with given weight tables."""
 
     def __init__(
         self, sql: Sql, tag: str, x: str, n: int, w: str, s: str, method: str,
         semantics: str, mask: str | None = None, tied: bool = False, p: float = 0.05,
-        beta: float = 1e-10,
+        beta: float = 1e-10, activation: str = "sigmoid",
     ):
         self.sql, self.tag, self.n = sql, tag, n
         rules = Rules.of(semantics)
         add = self._add
         self.a = add("a", self._masked(x, mask))
         z = f"SELECT a.id, w.j, sum(a.v * w.w) AS z FROM {self.a} a JOIN {w} w USING (i) GROUP BY 1, 2"
-        self.h = add("h", f"SELECT id, j, {sigmoid('z')} AS h FROM ({z})")
+        f, slope = ACTIVATION_SQL[activation]
+        self.h = add("h", f"SELECT id, j, {f} AS h, {slope} AS d FROM ({z})")
         self.hb = add(
             "hb",
             f"SELECT id, j + 1 AS i, h AS v FROM {self.h} UNION ALL "
@@ -192,10 +210,11 @@ class Layer:
             f"FROM {self.e} GROUP BY id",
         )
         self.pj = add("p", f"SELECT j, avg(h) AS p FROM {self.h} GROUP BY j")
+        c = "greatest(least(p, 1e0 - 1e-14), 1e-14)" if rules.guard else "p"
         self.kl = add(
             "kl",
-            f"SELECT j, p, {p} * ln({p} / p) + (1e0 - {p}) * ln((1e0 - {p}) / (1e0 - p)) AS kl, "
-            f"(1e0 - {p}) / (1e0 - p) - {p} / p AS pull FROM {self.pj}",
+            f"SELECT j, p, {p} * ln({p} / c) + (1e0 - {p}) * ln((1e0 - {p}) / (1e0 - c)) AS kl, "
+            f"(1e0 - {p}) / (1e0 - c) - {p} / c AS pull FROM (SELECT j, p, {c} AS c FROM {self.pj})",
         )
         self.sparse = method == "sparse"
         self.pull = number(beta**rules.beta_power) if self.sparse else "0e0"
@@ -204,12 +223,12 @@ class Layer:
                "ON e.g = s.j WHERE s.i > 0 GROUP BY 1, 2"
         self.eh = add(
             "eh",
-            f"SELECT id, j, (b + {self.pull} * pull) * h * (1e0 - h) AS e "
+            f"SELECT id, j, (b + {self.pull} * pull) * d AS e "
             f"FROM ({back}) JOIN {self.h} USING (id, j) JOIN {self.kl} USING (j)",
         )
         encoder = f"SELECT a.i, d.j, sum(a.v * d.e) AS g FROM {self.a} a JOIN {self.eh} d " \
                   "USING (id) GROUP BY 1, 2"
-        if tied:
+        if tied and not rules.encoder_path:
             shared = f"SELECT e.g + 1 AS i, h.j, sum(e.e * h.h) AS g FROM {self.e} e " \
                      f"JOIN {self.h} h USING (id) GROUP BY 1, 2"
             encoder = f"SELECT i, j, sum(g) AS g FROM ({encoder} UNION ALL {shared}) GROUP BY 1, 2"

@@ -116,6 +116,72 @@ def activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ODD_Z = (
+    "CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN CAST('NaN' AS DOUBLE) "
+    "ELSE (l_discount - 5e-2) * 6e1 + (l_tax - 4e-2) * 2e1 END"
+)
+
+
+def _nulls_oracle() -> str:
+    """Formulas of floating point: NaN is neither at least 0 nor below, and stays in sums."""
+    sql = o.Sql()
+    sql.add("t", f"SELECT l_orderkey, l_linenumber, {_ODD_Z} AS z FROM lineitem")
+    at_nan = {"drelu": "0e0", "dlrelu": "0.01e0"}
+    clamp = "greatest(least(z, 1e0 - 1e-14), 1e-14)"
+    columns = []
+    for name, body in [*_ACTIVATION_SQL.items(), ("clamped", clamp)]:
+        nan = at_nan.get(name, "-999e0")
+        columns.append(
+            f"CASE WHEN z IS NULL THEN NULL WHEN isnan(z) THEN {nan} ELSE {o.rounded(body)} END "
+            f"AS {name}"
+        )
+    return sql.render(f"SELECT l_orderkey, l_linenumber, {', '.join(columns)} FROM t")
+
+
+@register("activations_nulls", _nulls_oracle())
+def activations_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scalar functions with nulls and NaN among the values; NaN results are shown as -999."""
+    shown = lambda c: F.when(F.isnan(c), -999.0).otherwise(r6(c))
+    columns = []
+    for name, (f, df) in fn.ACTIVATIONS.items():
+        columns += [shown(f("z")).alias(name), shown(df("z")).alias(f"d{name}")]
+    columns.append(shown(fn.clamp_probability("z")).alias("clamped"))
+    table = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", F.expr(_ODD_Z).alias("z"))
+    return table.select("l_orderkey", "l_linenumber", *columns)
+
+
+_ODD_P = (
+    "CASE WHEN l_linenumber = 1 THEN 0e0 WHEN l_linenumber = 2 THEN 1e0 "
+    "ELSE avg(l_discount) * 5e0 END"
+)
+
+
+def _saturated_oracle() -> str:
+    sql = o.Sql()
+    sql.add("t", f"SELECT l_linenumber AS unit, {_ODD_P} AS p FROM lineitem GROUP BY l_linenumber")
+    sql.add("c", "SELECT unit, p, greatest(least(p, 1e0 - 1e-14), 1e-14) AS c FROM t")
+    kl = "5e-2 * ln(5e-2 / c) + 0.95e0 * ln(0.95e0 / (1e0 - c))"
+    pull = "ln(1e0 + abs(0.95e0 / (1e0 - c) - 5e-2 / c))"
+    return sql.render(
+        f"SELECT unit, {o.rounded(kl)} AS kl, {o.rounded(pull)} AS pull, "
+        "p = 0 OR p = 1 AS infinite FROM c"
+    )
+
+
+@register("kl_saturated", _saturated_oracle())
+def kl_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparsity terms of units of which some are dead or saturated, with and without the guard."""
+    units = lineitem(spark, sf_dir).groupBy(F.col("l_linenumber").alias("unit")).agg(
+        F.expr(_ODD_P).alias("p")
+    )
+    infinite = F.abs(fn.kl_gradient("p", 0.05, guard=False)) == float("inf")
+    return units.select(
+        "unit", r6(fn.kl_term("p", 0.05)).alias("kl"),
+        r6(F.log(1 + F.abs(fn.kl_gradient("p", 0.05)))).alias("pull"),
+        ((fn.kl_term("p", 0.05, guard=False) == float("inf")) & infinite).alias("infinite"),
+    )
+
+
 def _array_oracle() -> str:
     sql = o.Sql()
     o.embeddings_raw(sql)
@@ -331,7 +397,7 @@ for _name in ("tanh", "relu", "lrelu", "elu"):
 
 
 def _layer(table: str, k: int, method: str, semantics: str = "standard", tied: bool = False,
-           beta: float = BETA) -> tuple[o.Sql, o.Layer]:
+           beta: float = BETA, activation: str = "sigmoid") -> tuple[o.Sql, o.Layer]:
     """The first pass over the first layer."""
     sql, n = o.source(table)
     (w, s), = start_tables(sql, [n, k], semantics)
@@ -340,7 +406,10 @@ def _layer(table: str, k: int, method: str, semantics: str = "standard", tied: b
         mask = sql.add("fm", f"SELECT i, v AS k FROM ({o.vector_values(fixed_mask(n))})")
     elif method == "denoising":
         mask = o.hashed_mask(sql, "hm", n, 1, 0, 0, 0.5)
-    return sql, o.Layer(sql, "q", "x1", n, w, s, method, semantics, mask, tied, 0.05, beta)
+    layer = o.Layer(
+        sql, "q", "x1", n, w, s, method, semantics, mask, tied, 0.05, beta, activation
+    )
+    return sql, layer
 
 
 def _reconstruct_oracle() -> str:
@@ -494,8 +563,13 @@ def kl_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _gradient_oracle(table: str, k: int, method: str, semantics: str, tied: bool) -> str:
-    sql, layer = _layer(table, k, method, semantics, tied)
+def _gradient_oracle(table: str, k: int, method: str, semantics: str, tied: bool,
+                     activation: str = "sigmoid") -> str:
+    sql, layer = _layer(table, k, method, semantics, tied, activation=activation)
+    return _gradient_select(sql, layer, tied)
+
+
+def _gradient_select(sql: o.Sql, layer: o.Layer, tied: bool) -> str:
     parts = [("encoder", layer.gw)] + ([] if tied else [("decoder", layer.gs)])
     return sql.render(" UNION ALL ".join(
         f"SELECT '{role}' AS role, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, "
@@ -523,6 +597,36 @@ for _semantics in ("standard", "reference"):
         _register_gradient(_method, _semantics)
 _register_gradient("regular", "standard", tied=True)
 _register_gradient("denoising", "reference", tied=True)
+_register_gradient("sparse", "standard", tied=True)
+
+
+def _register_gradient_activation(activation: str) -> None:
+    @register(f"gradients_{activation}",
+              _gradient_oracle("embeddings", 6, "regular", "standard", False, activation))
+    def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = embeddings(spark, sf_dir)
+        model = start_model(df, [6], method="regular", activation=activation, **EMBEDDING)
+        return model.gradients(df).withColumn("g", r6("g"))
+
+
+for _name in ("tanh", "relu", "lrelu", "elu"):
+    _register_gradient_activation(_name)
+
+
+def _gradient_layer2_oracle() -> str:
+    sql, n = o.source("embeddings")
+    (w1, _), (w2, s2) = start_tables(sql, [n, 8, 4])
+    codes = o.forward(sql, "c1", "x1", w1)
+    layer = o.Layer(sql, "q", codes, 8, w2, s2, "sparse", "standard", None, False, 0.05, BETA)
+    return _gradient_select(sql, layer, False)
+
+
+@register("gradients_layer2", _gradient_layer2_oracle())
+def gradients_layer2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient sums of the second layer, on the codes of the first."""
+    df = embeddings(spark, sf_dir)
+    model = start_model(df, [8, 4], method="sparse", beta=BETA, **EMBEDDING)
+    return model.gradients(df, layer=2).withColumn("g", r6("g"))
 
 
 def _register_gradient_columns(method: str) -> None:
@@ -719,7 +823,8 @@ def weights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = model.export_text(scratch(spark, "text"), "line")
     again = op.model_table(spark, import_text(spark, path), [])
     return text_lines(again, [4, 3, 2]).where("layer > 0").select(
-        "layer", "pos", r6(F.col("value").cast("double")).alias("w")
+        "layer", F.col("pos").cast("int").alias("pos"),
+        r6(F.col("value").cast("double")).alias("w"),
     )
 
 

@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+from layerstack.plans.training import checkpoint_folder
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 
@@ -30,6 +32,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster, or a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path in the folder that the cluster shares; a temporary one only on a local master."""
+    folder = checkpoint_folder(spark)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.gettempdir()
     return f"{folder.rstrip('/')}/layerstack-{name}-{uuid.uuid4().hex}"

@@ -204,7 +204,10 @@ def layer_sums(
     if spec.tied:
         hidden = (e @ w[1:]) * slopes
         decoder = np.zeros_like(s)
-        encoder = _with_bias_row(a.T @ hidden + e.T @ h, hidden.sum(axis=0))
+        weights = a.T @ hidden
+        if not spec.rules.encoder_path:
+            weights += e.T @ h
+        encoder = _with_bias_row(weights, hidden.sum(axis=0))
     else:
         hidden = (e @ s[1:].T) * slopes
         decoder = _with_bias_row(h.T @ e, e.sum(axis=0))

@@ -65,13 +65,15 @@ def mean_activation(source: Source, shared: Shared, upto: int, tasks: int) -> Da
     )
 
 
-def sparsity_terms(activity: DataFrame, target: float, beta: float) -> DataFrame:
+def sparsity_terms(
+    activity: DataFrame, target: float, beta: float, guard: bool = True
+) -> DataFrame:
     """`(unit, p, kl, kl_gradient)` from a mean-activation table."""
     return activity.select(
         "unit",
         "p",
-        kl_term("p", target).alias("kl"),
-        kl_gradient("p", target, beta).alias("kl_gradient"),
+        kl_term("p", target, guard).alias("kl"),
+        kl_gradient("p", target, beta, guard).alias("kl_gradient"),
     )
 
 
@@ -217,7 +219,8 @@ def _penalty(spec: LayerSpec, target: float, beta: float) -> Column:
     if spec.method != "sparse":
         return F.lit(0.0)
     weight = beta**spec.rules.beta_power
-    pull = kl_gradient(F.col("active") / F.col("m"), target, weight) * F.col("lever")
+    mean = F.col("active") / F.col("m")
+    pull = kl_gradient(mean, target, weight, spec.rules.guard) * F.col("lever")
     return F.when(F.col("role") == "encoder", pull).otherwise(0.0)
 
 
@@ -248,8 +251,8 @@ def checked_gradients(
     rows = _entry_rows(source, shared, layer, shape, eps, tasks)
     numeric = (F.col("plus") - F.col("minus")) / m / (2 * eps)
     if spec.method == "sparse" and spec.rules.beta_power == 1:
-        up = kl_term(F.col("active_plus") / m, target)
-        down = kl_term(F.col("active_minus") / m, target)
+        up = kl_term(F.col("active_plus") / m, target, spec.rules.guard)
+        down = kl_term(F.col("active_minus") / m, target, spec.rules.guard)
         numeric = numeric + F.when(
             F.col("role") == "encoder", beta * (up - down) / (2 * eps)
         ).otherwise(0.0)

@@ -82,9 +82,13 @@ def corrupt(
     layer: int = 1,
     epoch: int = 0,
     output: str = "corrupted",
+    width: int = 0,
 ) -> DataFrame:
     """Add a copy of the features with a share `drop` of them set to 0.
 
+    With `width`, a vector of another width is refused; without, those of one Arrow batch must
+    agree. Null vectors stay null.
+
     The mask is a hash of the row's id columns, the feature position, layer, epoch and seed:
     the same whatever the partitioning, and the one denoising training uses.
     """
@@ -93,9 +97,9 @@ def corrupt(
     keep_threshold(drop)
 
     def masked(column: pa.Array, key: pa.Array) -> np.ndarray:
-        width = len(column[0]) if len(column) else 0
+        n = width or (len(column[0]) if len(column) else 0)
         keys = key.to_numpy(zero_copy_only=False)
-        return features_block(column, width) * hash_mask(keys, width, drop, layer, epoch, seed)
+        return features_block(column, n) * hash_mask(keys, n, drop, layer, epoch, seed)
 
     x = feature_column(df, features)
     return df.withColumn(output, keyed_vector_udf(masked, x, F.xxhash64(*ids)))

@@ -19,11 +19,12 @@ class Rules:
     decay: bool  # L2 both in the gradient and as a decay factor
     guard: bool  # keep probabilities off 0 and 1 in the loss, and the step's norm off 0
     same_init: bool  # every layer starts from the same generator seed
+    encoder_path: bool  # tied decoder: the gradient leaves out the path through the decoder
 
     @staticmethod
     def of(semantics: str) -> Rules:
         if semantics == "standard":
-            return Rules(False, False, False, 1, False, True, False)
+            return Rules(False, False, False, 1, False, True, False, False)
         if semantics == "reference":
-            return Rules(True, True, True, 2, True, False, True)
+            return Rules(True, True, True, 2, True, False, True, True)
         raise ValueError(f"semantics must be one of {SEMANTICS}, not {semantics!r}")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from layerstack.operators.tables import Source
+from layerstack.operators.tables import Source, result_bytes
 
 # Largest total of partial sums that is brought to the driver directly.
 COLLECT_BYTES = 256 << 20
@@ -87,6 +87,12 @@ def sum_blocks(
     cut into chunks and added up by a shuffle first. Partials are added in partition order, so
     a sum is repeatable.
     """
+    limit = result_bytes(source.df.sparkSession)
+    if 8 * size > limit // 2:
+        raise ValueError(
+            f"one total takes {8 * size} bytes: set spark.driver.maxResultSize to twice as much"
+        )
+    collect_bytes = min(collect_bytes, limit // 2)
     direct = partials * size * 8 <= collect_bytes
     buckets, length = 1, size
     if not direct:

@@ -27,8 +27,8 @@ BLOCK_ROWS = 256
 LARGE_BLOCK_BYTES = 32 << 20
 # Weights above this size travel as a broadcast instead of inside the task closure.
 CLOSURE_BYTES = 1 << 20
-# Weights live on the driver and in every Python worker, so their size is bounded.
-MODEL_BYTES = 2 << 30
+# Weights live on the driver and in every Python worker, so their size is bounded (by default).
+MODEL_BYTES = 256 << 20
 # A pass has at most this many tasks (or four per core, if that is more).
 MIN_TASK_BOUND = 4096
 
@@ -36,17 +36,22 @@ Ranges = tuple[np.ndarray, np.ndarray] | None
 Reader = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray | None]]]
 
 
-def check_model_bytes(arrays: list[np.ndarray]) -> None:
-    size = sum(a.nbytes for a in arrays)
-    if size > MODEL_BYTES:
-        raise ValueError(f"weights take {size} bytes; at most {MODEL_BYTES} are supported")
+def check_model_bytes(size: int, limit: int) -> None:
+    """Refuse what the driver and every worker would have to hold."""
+    if size > limit:
+        raise ValueError(f"weights take {size} bytes; modelBytes allows {limit}")
+
+
+def result_bytes(spark: SparkSession) -> int:
+    """How much one job may send to the driver."""
+    conf = spark.sparkContext._jsc.sc().conf()
+    return conf.getSizeAsBytes("spark.driver.maxResultSize", "1g") or 1 << 62
 
 
 class Shared:
     """A value for tasks: in the closure when small, else one broadcast."""
 
     def __init__(self, spark: SparkSession, value: Any, arrays: list[np.ndarray]):
-        check_model_bytes(arrays)
         large = sum(a.nbytes for a in arrays) > CLOSURE_BYTES
         self._broadcast = spark.sparkContext.broadcast(value) if large else None
         self._value = None if large else value

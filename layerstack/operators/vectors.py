@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 def _lists(y: np.ndarray) -> pa.Array:
     rows, width = y.shape
-    offsets = np.arange(0, rows * width + 1, width, dtype="i4")
+    offsets = np.arange(rows + 1, dtype="i4") * width
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel().astype("f8", copy=False)))
 
 

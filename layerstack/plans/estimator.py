@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from layerstack.functions.activations import ACTIVATIONS
 from layerstack.operators import gradients, matrices, scoring
 from layerstack.operators.randoms import keep_threshold
-from layerstack.operators.rules import METHODS, SEMANTICS
+from layerstack.operators.rules import METHODS, SEMANTICS, Rules
 from layerstack.operators.tables import (
+    MODEL_BYTES,
     Shared,
     Source,
     feature_column,
@@ -71,8 +72,12 @@ class _StackParams(Params):
     numFeatures = Param(Params._dummy(), "numFeatures", "expected width; 0 to infer it",
                         TypeConverters.toInt)
     storage = Param(Params._dummy(), "storage",
-                    "where codes are kept while training: auto, cache or table",
+                    "where codes are kept while training: auto, cache or table; source keeps no "
+                    "copy of the input, which each epoch of the first layer scans",
                     TypeConverters.toString)
+    modelBytes = Param(Params._dummy(), "modelBytes",
+                       "most bytes of weights, which the driver and every worker hold",
+                       TypeConverters.toInt)
     maxTasks = Param(Params._dummy(), "maxTasks",
                      "most tasks of an epoch job; 0 for four per core (at least 4096)",
                      TypeConverters.toInt)
@@ -84,6 +89,7 @@ class _StackParams(Params):
             method="denoising", epochs=15, learning=0.1, lmbda=1e-10, beta=1e-10,
             sparsity=0.05, semantics="standard", activation="sigmoid", decoder="separate",
             corruption=0.5, seed=0, scaling=True, numFeatures=0, storage="auto", maxTasks=0,
+            modelBytes=MODEL_BYTES,
         )
 
     def _get(self, name: str):
@@ -98,7 +104,7 @@ class _StackParams(Params):
             "semantics": SEMANTICS,
             "activation": tuple(ACTIVATIONS),
             "decoder": ("separate", "tied"),
-            "storage": ("auto", "cache", "table"),
+            "storage": ("auto", "cache", "table", "source"),
         }
         for name, allowed in one_of.items():
             if self._get(name) not in allowed:
@@ -125,6 +131,7 @@ class _StackParams(Params):
             corruption=self._get("corruption"), seed=self._get("seed"),
             scaling=self._get("scaling"), width=self._get("numFeatures"),
             storage=self._get("storage"), max_tasks=self._get("maxTasks"),
+            model_bytes=self._get("modelBytes"),
         )
         if settings.spec(1).keyed and not settings.ids and settings.epochs:
             raise ValueError("denoising draws a mask per row: name the id columns in idCols")
@@ -145,6 +152,7 @@ class StackedAutoencoder(
         method=None, epochs=None, learning=None, lmbda=None, beta=None, sparsity=None,
         semantics=None, activation=None, decoder=None, corruption=None, seed=None,
         scaling=None, numFeatures=None, storage=None, maxTasks=None,
+        modelBytes=None,
     ):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -267,7 +275,8 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
     def sparsity_terms(self, df: DataFrame, upto: int | None = None) -> DataFrame:
         """`(unit, p, kl, kl_gradient)` for the model's sparsity target."""
         return gradients.sparsity_terms(
-            self.mean_activation(df, upto), self._get("sparsity"), self._get("beta")
+            self.mean_activation(df, upto), self._get("sparsity"), self._get("beta"),
+            Rules.of(self._get("semantics")).guard,
         )
 
     def gradients(self, df: DataFrame, layer: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from dataclasses import dataclass, replace
 
@@ -20,26 +21,27 @@ from layerstack.operators.rules import Rules
 from layerstack.operators.scoring import Stack
 from layerstack.operators.sums import COLLECT_BYTES, REDUCE_BYTES, sum_blocks
 from layerstack.operators.tables import (
+    MODEL_BYTES,
     Shared,
     Source,
     block_rows,
     block_source,
+    check_model_bytes,
     element_type,
     heaviest_task,
     map_blocks,
     pack,
     task_bound,
+    vector_source,
 )
 from layerstack.plans.update import Descent, initial_decoder, initial_encoder, sparsity
 
-# A task with this many times its fair share of rows makes redistributing worth while.
+log = logging.getLogger("layerstack.training")
+
+# A task this many times larger than it need be makes redistributing worth while.
 UNEVEN = 1.5
-# Tasks up to this size are not worth it.
-SHORT_TASK_BYTES = 4 << 20
-# Size of a task after redistributing.
-TASK_BYTES = 128 << 20
-# A table up to this size per core is cached.
-SMALL_BYTES_PER_CORE = 64 << 20
+# Size of a task after redistributing (more where the bound on tasks asks for it).
+TASK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,7 @@ class Settings:
     width: int = 0
     storage: str = "auto"
     max_tasks: int = 0
+    model_bytes: int = MODEL_BYTES
     collect_bytes: int = COLLECT_BYTES
     reduce_bytes: int = REDUCE_BYTES
 
@@ -85,9 +88,9 @@ class EpochReport:
 class BlockStore:
     """Keeps the block table of the layer in training.
 
-    `table` writes it to the shared folder of `spark.checkpoint.dir`: it survives lost
-    executors and cuts the lineage. `cache` keeps it in executor memory and disk. `auto` takes
-    the table where the session names such a folder, and caches a table found to be small.
+    `table` writes it to the checkpoint folder, which executors share: it survives lost
+    executors and cuts the lineage. `cache` keeps it in executor memory and disk. `auto` and
+    `source` take the table wherever the session names such a folder, whatever the size.
     """
 
     def __init__(self, spark: SparkSession, settings: Settings, folder: str | None):
@@ -95,25 +98,21 @@ class BlockStore:
         self._storage = settings.storage
         self._tasks = task_bound(spark, settings.max_tasks)
         if self._storage == "table" and not folder:
-            raise ValueError("storage='table' needs spark.checkpoint.dir")
+            raise ValueError("storage='table' needs a checkpoint folder")
         self._root = None
-        if folder and self._storage in ("auto", "table"):
+        if folder and self._storage != "cache":
             self._root = f"{folder.rstrip('/')}/layerstack-{uuid.uuid4().hex}"
         self._held: DataFrame | None = None
         self._path: str | None = None
 
-    @property
-    def on_disk(self) -> bool:
-        return self._path is not None
-
-    def put(self, blocks: DataFrame, cached: bool = False) -> DataFrame:
+    def put(self, blocks: DataFrame) -> DataFrame:
         """Store the next block table and let go of the previous one.
 
         A cached table is rebuilt from what it was made of when an executor is lost, so files
         it came from stay until the end.
         """
         previous, previous_path = self._held, self._path
-        if self._root is not None and not cached:
+        if self._root is not None:
             self._path = f"{self._root}/{uuid.uuid4().hex}"
             blocks.write.parquet(self._path)
             self._held = self._spark.read.schema(blocks.schema).parquet(self._path)
@@ -134,18 +133,12 @@ class BlockStore:
         That happens with few or badly split source files, or one source with most of the
         rows. A table whose tasks are even, as large tables mostly are, is not shuffled.
         """
-        cores = self._spark.sparkContext.defaultParallelism
         size = rows * width * 8
-        share = max(rows / cores, block_rows(width))
-        uneven = heaviest > UNEVEN * share and heaviest * width * 8 > SHORT_TASK_BYTES
-        small = self._storage == "auto" and size <= SMALL_BYTES_PER_CORE * cores
-        if not uneven and not (small and self.on_disk):
+        if heaviest * width * 8 <= UNEVEN * max(TASK_BYTES, size / self._tasks):
             return blocks
-        blocks = blocks.select("rows", "keys", "x")
-        if uneven:
-            pieces = -(-rows // block_rows(width))
-            blocks = blocks.repartition(min(max(cores, size // TASK_BYTES), pieces, self._tasks))
-        return self.put(blocks, cached=small)
+        pieces = -(-rows // block_rows(width))
+        tasks = max(1, min(-(-size // TASK_BYTES), pieces, self._tasks))
+        return self.put(blocks.select("rows", "keys", "x").repartition(tasks))
 
     def close(self) -> None:
         if self._held is not None and self._path is None:
@@ -185,7 +178,9 @@ def epoch_sums(
 
 
 def start_layer(n: int, k: int, layer: int, settings: Settings) -> tuple[Descent, Descent]:
-    """Encoder and decoder of a layer before its first epoch."""
+    """Encoder and decoder of a layer before its first epoch; refused before they are made if
+    they, with their sums over rows, are larger than the model may be."""
+    check_model_bytes(8 * Sums.size(n, k, settings.method == "sparse"), settings.model_bytes)
     rules = Rules.of(settings.semantics)
     w = initial_encoder(n, k, rules, settings.seed, layer)
     return (
@@ -209,7 +204,8 @@ def train_layer(
         gradient = sums.encoder
         if spec.method == "sparse":
             kl, pull = sparsity(
-                sums.active, sums.rows, settings.sparsity, settings.beta, spec.rules.beta_power
+                sums.active, sums.rows, settings.sparsity, settings.beta, spec.rules.beta_power,
+                spec.rules.guard,
             )
             loss += settings.beta * kl
             gradient = gradient + sums.lever * pull
@@ -217,6 +213,7 @@ def train_layer(
         if not settings.tied:
             decoder.step(sums.decoder, sums.rows)
         reports.append(EpochReport(layer, epoch, loss, int(sums.rows)))
+        log.info("layer %d epoch %d: J %.9g over %d rows", layer, epoch, loss, sums.rows)
     s = initial_decoder(encoder.theta) if settings.tied else decoder.theta
     return encoder.theta, s, reports
 
@@ -240,6 +237,15 @@ def untrained(df: DataFrame, settings: Settings) -> Stack:
     return stack
 
 
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The folder that executors share: the session's setting, or what setCheckpointDir was given."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return given.get() if given.isDefined() else None
+
+
 def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
     """Train all layers. The source is read once; layer d reads the stored codes of layer
     d - 1, computed once: the layers below never change while d trains."""
@@ -247,27 +253,31 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
         return untrained(df, settings), []
     spark = df.sparkSession
     reports: list[EpochReport] = []
-    store = BlockStore(spark, settings, spark.conf.get("spark.checkpoint.dir", None))
+    store = BlockStore(spark, settings, checkpoint_folder(spark))
     tasks = task_bound(spark, settings.max_tasks)
     try:
         ids = settings.ids if settings.spec(1).keyed else []
-        blocks = store.put(pack(df, settings.features, ids))
-        profile = block_profile(blocks, settings.width, settings.max_tasks)
-        ranges = _ranges(profile, settings)
+        if settings.storage == "source":
+            # Every epoch scans the source's feature and id columns; nothing of it is copied.
+            profile = checked_profile(df, settings.features, settings.width, settings.max_tasks)
+            ranges = _ranges(profile, settings)
+            source = vector_source(df, settings.features, profile.width, ranges, ids)
+        else:
+            blocks = store.put(pack(df, settings.features, ids))
+            profile = block_profile(blocks, settings.width, settings.max_tasks)
+            ranges = _ranges(profile, settings)
+            blocks = store.balance(blocks, profile.heaviest, profile.rows, profile.width)
+            source = block_source(
+                blocks, profile.width, element_type(df, settings.features), ranges
+            )
         stack = Stack([], [], [], ranges)
-        blocks = store.balance(blocks, profile.heaviest, profile.rows, profile.width)
-        source = block_source(
-            blocks, profile.width, element_type(df, settings.features), ranges
-        )
         for layer, k in enumerate(settings.hidden, 1):
             w, s, found = train_layer(source, k, layer, settings)
             stack.add(w, s, settings.spec(layer))
             reports += found
             if layer < len(settings.hidden):
-                codes = _codes(source, w, settings.spec(layer), tasks)
-                blocks = store.put(codes, cached=not store.on_disk)
-                if store.on_disk:
-                    blocks = store.balance(blocks, *heaviest_task(blocks, tasks), k)
+                blocks = store.put(_codes(source, w, settings.spec(layer), tasks))
+                blocks = store.balance(blocks, *heaviest_task(blocks, tasks), k)
                 source = block_source(blocks, k, "f8", None)
     finally:
         store.close()

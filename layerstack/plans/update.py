@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from layerstack.functions.activations import CLAMP
 from layerstack.operators.randoms import WEIGHT_SEED, Lcg48
 from layerstack.operators.rules import Rules
 
@@ -65,12 +66,22 @@ class Descent:
         theta = self.theta.copy()
         if self.rules.decay:
             theta[1:] *= 1 - rate * self.lmbda / rows
-        self.theta = theta - rate * d
+        theta = theta - rate * d
+        if self.rules.guard and not np.isfinite(theta).all():
+            raise ArithmeticError("weights are no longer finite: lower the learning rate or beta")
+        self.theta = theta
 
 
-def sparsity(active: np.ndarray, rows: float, target: float, beta: float, power: int):
-    """(sum of KL terms, gradient constant per unit) from summed activations."""
+def sparsity(
+    active: np.ndarray, rows: float, target: float, beta: float, power: int, guard: bool = False
+):
+    """(sum of KL terms, gradient constant per unit) from summed activations.
+
+    With `guard` a dead or saturated unit's mean is kept off 0 and 1, as in `kl_term`.
+    """
     p = active / rows
+    if guard:
+        p = np.clip(p, CLAMP, 1.0 - CLAMP)
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = target * np.log(target / p) + (1 - target) * np.log((1 - target) / (1 - p))
         pull = beta**power * ((1 - target) / (1 - p) - target / p)

@@ -19,10 +19,10 @@ def text_lines(table: DataFrame, sizes: list[int]) -> DataFrame:
     """`(layer, pos, value)`: the lines of the text layout; the header comes as layer 0."""
     header = "_".join(str(n) for n in sizes) + HEADER_SUFFIX
     lines = flatten_weights(table.where(F.col("role") == "encoder")).select(
-        "layer", F.col("pos").cast("int").alias("pos"), F.col("w").cast("string").alias("value")
+        "layer", "pos", F.col("w").cast("string").alias("value")
     )
     first = table.sparkSession.createDataFrame(
-        [(0, 0, header)], "layer int, pos int, value string"
+        [(0, 0, header)], "layer int, pos long, value string"
     )
     return first.unionByName(lines)
 
@@ -47,16 +47,25 @@ def export_text(
 
 
 def import_text(spark: SparkSession, path: str) -> list[np.ndarray]:
-    """Encoder matrices of an exported text file (bounded by the model size)."""
+    """Encoder matrices of an exported text file (bounded by the model size).
+
+    The file is read line by line, in parts; the order is that of the parts in the file, and of
+    lines within a part.
+    """
     literal = re.sub(r"([\[\]{}*?])", r"\\\1", path)
-    files = spark.read.text(literal, wholetext=True).where(F.length("value") > 0).collect()
+    lines = spark.read.text(literal).where(F.length(F.trim("value")) > 0).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"),
+    ).orderBy("file", "part", "line").toArrow()
+    files = lines["file"].unique()
     if len(files) != 1:
         raise ValueError(f"expected one weights file at {path}, found {len(files)}")
-    header, *numbers = files[0].value.split()
+    header = lines["value"][0].as_py()
     if not header.endswith(HEADER_SUFFIX):
         raise ValueError(f"unknown header {header!r}")
     sizes = [int(n) for n in header[: -len(HEADER_SUFFIX)].split("_")]
-    flat = np.array([float(v) for v in numbers])
+    flat = lines["value"].slice(1).cast("double").to_numpy()
     cuts = np.cumsum([(n + 1) * k for n, k in zip(sizes, sizes[1:])])
     if len(flat) != cuts[-1]:
         raise ValueError(f"expected {cuts[-1]} weights, found {len(flat)}")

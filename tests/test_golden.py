@@ -61,6 +61,14 @@ def test_denoising_gradient_sum():
     assert round(sums.encoder.sum(), 5) == 0.30257
 
 
+def test_tied_gradient_sum():
+    """The recorded value of the tied decoder: the path through the encoder only."""
+    w, s = start()
+    spec = LayerSpec("denoising", REFERENCE, tied=True)
+    sums = layer_sums(np.array([ROW]), None, w, s, spec)
+    assert round(sums.encoder.sum(), 5) == 0.37155
+
+
 @pytest.mark.parametrize(
     "at, plus, minus",
     [((0, 0), 2.3454567707530285, 2.345353170345501), ((0, 1), 2.345510673514667, 2.3452992723054957),
@@ -106,7 +114,7 @@ TRAINING = {
 }
 
 
-@pytest.mark.parametrize("storage", ["cache", "table"])
+@pytest.mark.parametrize("storage", ["cache", "table", "source"])
 @pytest.mark.parametrize("method", list(TRAINING))
 def test_training_fixture(spark, method, storage):
     df = spark.createDataFrame([(list(r),) for r in ROWS], "features array<double>")

@@ -18,7 +18,11 @@ from layerstack import (
     flatten_weights,
     import_text,
     model_from_weights,
+    model_table,
 )
+from layerstack import functions as fn
+from layerstack.operators import blocks
+from layerstack.operators.matrices import matrices_of
 from layerstack.operators.randoms import hash_mask, keep_threshold
 from layerstack.operators.sums import reduce_layout, sum_blocks
 from layerstack.operators.tables import (
@@ -28,6 +32,7 @@ from layerstack.operators.tables import (
     vector_source,
 )
 from layerstack.plans.training import BlockStore, Settings, train
+from layerstack.plans.update import sparsity
 
 METHODS = ["regular", "denoising", "sparse"]
 SOURCE = {"featuresCol": "embedding", "idCols": ["vec_id"]}
@@ -239,10 +244,88 @@ def test_long_weights_assemble_again(embeddings):
     model = fit(embeddings, method="regular", epochs=1)
     table = model.weights_df()
     again = assemble_weights(flatten_weights(table))
-    key = ["layer", "role"]
+    key = ["layer", "role", "first_row"]
     assert again.orderBy(key).collect() == table.orderBy(key).collect()
 
 
+@pytest.mark.parametrize("cells", [1, 7, 100])
+def test_models_in_many_blocks(spark, embeddings, cells):
+    model = fit(embeddings, method="regular", epochs=1)
+    table = model_table(spark, model.weights, model.decoders, cells)
+    assert table.count() > 4
+    assert table.where(f"size(weights) > greatest({cells}, n_out)").count() == 0
+    for role, matrices in (("encoder", model.weights), ("decoder", model.decoders)):
+        for a, b in zip(matrices_of(table, role), matrices):
+            np.testing.assert_array_equal(a, b)
+    long = flatten_weights(table)
+    again = assemble_weights(long, cells)
+    key = ["layer", "role", "first_row"]
+    assert again.orderBy(key).collect() == table.orderBy(key).collect()
+    places = long.where("role = 'encoder' AND layer = 1").orderBy("pos").select("w").collect()
+    np.testing.assert_array_equal([r.w for r in places], model.weights[0].ravel())
+
+
+def test_edges_of_columns_agree_with_blocks(spark):
+    z = np.array([-np.inf, -800.0, -1.0, -0.0, 0.0, 2.0, 800.0, np.inf, np.nan])
+    df = spark.createDataFrame([(float(v),) for v in z], "z double")
+    for name, (f, df_) in fn.ACTIVATIONS.items():
+        got = df.select(f("z").alias("f"), df_("z").alias("d")).toPandas()
+        h = blocks.activate(z.copy(), name)
+        np.testing.assert_allclose(got.f, h, atol=1e-15)
+        np.testing.assert_allclose(got.d, blocks.slope(z, h, name), atol=1e-15)
+        null = df.select(f(F.lit(None).cast("double")), df_(F.lit(None).cast("double"))).first()
+        assert tuple(null) == (None, None)
+    row = df.select(
+        fn.clamp_probability(F.lit(float("nan"))), fn.clamp_probability(F.lit(None).cast("double")),
+        fn.cross_entropy(F.array(F.lit(1.0)), F.array(F.lit(None).cast("double"))),
+    ).first()
+    assert np.isnan(row[0]) and row[1] is None and row[2] is None
+
+
+def test_dead_and_saturated_units(spark):
+    p = np.array([0.0, 1.0, 0.05, 0.5])
+    df = spark.createDataFrame([(float(v),) for v in p], "p double")
+    for guard in (True, False):
+        rows = df.select(fn.kl_term("p", 0.05, guard), fn.kl_gradient("p", 0.05, 0.5, guard)).collect()
+        total, pull = sparsity(p * 10, 10, 0.05, 0.5, 1, guard)
+        np.testing.assert_allclose([r[1] for r in rows], pull)
+        assert np.isfinite(total) == guard
+        if guard:
+            np.testing.assert_allclose(sum(r[0] for r in rows), total)
+
+
+def test_training_with_a_dead_unit_stays_finite(spark, embeddings):
+    model = fit(embeddings, method="sparse", epochs=3, beta=0.1, hidden=[3])
+    assert all(np.isfinite(w).all() for w in model.weights)
+    w = model.weights[0].copy()
+    w[:, 0], w[0, 0] = 0.0, -900.0
+    dead = model_from_weights(
+        spark, [w], [model.decoders[0]], model.ranges, method="sparse", **SOURCE,
+    )
+    assert all(np.isfinite(r.kl) for r in dead.sparsity_terms(embeddings).collect())
+    assert all(np.isfinite(r.g) for r in dead.gradients(embeddings).collect())
+
+
+def test_null_vectors_and_widths_in_corrupt(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id long, x array<double>")
+    assert [r.corrupted for r in corrupt(df, "x", ["id"]).collect()] == [None, None]
+    some = spark.createDataFrame([(1, None), (2, [1.0, 2.0])], "id long, x array<double>")
+    assert len(corrupt(some, "x", ["id"], width=2).where("id = 2").first().corrupted) == 2
+    with pytest.raises(Exception, match="must have 3 features"):
+        corrupt(some, "x", ["id"], width=3).collect()
+
+
+def test_model_bound_is_an_option(embeddings):
+    with pytest.raises(ValueError, match="modelBytes"):
+        fit(embeddings, method="regular", epochs=1, modelBytes=1000)
+
+
+def test_progress_is_logged(embeddings, caplog):
+    with caplog.at_level("INFO", logger="layerstack.training"):
+        fit(embeddings, method="regular", epochs=2)
+    assert sum("epoch" in r.message for r in caplog.records) == 4
+
+
 def test_estimator_params_roundtrip(tmp_path):
     a = StackedAutoencoder(hidden=[3], method="sparse", beta=0.2)
     a.save(str(tmp_path / "estimator"))
@@ -299,27 +382,38 @@ def plan_text(df):
     return text.getvalue()
 
 
-def test_store_keeps_files_a_cached_table_came_from(spark, embeddings, tmp_path):
-    """A cached block can be lost with its executor; what it is rebuilt from must still exist."""
+def test_store_writes_whatever_the_size(spark, embeddings, tmp_path):
+    """With a checkpoint folder no table is only cached, and a table that is dealt anew is written
+    before the files it came from go."""
     settings = Settings("embedding", [], [4], method="regular")
     store = BlockStore(spark, settings, str(tmp_path))
     written = store.put(pack(embeddings, "embedding", []))
-    assert store.on_disk
-    cached = store.balance(written, embeddings.count(), embeddings.count(), 64)
-    assert not store.on_disk and cached.is_cached
-    rows = cached.count()
-    cached.unpersist()
-    assert cached.count() == rows
-    assert list(tmp_path.rglob("*.parquet"))
+    assert not written.is_cached
+    rows = embeddings.count()
+    assert store.balance(written, rows, rows, 64) is written
+    dealt = store.balance(written, 1 << 20, rows, 64)
+    assert not dealt.is_cached and dealt.agg(F.sum("rows")).first()[0] == rows
+    (folder,) = tmp_path.iterdir()
+    assert len(list(folder.iterdir())) == 1
     store.close()
     assert not list(tmp_path.iterdir())
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+    with pytest.raises(ValueError, match="checkpoint folder"):
         BlockStore(spark, replace(settings, storage="table"), None)
 
 
-@pytest.mark.parametrize("storage", ["auto", "table", "cache"])
+@pytest.mark.parametrize("storage", ["auto", "table", "cache", "source"])
 def test_training_leaves_nothing_behind(spark, embeddings, storage):
     folder = Path(spark.conf.get("spark.checkpoint.dir"))
     before = set(folder.iterdir())
     fit(embeddings, method="regular", storage=storage)
     assert set(folder.iterdir()) == before
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_source_storage_scans_only_what_it_needs(spark, embeddings, method):
+    stored, scanned = (fit(embeddings, method=method, storage=s) for s in ("table", "source"))
+    for a, b in zip(stored.weights, scanned.weights):
+        np.testing.assert_allclose(a, b, atol=1e-9)
+    source = vector_source(embeddings, "embedding", 64, None, ["vec_id"])
+    text = plan_text(source.df)
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
