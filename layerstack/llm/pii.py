@@ -1,7 +1,7 @@
 """Surrogates for personal data, with DataFrame operations only.
 
 Detected entities: e-mail addresses, IPv4 addresses, telephone numbers, card numbers, social security
-numbers, IBANs, access keys, hexadecimal secrets, and names after a title that tells the gender. Each
+numbers, IBANs, access keys, hexadecimal secrets, values given to a password or token, and names after a title that tells the gender. Each
 is replaced by a surrogate of the same type and format: letters stay letters of their script and
 case, digits digits, separators stay; top-level domains, country codes, key prefixes and a card's first
 digit are kept, a valid card number stays valid, and names become names of the same gender and script.
@@ -42,6 +42,8 @@ PATTERNS = {
     r"|(?<![A-Za-z0-9])(?:ghp_|gho_|sk-|xoxb-)[A-Za-z0-9]{20,64}+(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9]*+[a-fA-F])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,128}+"
     r"(?![A-Za-z0-9])",
+    "assigned": r"(?<=(?i:password|passwd|pwd|secret|token|apikey|api[_-]key) ?[=:] ?[\"']?)"
+    r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,128}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -175,6 +177,7 @@ def surrogate(kind: Column, canonical: Column, key: str, attempt: Column) -> Col
         .when(kind == "phone", phone)
         .when(kind == "card", _card(canonical, h))
         .when(kind == "secret", _hex(canonical, h))
+        .when((kind == "assigned") & canonical.rlike("^[0-9a-f]+$"), _hex(canonical, h))
         .when(kind == "key", _charwise(canonical, h, 4))
         .when(kind == "iban", _charwise(canonical, h, 2))
         .when(kind.startswith("name_"), _name(canonical, kind, h, attempt))
@@ -243,7 +246,8 @@ def _parts(raw: Column) -> Column:
     return (
         F.when(kind == "email", mail)
         .when(kind == "name", named)
-        .otherwise(F.array(part(F.coalesce(kind, F.lit("other")), raw, F.lit(""))))
+        # A value is told by what stands before it, which is not part of it.
+        .otherwise(F.array(part(F.coalesce(kind, F.lit("assigned")), raw, F.lit(""))))
     )
 
 

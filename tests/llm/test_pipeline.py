@@ -43,7 +43,7 @@ def test_near_duplicates(states):
 
 
 def test_pii(states):
-    personal = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+|AKIA\w{16}|\b[0-9a-f]{40}\b|\b\d{16}\b|\+1 \(\d+\) \d+-\d+|\d+\.\d+\.\d+\.\d+")
+    personal = re.compile(r"(?<=password=)\w+|[\w.+-]+@[\w-]+\.[\w.]+|AKIA\w{16}|\b[0-9a-f]{40}\b|\b\d{16}\b|\+1 \(\d+\) \d+-\d+|\d+\.\d+\.\d+\.\d+")
     after = {r.doc_id: r for r in states[3]}
     assert len(after) == len(states[2])
     for r in states[2]:
