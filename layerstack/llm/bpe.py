@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     IntegerType,
     LongType,
     StringType,
@@ -36,8 +37,8 @@ from layerstack.llm.common import index_of, texts_of, with_arrow
 #: The pre-tokenisation pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Bound of each worker's memory of pieces already encoded, and of their length there.
-MOST_PIECES, LONG_PIECE = 1_000_000, 64
+#: Bound of each task's memory of pieces already encoded, and of their length there.
+MOST_PIECES, LONG_PIECE = 500_000, 64
 #: Characters of texts handled together; bytes of a piece that is merged in a row among others; and
 #: cells of such a group of rows.
 GROUP_CHARS, WIDEST, CELLS = 2_000_000, 64, 1 << 19
@@ -266,6 +267,10 @@ class Bpe:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many([text])[0]
 
+    def forget(self) -> None:
+        """Let go of the pieces met so far."""
+        self.known = dict(self.special_ids)
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -279,24 +284,33 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", tokens: str = "tokens") -> DataFrame:
-    """Adds the ids of each text (array of int) and their number (`n_tokens`)."""
+def encode(
+    df: DataFrame, vocabulary: str, text: str = "text", tokens: str = "tokens",
+    check: str | None = None,
+) -> DataFrame:
+    """Adds the ids of each text (array of int) and their number (`n_tokens`).
+
+    With `check`, adds a column of that name: whether the ids decode to the text.
+    """
     at = index_of(df, text)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = load(vocabulary)
-        ids = bpe.encode_many(texts_of(batch, at))
+        texts = texts_of(batch, at)
+        ids = bpe.encode_many(texts)
         ends = np.cumsum([0, *map(len, ids)])
         flat = pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype("<i4"))
         return [
             pa.ListArray.from_arrays(pa.array(ends.astype("<i4")), flat),
             pa.array(np.diff(ends), pa.int64()),
+            *([pa.array([bpe.decode(x.tolist()) == t for x, t in zip(ids, texts)])] if check else []),
         ]
 
     added = StructType(
         [StructField(tokens, ArrayType(IntegerType())), StructField("n_tokens", LongType())]
+        + ([StructField(check, BooleanType())] if check else [])
     )
-    return with_arrow(df, added, make)
+    return with_arrow(df, added, make, lambda: load(vocabulary).forget())
 
 
 def decode(
@@ -307,8 +321,9 @@ def decode(
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = load(vocabulary)
-        lists = batch.column(at).to_pylist()
-        return [pa.array([bpe.decode([i for i in x or () if i is not None]) for x in lists])]
+        lists = (x.as_py() for x in batch.column(at))
+        texts = [bpe.decode([i for i in x or () if i is not None]) for x in lists]
+        return [pa.array(texts, pa.string())]
 
     return with_arrow(df, StructType([StructField(text, StringType())]), make)
 
@@ -338,4 +353,4 @@ def digests(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
             StructField("decoded_sha256", StringType()),
         ]
     )
-    return with_arrow(df, added, make)
+    return with_arrow(df, added, make, lambda: load(vocabulary).forget())

@@ -15,7 +15,8 @@ from pyspark.sql.types import StructType
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows that are turned into Python objects at once.
+SLICE_ROWS = 500
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -53,19 +54,25 @@ def with_arrow(
     df: DataFrame,
     added: StructType,
     make: Callable[[pa.RecordBatch], list[pa.Array]],
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """All columns plus those of `added`, which `make` computes from an Arrow batch.
 
-    `make` sees every input column; an input column named like an added one is replaced.
+    `make` sees every input column, of at most `SLICE_ROWS` rows; an input column named like an
+    added one is replaced. `after` runs at the end of each task, to let go of memory, as workers live on.
     """
     taken = {n.lower() for n in added.names}
     kept = [i for i, c in enumerate(df.columns) if c.lower() not in taken]
     schema = StructType([df.schema[i] for i in kept] + list(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [batch.column(i) for i in kept] + list(make(batch))
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(i, SLICE_ROWS)
+                arrays = [batch.column(k) for k in kept] + list(make(batch))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        if after:
+            after()
 
     return df.mapInArrow(run, schema)
 
@@ -83,15 +90,10 @@ def texts_of(batch: pa.RecordBatch, i: int) -> list[str]:
     return ["" if t is None else t for t in batch.column(i).to_pylist()]
 
 
-def lower_ascii(column):
-    """A-Z to a-z, nothing else."""
-    return F.translate(column, UPPER, UPPER.lower())
-
-
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, kept for as many words as stated."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from layerstack.llm.common import WordHashes
 
-PACK_BYTES, PACK_DOCS = 4_000_000, 20_000
+PACK_BYTES, PACK_DOCS = 2_000_000, 20_000
 
 PACKED = "pack long, ids array<long>, texts array<string>"
 
