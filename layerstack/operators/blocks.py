@@ -28,6 +28,16 @@ def features_block(column: pa.Array, width: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(rows, width)
 
 
+def bounded(x: np.ndarray, outside: str) -> np.ndarray:
+    """Scaled features under the rule for values outside [0, 1], where cross-entropy has no meaning:
+    `keep` them, `clip` them, or end with an `error`. NaN passes."""
+    if outside == "clip":
+        return np.clip(x, 0.0, 1.0)
+    if outside == "error" and ((x < 0) | (x > 1)).any():
+        raise ValueError("features lie outside the trained range; see the option outside")
+    return x
+
+
 def scale_block(x: np.ndarray, ranges: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     """Doubles scaled by (lo, hi) ranges; a constant feature becomes 0."""
     if ranges is None:

@@ -102,8 +102,16 @@ def _entries(role: str, i: np.ndarray, j: np.ndarray, **columns) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(arrays, schema=_ENTRY_ARROW)
 
 
+# Size of the outputs of a block that one step of the gradient check holds.
+NUDGED_BYTES = 4 << 20
+
+
 class _Nudged:
-    """Loss and unit activity of a block with single weights moved up or down."""
+    """Loss and unit activity of a block with single weights moved up or down.
+
+    All weights of one hidden unit, or of one output, are moved at once: column i of the result
+    belongs to the weight in row i.
+    """
 
     def __init__(self, x, keys, w, s, spec: LayerSpec):
         self.w, self.s, self.spec = w, s, spec
@@ -113,36 +121,46 @@ class _Nudged:
         self.out = decode_input(self.h, w, s, spec.tied)
         self.t = target_of(x, self.a, spec)
 
-    def _loss(self, out: np.ndarray) -> float:
-        return float(cross_entropy(self.t, sigmoid(out), self.spec.rules.guard).sum())
+    def _loss(self, t: np.ndarray, out: np.ndarray) -> np.ndarray:
+        return cross_entropy(t, sigmoid(out), self.spec.rules.guard)
 
     def add_to(self, enc: np.ndarray, dec: np.ndarray, eps: float) -> None:
         """Add both nudges of every weight to the sums, laid out as the names above."""
-        for i, j in np.ndindex(*self.w.shape):
-            for side, by in ((0, eps), (1, -eps)):
-                loss, active = self.encoder(i, j, by)
-                enc[2 + side, i, j] += loss
-                enc[4 + side, i, j] += active
-        if not self.spec.tied:
-            for i, j in np.ndindex(*self.s.shape):
-                for side, by in ((0, eps), (1, -eps)):
-                    dec[1 + side, i, j] += self.decoder(i, j, by)
-
-    def encoder(self, i: int, j: int, by: float) -> tuple[float, float]:
-        """Only unit j moves, so only its share of the output has to be redone."""
-        step = by if i == 0 else by * self.a[:, i - 1]
-        h = activate(self.z[:, j] + step, self.spec.activation)
+        for side, by in ((0, eps), (1, -eps)):
+            for j in range(self.w.shape[1]):
+                loss, active = self.encoder(j, by)
+                enc[2 + side, :, j] += loss
+                enc[4 + side, :, j] += active
+            if not self.spec.tied:
+                for j in range(self.s.shape[1]):
+                    dec[1 + side, :, j] += self.decoder(j, by)
+
+    def encoder(self, j: int, by: float) -> tuple[np.ndarray, np.ndarray]:
+        """Only unit j moves, so only its share of the outputs has to be redone."""
+        h = activate(self.z[:, j : j + 1] + by * _with_ones(self.a), self.spec.activation)
+        moved = h - self.h[:, j : j + 1]
         weights = self.w[1:, j] if self.spec.tied else self.s[j + 1]
-        out = self.out + np.outer(h - self.h[:, j], weights)
-        if self.spec.tied and i > 0:
-            out[:, i - 1] += by * h
-        return self._loss(out), float(h.sum())
-
-    def decoder(self, i: int, j: int, by: float) -> float:
+        losses = np.empty(h.shape[1])
+        step = max(1, NUDGED_BYTES // (8 * max(1, self.out.size)))
+        for at in range(0, h.shape[1], step):
+            end = min(at + step, h.shape[1])
+            out = self.out[:, None, :] + moved[:, at:end, None] * weights
+            if self.spec.tied:
+                # A tied weight also leads from the unit to its own output.
+                rows = np.arange(max(at, 1), end)
+                out[:, rows - at, rows - 1] += by * h[:, rows]
+            losses[at:end] = self._loss(self.t[:, None, :], out).sum(axis=(0, 2))
+        return losses, h.sum(axis=0)
+
+    def decoder(self, j: int, by: float) -> np.ndarray:
         """Only output j moves."""
-        out = self.out[:, j] + (by if i == 0 else by * self.h[:, i - 1])
-        p = sigmoid(out)[:, None]
-        return float(cross_entropy(self.t[:, j : j + 1], p, self.spec.rules.guard).sum())
+        out = self.out[:, j : j + 1] + by * _with_ones(self.h)
+        return self._loss(self.t[:, j : j + 1], out).sum(axis=0)
+
+
+def _with_ones(x: np.ndarray) -> np.ndarray:
+    """The inputs of a matrix, with that of its bias row first."""
+    return np.concatenate([np.ones((len(x), 1)), x], axis=1)
 
 
 def _entry_rows(

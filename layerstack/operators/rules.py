@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 METHODS = ("regular", "denoising", "sparse")
 SEMANTICS = ("standard", "reference")
+OUTSIDE = ("keep", "clip", "error")
 
 
 @dataclass(frozen=True)

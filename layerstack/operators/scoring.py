@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from layerstack.operators.blocks import (
     LayerSpec,
+    bounded,
     cross_entropy,
     decode_input,
     encode_layer,
@@ -31,12 +32,14 @@ from layerstack.operators.vectors import skip_nulls, vector_udf
 
 @dataclass
 class Stack:
-    """Finished layers: weights, decoders, the pass settings and the scaling."""
+    """Finished layers: weights, decoders, the pass settings, the scaling and the rule for values
+    outside its ranges."""
 
     weights: list[np.ndarray]
     decoders: list[np.ndarray]
     specs: list[LayerSpec]
     ranges: tuple[np.ndarray, np.ndarray] | None
+    outside: str = "keep"
 
     def add(self, w: np.ndarray, s: np.ndarray, spec: LayerSpec) -> None:
         self.weights.append(w)
@@ -51,7 +54,7 @@ class Stack:
         return [*self.weights, *self.decoders, *(self.ranges or ())]
 
     def scaled(self, column: pa.Array) -> np.ndarray:
-        return scale_block(features_block(column, self.width), self.ranges)
+        return bounded(scale_block(features_block(column, self.width), self.ranges), self.outside)
 
     def encode(self, x: np.ndarray, upto: int) -> np.ndarray:
         for w, spec in zip(self.weights[:upto], self.specs[:upto]):

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerstack.operators.blocks import features_block, scale_block
+from layerstack.operators.blocks import bounded, features_block, scale_block
 
 # A block fits a core's second-level cache, but holds enough rows for matrix products to pay.
 BLOCK_BYTES = 256 << 10
@@ -115,25 +115,26 @@ class Source:
 
 
 def _read_vectors(
-    batches: Iterator[pa.RecordBatch], width: int, ranges: Ranges, keyed: bool
+    batches: Iterator[pa.RecordBatch], width: int, ranges: Ranges, keyed: bool, outside: str
 ) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     step = block_rows(width)
     for batch in batches:
         x = features_block(batch.column(0), width)
         keys = batch.column(1).to_numpy(zero_copy_only=False) if keyed else None
         for at in range(0, len(x), step):
-            part = scale_block(x[at : at + step], ranges)
+            part = bounded(scale_block(x[at : at + step], ranges), outside)
             yield part, None if keys is None else keys[at : at + step]
 
 
 def vector_source(
-    df: DataFrame, features: str | list[str], width: int, ranges: Ranges, ids: list[str]
+    df: DataFrame, features: str | list[str], width: int, ranges: Ranges, ids: list[str],
+    outside: str = "keep",
 ) -> Source:
     """Read a feature column directly: one hop to Python, nothing stored."""
     columns = [feature_column(df, features).alias("x")]
     if ids:
         columns.append(F.xxhash64(*ids).alias("key"))
-    read = partial(_read_vectors, width=width, ranges=ranges, keyed=bool(ids))
+    read = partial(_read_vectors, width=width, ranges=ranges, keyed=bool(ids), outside=outside)
     return Source(df.select(*columns), width, read)
 
 

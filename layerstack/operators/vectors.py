@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +21,26 @@ def _lists(y: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel().astype("f8", copy=False)))
 
 
+def complete(column: pa.Array) -> np.ndarray:
+    """Which vectors are there and hold no null element."""
+    flags = np.array(column.is_valid())
+    values = column.flatten()
+    if values.null_count:
+        flags[pc.list_parent_indices(column).to_numpy()[np.array(values.is_null())]] = False
+    return flags
+
+
 def skip_nulls(
     column: pa.Array, f: Callable[..., pa.Array], *others: pa.Array
 ) -> pa.Array:
-    """Apply f to the rows whose first column is not null; the other rows give null."""
-    if not column.null_count:
+    """Apply f to the rows whose vector is complete; null vectors, and vectors with a null element,
+    give null."""
+    flags = complete(column)
+    if flags.all():
         return f(column, *others)
-    valid = column.is_valid()
-    flags = valid.to_numpy(zero_copy_only=False)
+    valid = pa.array(flags)
     place = pa.array(np.where(flags, np.cumsum(flags) - 1, 0), mask=~flags)
-    return f(column.drop_null(), *(o.filter(valid) for o in others)).take(place)
+    return f(column.filter(valid), *(o.filter(valid) for o in others)).take(place)
 
 
 def vector_udf(make: Callable[[pa.Array], np.ndarray], x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from layerstack.functions.activations import ACTIVATIONS
 from layerstack.operators import gradients, matrices, scoring
 from layerstack.operators.randoms import keep_threshold
-from layerstack.operators.rules import METHODS, SEMANTICS, Rules
+from layerstack.operators.rules import METHODS, OUTSIDE, SEMANTICS, Rules
 from layerstack.operators.tables import (
     MODEL_BYTES,
     Shared,
@@ -30,12 +32,10 @@ from layerstack.operators.tables import (
     task_bound,
     vector_source,
 )
-from layerstack.plans.training import EpochReport, Settings, train
+from layerstack.plans.progress import RANGES_SCHEMA, EpochReport, history_table, read_history
+from layerstack.plans.training import Settings, train
 from layerstack.sources import weights as files
 
-HISTORY_SCHEMA = "layer int, epoch int, loss double, m bigint"
-RANGES_SCHEMA = "feature int, lo double, hi double"
-
 
 class _StackParams(Params):
     featuresCol = Param(Params._dummy(), "featuresCol", "array or vector column of features",
@@ -78,6 +78,16 @@ class _StackParams(Params):
     modelBytes = Param(Params._dummy(), "modelBytes",
                        "most bytes of weights, which the driver and every worker hold",
                        TypeConverters.toInt)
+    outside = Param(Params._dummy(), "outside",
+                    "what a finished model does with values outside the trained range, for which "
+                    "cross-entropy has no meaning: keep, clip or error", TypeConverters.toString)
+    progressFolder = Param(Params._dummy(), "progressFolder",
+                           "shared folder for the state of training, from which a later fit with "
+                           "the same options and table goes on; empty for none",
+                           TypeConverters.toString)
+    progressEpochs = Param(Params._dummy(), "progressEpochs",
+                           "write the state after so many epochs, and after each layer",
+                           TypeConverters.toInt)
     maxTasks = Param(Params._dummy(), "maxTasks",
                      "most tasks of an epoch job; 0 for four per core (at least 4096)",
                      TypeConverters.toInt)
@@ -89,7 +99,7 @@ class _StackParams(Params):
             method="denoising", epochs=15, learning=0.1, lmbda=1e-10, beta=1e-10,
             sparsity=0.05, semantics="standard", activation="sigmoid", decoder="separate",
             corruption=0.5, seed=0, scaling=True, numFeatures=0, storage="auto", maxTasks=0,
-            modelBytes=MODEL_BYTES,
+            modelBytes=MODEL_BYTES, outside="keep", progressFolder="", progressEpochs=5,
         )
 
     def _get(self, name: str):
@@ -105,6 +115,7 @@ class _StackParams(Params):
             "activation": tuple(ACTIVATIONS),
             "decoder": ("separate", "tied"),
             "storage": ("auto", "cache", "table", "source"),
+            "outside": OUTSIDE,
         }
         for name, allowed in one_of.items():
             if self._get(name) not in allowed:
@@ -114,6 +125,8 @@ class _StackParams(Params):
             raise ValueError(f"hidden must list positive layer sizes, not {hidden}")
         if self._get("epochs") < 0:
             raise ValueError("epochs must not be negative")
+        if self._get("progressEpochs") < 1:
+            raise ValueError("progressEpochs must be positive")
         keep_threshold(self._get("corruption"))
         if not 0 < self._get("sparsity") < 1:
             raise ValueError("sparsity must be between 0 and 1")
@@ -131,7 +144,8 @@ class _StackParams(Params):
             corruption=self._get("corruption"), seed=self._get("seed"),
             scaling=self._get("scaling"), width=self._get("numFeatures"),
             storage=self._get("storage"), max_tasks=self._get("maxTasks"),
-            model_bytes=self._get("modelBytes"),
+            model_bytes=self._get("modelBytes"), progress=self._get("progressFolder"),
+            progress_epochs=self._get("progressEpochs"),
         )
         if settings.spec(1).keyed and not settings.ids and settings.epochs:
             raise ValueError("denoising draws a mask per row: name the id columns in idCols")
@@ -152,7 +166,7 @@ class StackedAutoencoder(
         method=None, epochs=None, learning=None, lmbda=None, beta=None, sparsity=None,
         semantics=None, activation=None, decoder=None, corruption=None, seed=None,
         scaling=None, numFeatures=None, storage=None, maxTasks=None,
-        modelBytes=None,
+        modelBytes=None, outside=None, progressFolder=None, progressEpochs=None,
     ):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -197,8 +211,7 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
     @property
     def history(self) -> DataFrame:
         """`(layer, epoch, loss, m)`; the loss is the one before the epoch's update."""
-        rows = [(r.layer, r.epoch, float(r.loss), r.rows) for r in self._reports]
-        return self._spark.createDataFrame(rows, HISTORY_SCHEMA)
+        return history_table(self._spark, self._reports)
 
     def weights_df(self) -> DataFrame:
         """The model table: one row per matrix."""
@@ -206,7 +219,8 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
 
     def _shared(self) -> Shared:
         if self._shared_stack is None:
-            self._shared_stack = Shared(self._spark, self._stack, self._stack.arrays())
+            stack = replace(self._stack, outside=self._get("outside"))
+            self._shared_stack = Shared(self._spark, stack, stack.arrays())
         return self._shared_stack
 
     def _layer(self, upto: int | None) -> int:
@@ -256,7 +270,9 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
         ids = self._get("idCols") if keyed else []
         if keyed and not ids:
             raise ValueError("denoising draws a mask per row: name the id columns in idCols")
-        return vector_source(df, self._features(), self._stack.width, self.ranges, ids)
+        return vector_source(
+            df, self._features(), self._stack.width, self.ranges, ids, self._get("outside")
+        )
 
     def _shape(self, layer: int) -> tuple[int, int]:
         rows, columns = self.weights[layer - 1].shape
@@ -350,12 +366,7 @@ class _ModelReader(MLReader):
             [settings.spec(n) for n in range(1, len(encoders) + 1)],
             ranges if rows else None,
         )
-        history = (
-            spark.read.schema(HISTORY_SCHEMA).parquet(f"{path}/history")
-            .orderBy("layer", "epoch").collect()
-        )
-        reports = [EpochReport(r.layer, r.epoch, r.loss, r.m) for r in history]
-        return model._init(spark, stack, reports)
+        return model._init(spark, stack, read_history(spark, f"{path}/history"))
 
 
 def check_gradients(df: DataFrame, eps: float = 1e-3, **options) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 import uuid
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
+from functools import partial
 
 import numpy as np
 from pyspark import StorageLevel
@@ -34,6 +36,7 @@ from layerstack.operators.tables import (
     task_bound,
     vector_source,
 )
+from layerstack.plans.progress import EpochReport, Progress, State, delete
 from layerstack.plans.update import Descent, initial_decoder, initial_encoder, sparsity
 
 log = logging.getLogger("layerstack.training")
@@ -67,9 +70,19 @@ class Settings:
     storage: str = "auto"
     max_tasks: int = 0
     model_bytes: int = MODEL_BYTES
+    progress: str = ""
+    progress_epochs: int = 5
     collect_bytes: int = COLLECT_BYTES
     reduce_bytes: int = REDUCE_BYTES
 
+    def identity(self) -> str:
+        """The options that decide the result; where and how it is computed is left out."""
+        plumbing = {
+            "width", "storage", "max_tasks", "model_bytes", "progress", "progress_epochs",
+            "collect_bytes", "reduce_bytes",
+        }
+        return repr({f.name: getattr(self, f.name) for f in fields(self) if f.name not in plumbing})
+
     def spec(self, layer: int) -> LayerSpec:
         return LayerSpec(
             self.method, Rules.of(self.semantics), self.activation, self.tied, self.corruption,
@@ -77,14 +90,6 @@ class Settings:
         )
 
 
-@dataclass
-class EpochReport:
-    layer: int
-    epoch: int
-    loss: float
-    rows: int
-
-
 class BlockStore:
     """Keeps the block table of the layer in training.
 
@@ -148,9 +153,7 @@ class BlockStore:
         self._held = self._path = None
 
     def _delete(self, path: str) -> None:
-        sc = self._spark.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        delete(self._spark, path)
 
 
 def epoch_sums(
@@ -190,14 +193,21 @@ def start_layer(n: int, k: int, layer: int, settings: Settings) -> tuple[Descent
 
 
 def train_layer(
-    source: Source, k: int, layer: int, settings: Settings
+    source: Source, k: int, layer: int, settings: Settings, state: State | None = None,
+    save: Callable[[int, Descent, Descent, list[EpochReport]], None] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, list[EpochReport]]:
-    """Fixed number of epochs on one layer: (encoder, decoder, reports)."""
+    """Fixed number of epochs on one layer: (encoder, decoder, reports).
+
+    Goes on from a `state` within the layer; `save` gets the state after some epochs and the last.
+    """
     encoder, decoder = start_layer(source.width, k, layer, settings)
+    if state is not None:
+        encoder = replace(encoder, theta=state.encoders[-1], total=state.encoder_total)
+        decoder = replace(decoder, theta=state.decoders[-1], total=state.decoder_total)
     bound = task_bound(source.df.sparkSession, settings.max_tasks)
     partials = max(1, min(source.df.rdd.getNumPartitions(), bound))
     reports = []
-    for epoch in range(settings.epochs):
+    for epoch in range(state.epochs if state is not None else 0, settings.epochs):
         spec = replace(settings.spec(layer), epoch=epoch)
         sums = epoch_sums(source, encoder.theta, decoder.theta, spec, partials, settings)
         loss = sums.loss / sums.rows
@@ -214,6 +224,9 @@ def train_layer(
             decoder.step(sums.decoder, sums.rows)
         reports.append(EpochReport(layer, epoch, loss, int(sums.rows)))
         log.info("layer %d epoch %d: J %.9g over %d rows", layer, epoch, loss, sums.rows)
+        done = epoch + 1
+        if save is not None and (done == settings.epochs or not done % settings.progress_epochs):
+            save(done, encoder, decoder, reports)
     s = initial_decoder(encoder.theta) if settings.tied else decoder.theta
     return encoder.theta, s, reports
 
@@ -248,7 +261,11 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 
 def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
     """Train all layers. The source is read once; layer d reads the stored codes of layer
-    d - 1, computed once: the layers below never change while d trains."""
+    d - 1, computed once: the layers below never change while d trains.
+
+    With a progress folder, training goes on from the newest state in it: finished layers only
+    give codes, and the layer that was in training starts at the epoch after the state's.
+    """
     if not settings.epochs:
         return untrained(df, settings), []
     spark = df.sparkSession
@@ -271,10 +288,24 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
                 blocks, profile.width, element_type(df, settings.features), ranges
             )
         stack = Stack([], [], [], ranges)
+        progress, state = None, None
+        if settings.progress:
+            progress = Progress(
+                spark, settings.progress, settings.identity(), (profile.lo, profile.hi)
+            )
+            state = progress.newest()
+            reports += state.reports if state is not None else []
         for layer, k in enumerate(settings.hidden, 1):
-            w, s, found = train_layer(source, k, layer, settings)
+            if state is not None and layer < state.layer:
+                w, s = state.encoders[layer - 1], state.decoders[layer - 1]
+            else:
+                save = None
+                if progress is not None:
+                    save = partial(_save, progress, stack, list(reports), layer)
+                here = state if state is not None and state.layer == layer else None
+                w, s, found = train_layer(source, k, layer, settings, here, save)
+                reports += found
             stack.add(w, s, settings.spec(layer))
-            reports += found
             if layer < len(settings.hidden):
                 blocks = store.put(_codes(source, w, settings.spec(layer), tasks))
                 blocks = store.balance(blocks, *heaviest_task(blocks, tasks), k)
@@ -284,6 +315,17 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
     return stack, reports
 
 
+def _save(
+    progress: Progress, stack: Stack, earlier: list[EpochReport], layer: int, epochs: int,
+    encoder: Descent, decoder: Descent, reports: list[EpochReport],
+) -> None:
+    """Write the finished layers and the one in training."""
+    progress.write(State(
+        layer, epochs, [*stack.weights, encoder.theta], [*stack.decoders, decoder.theta],
+        encoder.total, decoder.total, earlier + reports,
+    ))
+
+
 def _codes(source: Source, w: np.ndarray, spec: LayerSpec, tasks: int) -> DataFrame:
     """Codes of the layer just finished, as the block table of the next one."""
     shared = Shared(source.df.sparkSession, (w, spec), [w])

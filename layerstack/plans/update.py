@@ -49,10 +49,11 @@ class Descent:
     learning: float
     lmbda: float
     rules: Rules
-    total: np.ndarray = field(init=False)
+    total: np.ndarray = field(default=None)
 
     def __post_init__(self) -> None:
-        self.total = np.zeros_like(self.theta)
+        if self.total is None:
+            self.total = np.zeros_like(self.theta)
 
     def step(self, gradient: np.ndarray, rows: float) -> None:
         d = averaged(gradient, self.theta, rows, self.lmbda)

@@ -101,6 +101,106 @@ def test_null_rows_stay_null_when_scoring(spark):
     assert [rows[0].code, rows[2].code] == [r.code for r in expected]
 
 
+def test_vectors_with_a_null_element_give_null(spark):
+    df = table(spark, [[0.1, 0.2], [0.3, 0.4]])
+    model = fit(df, scaling=False)
+    mixed = table(spark, [[0.1, 0.2], None, [0.3, None], [], [0.3, 0.4], [None, None]]).where("id <> 3")
+    rows = model.score(model.encode(mixed.coalesce(1))).orderBy("id").collect()
+    assert [r.code is None for r in rows] == [r.loss is None for r in rows] == [
+        False, True, True, False, True]
+    assert rows[0].code == model.encode(df).orderBy("id").first().code
+    nan = model.score(table(spark, [[float("nan"), 0.2]])).first()
+    assert np.isnan(nan.loss)
+    columns = fit(df.select("id", F.col("features")[0].alias("a"), F.col("features")[1].alias("b")),
+                  inputCols=["a", "b"], scaling=False)
+    assert columns.encode(spark.sql("SELECT 1.0D a, CAST(NULL AS DOUBLE) b")).first().code is None
+
+
+def test_values_outside_the_trained_range(spark):
+    df = table(spark, [[1.0, 10.0], [3.0, 20.0]])
+    far, edge = table(spark, [[5.0, 15.0], [0.0, 25.0]]), table(spark, [[3.0, 15.0], [1.0, 20.0]])
+    model = fit(df)
+    clip = model.copy({model.outside: "clip"})
+    losses = [r.loss for r in clip.score(far).orderBy("id").collect()]
+    assert losses == [r.loss for r in model.score(edge).orderBy("id").collect()]
+    assert losses != [r.loss for r in model.score(far).orderBy("id").collect()]
+    g, expected = ({(r.role, r.i, r.j): r.g for r in m.gradients(d).collect()}
+                   for m, d in ((clip, far), (model, edge)))
+    assert g == pytest.approx(expected, abs=1e-12)
+    strict = model.copy({model.outside: "error"})
+    assert strict.score(edge).count() == 2
+    with pytest.raises(Exception, match="outside the trained range"):
+        strict.score(far).collect()
+
+
+@pytest.mark.parametrize("method, decoder", [("denoising", "separate"), ("sparse", "tied")])
+def test_training_goes_on_after_a_failure(spark, tmp_path, monkeypatch, method, decoder):
+    from layerstack.plans import training
+
+    rng = np.random.default_rng(5)
+    df = table(spark, rng.random((60, 5)).tolist()).repartition(3)
+    options = dict(hidden=[3, 2], epochs=4, method=method, decoder=decoder, idCols=["id"])
+    whole = fit(df, **options)
+    options |= {"progressFolder": str(tmp_path / "progress"), "progressEpochs": 1}
+    seen, real = [], training.epoch_sums
+
+    def failing(source, w, s, spec, *more):
+        seen.append((spec.layer, spec.epoch))
+        if (spec.layer, spec.epoch) == (2, 2) and seen.count((2, 2)) == 1:
+            raise RuntimeError("lost")
+        return real(source, w, s, spec, *more)
+
+    monkeypatch.setattr(training, "epoch_sums", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        fit(df, **options)
+    seen_before = len(seen)
+    again = fit(df, **options)
+    assert seen[seen_before:] == [(2, 2), (2, 3)]
+    for a, b in zip(whole.weights + whole.decoders, again.weights + again.decoders):
+        np.testing.assert_allclose(a, b, rtol=0, atol=1e-12)
+    assert [(r.layer, r.epoch) for r in again.history.collect()] == [
+        (r.layer, r.epoch) for r in whole.history.collect()]
+    # A finished run's state gives the model at once; other options are refused.
+    done = len(seen)
+    np.testing.assert_array_equal(fit(df, **options).weights[1], again.weights[1])
+    assert len(seen) == done
+    with pytest.raises(ValueError, match="other options"):
+        fit(df, **{**options, "learning": 0.2})
+
+
+def test_nudges_of_a_unit_equal_single_nudges():
+    from layerstack.operators import gradients
+    from layerstack.operators.blocks import activate, cross_entropy, decode_input, sigmoid
+
+    rng = np.random.default_rng(2)
+    x, w, s = rng.random((7, 4)), rng.normal(size=(5, 3)), rng.normal(size=(4, 4))
+
+    def loss(w, s, tied):
+        h = activate(x @ w[1:] + w[0], "sigmoid")
+        p = sigmoid(decode_input(h, w, s, tied))
+        return cross_entropy(x, p, True).sum(), h.sum(axis=0)
+
+    for tied in (False, True):
+        enc, dec = np.zeros((6, 5, 3)), np.zeros((3, 4, 4))
+        spec = LayerSpec("regular", Rules.of("standard"), tied=tied)
+        gradients._Nudged(x, None, w, s, spec).add_to(enc, dec, 0.1)
+        for i, j in np.ndindex(*w.shape):
+            for side, by in ((0, 0.1), (1, -0.1)):
+                moved = w.copy()
+                moved[i, j] += by
+                total, active = loss(moved, s, tied)
+                assert enc[2 + side, i, j] == pytest.approx(total, abs=1e-9)
+                assert enc[4 + side, i, j] == pytest.approx(active[j], abs=1e-9)
+        if not tied:
+            for i, j in np.ndindex(*s.shape):
+                up, down = s.copy(), s.copy()
+                up[i, j] += 0.1
+                down[i, j] -= 0.1
+                # Only the moved output's loss is summed; that of the others cancels.
+                assert dec[1, i, j] - dec[2, i, j] == pytest.approx(
+                    loss(w, up, tied)[0] - loss(w, down, tied)[0], abs=1e-9)
+
+
 def test_saturated_units_keep_the_loss_finite(spark):
     w = np.array([[800.0, -800.0], [0.0, 0.0]])
     s = np.array([[0.0], [800.0], [-800.0]])
