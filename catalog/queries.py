@@ -466,6 +466,31 @@ def score_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(df).select("vec_id", r6("loss").alias("loss"))
 
 
+def _score_far_oracle() -> str:
+    sql, n = o.source("embeddings")
+    (w, s), = start_tables(sql, [n, 8])
+    # Twice the trained values, cut off at the trained range; vectors with a null element are left out.
+    sql.add(
+        "far",
+        "SELECT id, i, CASE WHEN hi > lo THEN least(1e0, greatest(0e0, (2 * v - lo) / (hi - lo))) "
+        "ELSE 0e0 END AS v FROM raw JOIN rng USING (i) WHERE id % 7 <> 0",
+    )
+    layer = o.Layer(sql, "q", "far", n, w, s, "regular", "standard", None, False, 0.05, BETA, "sigmoid")
+    return sql.render(
+        f"SELECT vec_id, {o.rounded('loss')} AS loss FROM embeddings "
+        f"LEFT JOIN {layer.losses} l ON l.id = vec_id"
+    )
+
+
+@register("score_out_of_range", _score_far_oracle())
+def score_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = embeddings(spark, sf_dir)
+    model = start_model(df, [8], method="regular", outside="clip", **EMBEDDING)
+    far = df.withColumn("embedding", F.transform("embedding", lambda v, i: F.when(
+        (F.col("vec_id") % 7 != 0) | (i != 0), v.cast("double") * 2)))
+    return model.score(far).select("vec_id", r6("loss").alias("loss"))
+
+
 def _score_columns_oracle() -> str:
     sql, layer = _layer("lineitem", 3, "regular")
     return sql.render(
