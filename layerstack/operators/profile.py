@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstack.operators.tables import feature_column, task_bound
+from layerstack.operators.tables import list_parts, stored_column, task_bound
 
 _SCHEMA = "feature int, lo double, hi double, n bigint, bad bigint"
 _ARROW = pa.schema(
@@ -104,12 +104,13 @@ def feature_profile(df: DataFrame, features: str | list[str], max_tasks: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running = _Running()
         for batch in batches:
-            running.add(batch.column(0))
+            for lists in list_parts(batch.column(0)):
+                running.add(lists)
         if running.rows:
             yield running.batch()
 
     tasks = task_bound(df.sparkSession, max_tasks)
-    column = feature_column(df, features).alias("x")
+    column = stored_column(df, features).alias("x")
     parts = df.select(column).coalesce(tasks).mapInArrow(run, _SCHEMA)
     return _merged(parts).drop("most")
 

@@ -15,6 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from layerstack.operators.blocks import bounded, features_block, scale_block
 BLOCK_BYTES = 256 << 10
 BLOCK_ROWS = 256
 LARGE_BLOCK_BYTES = 32 << 20
+# A block of ML vectors holds about this much of their stored values and indices.
+VECTOR_BLOCK_BYTES = 1 << 20
 # Weights above this size travel as a broadcast instead of inside the task closure.
 CLOSURE_BYTES = 1 << 20
 # Weights live on the driver and in every Python worker, so their size is bounded (by default).
@@ -86,6 +89,48 @@ def feature_column(df: DataFrame, features: str | list[str]) -> Column:
     raise TypeError(f"column {features!r} is {kind.simpleString()}, not an array or vector")
 
 
+def is_vector(df: DataFrame, features: str | list[str]) -> bool:
+    """Whether the features are a column of ML vectors, which can be sparse."""
+    return isinstance(features, str) and df.schema[features].dataType.typeName() == "vectorudt"
+
+
+def stored_column(df: DataFrame, features: str | list[str]) -> Column:
+    """Features as they are stored: ML vectors stay sparse, in their struct."""
+    if is_vector(df, features):
+        return F.unwrap_udt(F.col(features))
+    return feature_column(df, features)
+
+
+def _filled(column: pa.StructArray) -> pa.Array:
+    """Lists of ML vectors, with their zeros."""
+    kind, size, indices, values = column.flatten()
+    held = pc.list_value_length(values).fill_null(0).to_numpy()
+    sparse = kind.fill_null(1).to_numpy() == 0
+    width = np.where(sparse, size.fill_null(0).to_numpy(), held)
+    offsets = np.concatenate([[0], np.cumsum(width)])
+    # The place of each stored value: told by its index, or its order in a dense vector.
+    place = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+    place[np.repeat(sparse, held)] = indices.filter(pa.array(sparse)).flatten().to_numpy()
+    flat = np.zeros(offsets[-1])
+    flat[place + np.repeat(offsets[:-1], held)] = values.flatten().to_numpy()
+    mask = pa.array(~np.array(column.is_valid()))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(flat), mask=mask)
+
+
+def list_parts(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of features as lists; ML vectors are filled with zeros a few blocks at a time."""
+    if not pa.types.is_struct(column.type):
+        yield column
+        return
+    _, size, _, values = column.flatten()
+    widest = max(
+        (pc.max(c).as_py() or 0 for c in (size, pc.list_value_length(values))), default=0
+    )
+    step = block_rows(widest)
+    for at in range(0, len(column), step):
+        yield _filled(column.slice(at, step))
+
+
 def element_type(df: DataFrame, features: str | list[str]) -> str:
     """Numpy type that holds the features without loss."""
     if isinstance(features, str):
@@ -119,11 +164,14 @@ def _read_vectors(
 ) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     step = block_rows(width)
     for batch in batches:
-        x = features_block(batch.column(0), width)
         keys = batch.column(1).to_numpy(zero_copy_only=False) if keyed else None
-        for at in range(0, len(x), step):
-            part = bounded(scale_block(x[at : at + step], ranges), outside)
-            yield part, None if keys is None else keys[at : at + step]
+        first = 0
+        for lists in list_parts(batch.column(0)):
+            x = features_block(lists, width)
+            for at in range(0, len(x), step):
+                part = bounded(scale_block(x[at : at + step], ranges), outside)
+                yield part, None if keys is None else keys[first + at : first + at + step]
+            first += len(x)
 
 
 def vector_source(
@@ -131,7 +179,7 @@ def vector_source(
     outside: str = "keep",
 ) -> Source:
     """Read a feature column directly: one hop to Python, nothing stored."""
-    columns = [feature_column(df, features).alias("x")]
+    columns = [stored_column(df, features).alias("x")]
     if ids:
         columns.append(F.xxhash64(*ids).alias("key"))
     read = partial(_read_vectors, width=width, ranges=ranges, keyed=bool(ids), outside=outside)
@@ -228,6 +276,55 @@ def pack(df: DataFrame, features: str | list[str], ids: list[str]) -> DataFrame:
     return df.select(*columns).mapInArrow(run, PACKED_SCHEMA)
 
 
+def pack_vectors(df: DataFrame, features: str, ids: list[str]) -> DataFrame:
+    """Block table of a column of ML vectors, as sparse as they are: a block holds about a megabyte
+    of stored values, in Arrow's stream format."""
+    keyed = bool(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            keys = batch.column(1).to_numpy(zero_copy_only=False) if keyed else None
+            step = max(1, len(column) * VECTOR_BLOCK_BYTES // max(1, column.nbytes))
+            for at in range(0, len(column), step):
+                part = pa.RecordBatch.from_arrays([column.slice(at, step)], ["x"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _count(part.num_rows),
+                        _binary(None if keys is None else keys[at : at + step]),
+                        pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                    ],
+                    schema=_CODE_ARROW,
+                )
+
+    columns = [stored_column(df, features).alias("x")]
+    if keyed:
+        columns.append(F.xxhash64(*ids).alias("key"))
+    return df.select(*columns).mapInArrow(run, CODE_SCHEMA)
+
+
+def _read_vector_blocks(
+    batches: Iterator[pa.RecordBatch], width: int, ranges: Ranges
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    for batch in batches:
+        for keys, x in zip(batch.column(0), batch.column(1)):
+            found = pa.ipc.open_stream(x.as_buffer()).read_next_batch()
+            columns = [found.column(0)]
+            if keys.is_valid:
+                columns.append(pa.array(np.frombuffer(keys.as_buffer(), dtype="i8")))
+            part = pa.RecordBatch.from_arrays(columns, ["x", "key"][: len(columns)])
+            yield from _read_vectors(iter([part]), width, ranges, keys.is_valid, "keep")
+
+
+def vector_block_source(blocks: DataFrame, width: int, ranges: Ranges) -> Source:
+    """Read a table of packed ML vectors, filled with zeros block by block in the tasks."""
+    read = partial(_read_vector_blocks, width=width, ranges=ranges)
+    return Source(blocks.select("keys", "x"), width, read)
+
+
 def map_blocks(
     source: Source, shared: Shared, f: Callable[[np.ndarray, Any], np.ndarray], tasks: int
 ) -> DataFrame:

@@ -31,9 +31,12 @@ from layerstack.operators.tables import (
     check_model_bytes,
     element_type,
     heaviest_task,
+    is_vector,
     map_blocks,
     pack,
+    pack_vectors,
     task_bound,
+    vector_block_source,
     vector_source,
 )
 from layerstack.plans.progress import EpochReport, Progress, State, delete
@@ -279,6 +282,13 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
             profile = checked_profile(df, settings.features, settings.width, settings.max_tasks)
             ranges = _ranges(profile, settings)
             source = vector_source(df, settings.features, profile.width, ranges, ids)
+        elif is_vector(df, settings.features):
+            # Sparse vectors stay sparse in store. Ranges would not, so they have a pass of their own.
+            profile = checked_profile(df, settings.features, settings.width, settings.max_tasks)
+            ranges = _ranges(profile, settings)
+            blocks = store.put(pack_vectors(df, settings.features, ids))
+            blocks = store.balance(blocks, *heaviest_task(blocks, tasks), profile.width)
+            source = vector_block_source(blocks, profile.width, ranges)
         else:
             blocks = store.put(pack(df, settings.features, ids))
             profile = block_profile(blocks, settings.width, settings.max_tasks)

@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 
 def read_features(
     spark: SparkSession, path: str, fmt: str = "parquet", num_features: int | None = None,
-    **options,
+    sparse: bool = False, **options,
 ) -> DataFrame:
     """Read a feature table from any Hadoop path.
 
     LibSVM text gives `(label, features array<double>)`; name `num_features` where it is known,
     else Spark reads the files once more to find it. Other formats are read as they are, with
-    ML vector columns turned into arrays.
+    ML vector columns turned into arrays. With `sparse` such columns stay ML vectors, which training
+    keeps as sparse as they are.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "libsvm" and num_features:
         reader = reader.option("numFeatures", str(num_features))
     df = reader.load(path)
+    if sparse:
+        return df
     vectors = [f.name for f in df.schema if isinstance(f.dataType, VectorUDT)]
     return df.withColumns({c: vector_to_array(F.col(c)) for c in vectors}) if vectors else df
 

@@ -257,6 +257,47 @@ def test_vector_columns_and_libsvm(spark, tmp_path):
         np.testing.assert_allclose(models[0].weights[0], other.weights[0], atol=1e-12)
 
 
+@pytest.mark.parametrize("storage", ["cache", "table", "source"])
+def test_sparse_vectors_train_as_dense_ones(spark, tmp_path, storage):
+    rng = np.random.default_rng(7)
+    dense = np.where(rng.random((200, 40)) < 0.1, rng.random((200, 40)), 0.0)
+    dense[3] = 0.0
+    path = str(tmp_path / "svm")
+    df = table(spark, dense.tolist())
+    write_libsvm(df.withColumn("y", F.col("id")), path, "y", "features")
+    sparse = read_features(spark, path, "libsvm", num_features=40, sparse=True)
+    assert sparse.schema["features"].dataType.typeName() == "vectorudt"
+    options = dict(storage=storage, hidden=[3, 2], method="denoising")
+    # Rows are masked by their key, which is of the same type on both sides.
+    a = fit(df.withColumn("y", F.col("id").cast("double")), idCols=["y"], **options)
+    b = fit(sparse.withColumnRenamed("label", "y").repartition(3), idCols=["y"], **options)
+    for x, y in zip(a.weights, b.weights):
+        np.testing.assert_allclose(x, y, atol=1e-12)
+    assert b.encode(sparse).count() == 200
+    assert b.mean_activation(sparse).count() == 2
+
+
+def test_stored_vectors_follow_their_values(spark):
+    from layerstack.operators.tables import pack_vectors, vector_block_source
+
+    rows = [(i, Vectors.sparse(5000, [i, i + 7], [1.0, 0.5])) for i in range(300)]
+    rows += [(300, Vectors.dense([0.25] * 5000))]
+    df = spark.createDataFrame(rows, ["id", "features"]).coalesce(1)
+    blocks = pack_vectors(df, "features", ["id"])
+    stored = blocks.agg(F.sum(F.length("x"))).first()[0]
+    assert stored < 100_000 < 301 * 5000 * 8
+    source = vector_block_source(blocks, 5000, None)
+    batches = iter(source.df.toArrow().to_batches())
+    found = [(x, k) for x, k in source.read(batches)]
+    whole = np.concatenate([x for x, _ in found])
+    np.testing.assert_array_equal(whole, np.array([v.toArray() for _, v in rows]))
+    assert sum(len(k) for _, k in found) == 301
+    with pytest.raises(ValueError, match="1 of 302 feature vectors are null"):
+        fit(df.union(spark.createDataFrame([(301, None)], df.schema)), scaling=False)
+    with pytest.raises(ValueError, match="differ in width"):
+        fit(df.union(spark.createDataFrame([(301, Vectors.dense([1.0]))], df.schema)))
+
+
 def test_libsvm_with_known_width(spark, tmp_path):
     path = str(tmp_path / "svm")
     write_libsvm(table(spark, [[0.5, 0.0, 0.0]]).withColumn("y", F.lit(1)), path, "y", "features")
