@@ -9,8 +9,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from catalog.session import ship  # noqa: E402
-
-DATA = "/root/testdata/sf0.001"
+from fixture_data import DATA  # noqa: E402
 
 
 def builder():

@@ -4,7 +4,7 @@ import contextlib
 import io
 
 import pytest
-from conftest import DATA
+from fixture_data import DATA
 from pyspark.sql import functions as F
 
 from layerstack import StackedAutoencoder, feature_profile
