@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from layerstack.llm import (
     bpe,
+    conversation_repair,
     curriculum,
     fingerprints,
     hilbert_ann,
@@ -165,6 +166,14 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after damage, also of those that lost all rows."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repairs = conversation_repair.repair(conversation_repair.damaged(rows))
+    return conversation_repair.with_lost(rows, repairs)
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of the documents that pass all stages of the pipeline."""
