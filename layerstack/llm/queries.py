@@ -15,6 +15,7 @@ from layerstack.llm import (
     conversation_repair,
     curriculum,
     fingerprints,
+    hash_ring,
     hilbert_ann,
     html_text,
     lattice_lm,
@@ -174,6 +175,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.with_lost(rows, repairs)
 
 
+@register("op12_hash_ring")
+def op12_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of a hash ring whose row counts are bounded by the fair share."""
+    out = hash_ring.assign(table(spark, sf_dir, "documents"), shards=40, load="rows")
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of the documents that pass all stages of the pipeline."""
