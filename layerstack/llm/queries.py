@@ -22,6 +22,7 @@ from layerstack.llm import (
     ngram_join,
     pii,
     quality,
+    spelling_variants,
     substring_dedup,
 )
 
@@ -185,6 +186,13 @@ def op12_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common forms of all words of at least 5 letters and 3 occurrences, some of which lost a letter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants.group_variants(spelling_variants.count_words(docs, spoil=97))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of the documents that pass all stages of the pipeline."""
