@@ -77,6 +77,17 @@ def lineitem_raw(sql: Sql) -> str:
     )
 
 
+# Values up to this size of an embedding count as 0 in its sparse form.
+SMALL = 0.25
+
+
+def sparse_raw(sql: Sql, both_signs: bool) -> str:
+    """Embeddings with most values replaced by 0; without `both_signs`, negative ones too."""
+    embeddings_raw(sql)
+    kept = f"abs(v) > {number(SMALL)}" if both_signs else f"v > {number(SMALL)}"
+    return sql.add("thin", f"SELECT id, i, CASE WHEN {kept} THEN v ELSE 0e0 END AS v FROM raw")
+
+
 def scaled(sql: Sql, raw: str = "raw") -> str:
     sql.add("rng", f"SELECT i, min(v) AS lo, max(v) AS hi FROM {raw} GROUP BY i")
     return sql.add(
@@ -89,13 +100,15 @@ def scaled(sql: Sql, raw: str = "raw") -> str:
 def source(table: str) -> tuple[Sql, int]:
     """A chain that ends in the scaled table x1(id, i, v), and its width."""
     sql = Sql()
+    raw, width = "raw", 64
     if table == "embeddings":
         embeddings_raw(sql)
-        width = 64
+    elif table.startswith("thin"):
+        raw = sparse_raw(sql, table == "thin_signed")
     else:
         lineitem_raw(sql)
         width = 4
-    scaled(sql)
+    scaled(sql, raw)
     return sql, width
 
 
@@ -279,15 +292,15 @@ def descend(
 def training(
     sql: Sql, n: int, hidden: list[int], method: str, semantics: str, epochs: int,
     learning: float = 0.1, lmbda: float = 1e-10, beta: float = 1e-10, p: float = 0.05,
-    seed: int = 0, drop: float = 0.5, tied: bool = False,
+    seed: int = 0, drop: float = 0.5, tied: bool = False, start=initial_encoder,
 ) -> tuple[list[tuple[int, int, str]], list[tuple[str, str]], str]:
     """All epochs of all layers: (layer, epoch, loss table), final (W, S), last code table."""
     rules = Rules.of(semantics)
     losses, finals, x = [], [], "x1"
     for layer, k in enumerate(hidden, 1):
-        start = initial_encoder(n, k, rules, seed, layer)
-        w = sql.add(f"w{layer}", matrix_values(start))
-        s = sql.add(f"s{layer}", matrix_values(initial_decoder(start)))
+        first = start(n, k, rules, seed, layer)
+        w = sql.add(f"w{layer}", matrix_values(first))
+        s = sql.add(f"s{layer}", matrix_values(initial_decoder(first)))
         total_w = total_s = fixed = None
         if method == "denoising" and rules.fixed_mask:
             fixed = sql.add(f"fm{layer}", f"SELECT i, v AS k FROM ({vector_values(fixed_mask(n))})")

@@ -17,8 +17,11 @@ from layerstack import (
     summarize_check,
 )
 from layerstack import functions as fn
+from layerstack.operators.gradients import direction
 from layerstack.operators.randoms import fixed_mask
 from layerstack.operators.rules import Rules
+from layerstack.operators.slices import initial_units
+from layerstack.plans.blocked import fit_blocked
 from layerstack.plans.update import initial_decoder, initial_encoder
 from layerstack.sources import import_text, read_features, text_lines, write_libsvm
 from layerstack.streaming import score_stream
@@ -268,7 +271,7 @@ def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scaled_oracle(table: str) -> str:
     sql, _ = o.source(table)
-    if table == "embeddings":
+    if table != "lineitem":
         return sql.render(
             f"SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS pos, {o.rounded('v')} AS v FROM x1"
         )
@@ -345,7 +348,7 @@ def _encode_oracle(table: str, hidden: list[int], upto: int, activation="sigmoid
             values = o.vector_values(fixed_mask(sizes[layer - 1]))
             mask = sql.add(f"fm{layer}", f"SELECT i, v AS k FROM ({values})")
         x = o.forward(sql, f"c{layer}", x, tables[layer - 1][0], mask, activation)
-    if table == "embeddings":
+    if table != "lineitem":
         return sql.render(
             f"SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS unit, {o.rounded('v')} AS a FROM {x}"
         )
@@ -679,10 +682,10 @@ def _fit(df: DataFrame, method: str, semantics: str, epochs: int, hidden: list[i
 
 
 def _trained(table: str, hidden: list[int], method: str, semantics: str, epochs: int,
-             tied: bool = False):
+             tied: bool = False, start=initial_encoder):
     sql, n = o.source(table)
     losses, finals, codes = o.training(
-        sql, n, hidden, method, semantics, epochs, lmbda=1e-3, beta=BETA, tied=tied
+        sql, n, hidden, method, semantics, epochs, lmbda=1e-3, beta=BETA, tied=tied, start=start
     )
     return sql, losses, finals, codes
 
@@ -853,6 +856,126 @@ def weights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- sparse vectors --------------------------------------------------------------------------
+
+
+SPARSE = {"featuresCol": "features", "idCols": ["vec_id"]}
+
+
+def sparse_vectors(spark: SparkSession, sf_dir: str, both_signs: bool) -> DataFrame:
+    """Embeddings without their small values, as sparse ML vectors read from LibSVM text."""
+    kept = lambda v: F.abs(v) > o.SMALL if both_signs else v > o.SMALL
+    thin = embeddings(spark, sf_dir).select(
+        "vec_id",
+        F.transform("embedding", lambda v: F.when(kept(v.cast("double")), v.cast("double")).otherwise(0.0))
+        .alias("thin"),
+    )
+    path = scratch(spark, "sparse")
+    write_libsvm(thin, path, "vec_id", "thin")
+    again = read_features(spark, path, "libsvm", num_features=64, sparse=True)
+    return again.select(F.col("label").cast("bigint").alias("vec_id"), "features")
+
+
+def _register_sparse_vectors(method: str, both_signs: bool) -> None:
+    table = "thin_signed" if both_signs else "thin"
+    suffix = method + ("_signed" if both_signs else "")
+
+    @register(f"train_history_vectors_{suffix}",
+              _history_oracle(table, [8, 4], method, "standard", 3))
+    def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Training on sparse vectors, whose blocks and products stay sparse."""
+        df = sparse_vectors(spark, sf_dir, both_signs)
+        model = _fit(df, method, "standard", 3, [8, 4], SPARSE)
+        return model.history.withColumn("loss", r6("loss"))
+
+    @register(f"gradients_vectors_{suffix}",
+              _gradient_oracle(table, 8, method, "standard", False))
+    def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = sparse_vectors(spark, sf_dir, both_signs)
+        model = start_model(df, [8], method=method, beta=BETA, **SPARSE)
+        return model.gradients(df).withColumn("g", r6("g"))
+
+
+for _method in ("regular", "denoising", "sparse"):
+    _register_sparse_vectors(_method, False)
+_register_sparse_vectors("regular", True)
+_register_sparse_vectors("sparse", True)
+
+
+@register("encode_vectors", _encode_oracle("thin_signed", [8, 4], 2))
+def encode_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sparse_vectors(spark, sf_dir, True)
+    model = start_model(df, [8, 4], method="regular", **SPARSE)
+    return _long(model.encode(df), ["vec_id"], "code", "unit", "a")
+
+
+def _score_vectors_oracle() -> str:
+    sql, layer = _layer("thin_signed", 8, "regular")
+    return sql.render(f"SELECT id AS vec_id, {o.rounded('loss')} AS loss FROM {layer.losses}")
+
+
+@register("score_vectors", _score_vectors_oracle())
+def score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sparse_vectors(spark, sf_dir, True)
+    model = start_model(df, [8], method="regular", **SPARSE)
+    return model.score(df).select("vec_id", r6("loss").alias("loss"))
+
+
+# --- layers in slices --------------------------------------------------------------------------
+
+
+def _unit_starts(n: int, k: int, rules: Rules, seed: int, layer: int):
+    return initial_units(n, 0, k, seed, layer)
+
+
+def _fit_blocked(df: DataFrame, method: str, hidden: list[int], epochs: int, tied: bool = False,
+                 features: str = "embedding"):
+    """Slices of two units; a task holds less than a layer."""
+    return fit_blocked(
+        df, slice_bytes=2200, features=features, ids=["vec_id"], hidden=hidden, method=method,
+        epochs=epochs, beta=BETA, lmbda=1e-3, tied=tied, model_bytes=4000,
+    )
+
+
+def _register_blocked(method: str, tied: bool = False) -> None:
+    suffix = method + ("_tied" if tied else "")
+
+    @register(f"train_history_blocked_{suffix}",
+              _history_oracle("embeddings", [8, 4], method, "standard", 2, tied=tied,
+                              start=_unit_starts))
+    def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Training of a stack whose layers are larger than a task may hold."""
+        stack = _fit_blocked(embeddings(spark, sf_dir), method, [8, 4], 2, tied)
+        return stack.history.withColumn("loss", r6("loss"))
+
+
+for _method in ("regular", "denoising", "sparse"):
+    _register_blocked(_method)
+_register_blocked("regular", True)
+
+
+@register("update_step_blocked",
+          _weights_oracle("embeddings", [8, 4], "sparse", "standard", 2, start=_unit_starts))
+def update_step_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stack = _fit_blocked(embeddings(spark, sf_dir), "sparse", [8, 4], 2)
+    return stack.weights_long().withColumn("w", r6("w"))
+
+
+def _encode_blocked_oracle() -> str:
+    sql, _, _, codes = _trained("thin_signed", [8, 4], "regular", "standard", 2, start=_unit_starts)
+    return sql.render(
+        f"SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS unit, {o.rounded('v')} AS a FROM {codes}"
+    )
+
+
+@register("encode_blocked", _encode_blocked_oracle())
+def encode_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of sparse vectors by a trained stack in slices."""
+    df = sparse_vectors(spark, sf_dir, True)
+    stack = _fit_blocked(df, "regular", [8, 4], 2, features="features")
+    return _long(stack.encode(df, ["vec_id"]), ["vec_id"], "code", "unit", "a")
+
+
 # --- gradient check --------------------------------------------------------------------------
 
 
@@ -938,6 +1061,60 @@ def check_gradients_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_DIRECTIONS, _DIRECTION_EPS = 2, 1e-3
+
+
+def _direction_oracle(method: str) -> str:
+    """The whole cost at both ends of each direction, and the gradient's product with it."""
+    k, lmbda = 3, 1e-3
+    w = initial_encoder(64, k, STANDARD, 0, 1)
+    s = initial_decoder(w)
+    sql, n = o.source("embeddings")
+    mask = o.hashed_mask(sql, "hm", n, 1, 0, 0, 0.5) if method == "denoising" else None
+
+    def layer(tag: str, w, s) -> o.Layer:
+        names = sql.add(f"{tag}_w0", o.matrix_values(w)), sql.add(f"{tag}_s0", o.matrix_values(s))
+        return o.Layer(sql, tag, "x1", n, *names, method, "standard", mask, beta=BETA)
+
+    base = layer("b", w, s)
+    parts = []
+    for d in range(_DIRECTIONS):
+        by_w, by_s = direction((n, k), d, 0, False)
+        sql.add(f"r{d}_w", o.matrix_values(by_w))
+        sql.add(f"r{d}_s", o.matrix_values(by_s))
+        ends = [(w + e * by_w, s + e * by_s) for e in (_DIRECTION_EPS, -_DIRECTION_EPS)]
+        costs = [layer(f"p{d}_{i}", *end).j for i, end in enumerate(ends)]
+        l2 = [lmbda / 2 * ((a[1:] ** 2).sum() + (b[1:] ** 2).sum()) for a, b in ends]
+        slope = lmbda * ((w[1:] * by_w[1:]).sum() + (s[1:] * by_s[1:]).sum())
+        along = " + ".join(
+            f"(SELECT sum(g.g * r.w) FROM {g} g JOIN r{d}_{m} r USING (i, j))"
+            for g, m in ((base.gw, "w"), (base.gs, "s"))
+        )
+        parts.append(
+            f"SELECT {d} AS direction, ({along}) / (SELECT m FROM {base.j}) + {o.number(slope)} AS a, "
+            f"((SELECT loss FROM {costs[0]}) - (SELECT loss FROM {costs[1]}) + {o.number(l2[0] - l2[1])}) "
+            f"/ {o.number(2 * _DIRECTION_EPS)} AS b"
+        )
+    return sql.render(
+        f"SELECT direction, {o.rounded('a')} AS analytic, {o.rounded('b')} AS numeric "
+        f"FROM ({' UNION ALL '.join(parts)})"
+    )
+
+
+def _register_directions(method: str) -> None:
+    @register(f"check_directions_{method}", _direction_oracle(method))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Slopes of the cost along random directions, on the whole table."""
+        df = embeddings(spark, sf_dir)
+        model = start_model(df, [3], method=method, beta=BETA, lmbda=1e-3, **EMBEDDING)
+        found = model.check_directions(df, eps=_DIRECTION_EPS, directions=_DIRECTIONS)
+        return found.select("direction", r6("analytic").alias("analytic"), r6("numeric").alias("numeric"))
+
+
+for _method in ("regular", "denoising", "sparse"):
+    _register_directions(_method)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scale, train one layer for three epochs and encode."""
     ship(spark)

@@ -13,6 +13,7 @@ _HOMES = {
     "corrupt": "operators.prepare",
     "corrupt_fixed": "operators.prepare",
     "feature_profile": "operators.profile",
+    "fit_blocked": "plans.blocked",
     "flatten_weights": "operators.matrices",
     "import_text": "sources.weights",
     "model_from_weights": "plans.estimator",

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 from layerstack.functions.activations import CLAMP, ELU_SCALE, LEAKY_SLOPE
-from layerstack.operators.randoms import fixed_mask, hash_mask
+from layerstack.operators.randoms import fixed_mask, hash_mask, mask_at, mask_rows
 from layerstack.operators.rules import Rules
+from layerstack.operators.sparse import SPARSE_SHARE, SparseInput
 
 
 def features_block(column: pa.Array, width: int) -> np.ndarray:
@@ -129,8 +130,17 @@ class LayerSpec:
         return hash_mask(keys, width, self.corruption, self.layer, self.epoch, self.seed)
 
 
-def encode_layer(x: np.ndarray, w: np.ndarray, spec: LayerSpec) -> np.ndarray:
+def filled(x: np.ndarray | SparseInput) -> np.ndarray:
+    """A block as a matrix."""
+    return x.dense() if isinstance(x, SparseInput) else x
+
+
+def encode_layer(x: np.ndarray | SparseInput, w: np.ndarray, spec: LayerSpec) -> np.ndarray:
     """Codes of a finished layer. Only the fixed mask stays on outside training."""
+    if isinstance(x, SparseInput):
+        if spec.method == "denoising" and spec.rules.fixed_mask:
+            w = np.concatenate([w[:1], w[1:] * fixed_mask(x.shape[1])[:, None]])
+        return activate(x.times(w[1:]) + w[0], spec.activation)
     if spec.method == "denoising" and spec.rules.fixed_mask:
         x = x * fixed_mask(x.shape[1])
     return activate(x @ w[1:] + w[0], spec.activation)
@@ -190,12 +200,29 @@ class Sums:
         )
 
 
+def sparsity(
+    active: np.ndarray, rows: float, target: float, beta: float, power: int, guard: bool = False
+):
+    """(sum of KL terms, gradient constant per unit) from summed activations.
+
+    With `guard` a dead or saturated unit's mean is kept off 0 and 1, as in `kl_term`.
+    """
+    p = active / rows
+    if guard:
+        p = np.clip(p, CLAMP, 1.0 - CLAMP)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = target * np.log(target / p) + (1 - target) * np.log((1 - target) / (1 - p))
+        pull = beta**power * ((1 - target) / (1 - p) - target / p)
+    return float(kl.sum()), pull
+
+
 def _with_bias_row(matrix: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return np.concatenate([bias[None, :], matrix], axis=0)
 
 
 def layer_sums(
-    x: np.ndarray, keys: np.ndarray | None, w: np.ndarray, s: np.ndarray, spec: LayerSpec
+    x: np.ndarray | SparseInput, keys: np.ndarray | None, w: np.ndarray, s: np.ndarray,
+    spec: LayerSpec,
 ) -> Sums:
     """Loss and gradient sums of one block.
 
@@ -203,6 +230,11 @@ def layer_sums(
     hidden error. It factors out of the row sum, so the pass also returns `lever` and the
     caller adds `constant * lever`: the sparse method needs one pass over the data, not two.
     """
+    if isinstance(x, SparseInput):
+        a = sparse_masked(x, keys, spec)
+        if a is not None:
+            return sparse_layer_sums(x, a, w, s, spec)
+        x = x.dense()
     a = masked_input(x, keys, spec)
     z = a @ w[1:] + w[0]
     h = activate(z, spec.activation)
@@ -227,3 +259,84 @@ def layer_sums(
     else:
         lever = np.zeros((0, w.shape[1]))
     return Sums(float(len(x)), float(loss), encoder, decoder, h.sum(axis=0), lever)
+
+
+def layer_loss(
+    x: np.ndarray, keys: np.ndarray | None, w: np.ndarray, s: np.ndarray, spec: LayerSpec
+) -> tuple[float, np.ndarray]:
+    """Loss of one block, and the activity of its units, without gradients."""
+    a = masked_input(x, keys, spec)
+    h = activate(a @ w[1:] + w[0], spec.activation)
+    out = sigmoid(decode_input(h, w, s, spec.tied))
+    loss = cross_entropy(target_of(x, a, spec), out, spec.rules.guard).sum()
+    return float(loss), h.sum(axis=0)
+
+
+def sparse_masked(
+    x: SparseInput, keys: np.ndarray | None, spec: LayerSpec
+) -> SparseInput | None:
+    """A sparse block under the layer's mask; None where the block must be filled first.
+
+    That is under rules without a guard, whose infinities come from zeros too, and where the mask
+    makes too many columns dense.
+    """
+    if not spec.rules.guard:
+        return None
+    if spec.method != "denoising":
+        return x
+    at = np.flatnonzero(x.constant)
+    if len(at) > SPARSE_SHARE * x.shape[1]:
+        return None
+    rows = mask_rows(keys, spec.layer, spec.epoch, spec.seed)
+    return x.masked(
+        mask_at(rows[x.part.rows], x.part.columns, spec.corruption),
+        mask_at(rows[:, None], at[None, :], spec.corruption),
+    )
+
+
+def sparse_cross_entropy(x: SparseInput, p: np.ndarray) -> float:
+    """Cross-entropy of all values of a block against sparse targets, summed.
+
+    Where a target is 0 only the logarithm of 1 - p counts; the other one is taken for stored values and
+    for columns with a constant part.
+    """
+    p = np.clip(p, CLAMP, 1.0 - CLAMP)
+    off = np.log(1.0 - p)
+    total = off.sum()
+    at = np.flatnonzero(x.constant)
+    if len(at):
+        total += ((np.log(p[:, at]) - off[:, at]) @ x.constant[at]).sum()
+    stored = x.part.rows, x.part.columns
+    return -float(total + x.part.values @ (np.log(p[stored]) - off[stored]))
+
+
+def sparse_layer_sums(
+    x: SparseInput, a: SparseInput, w: np.ndarray, s: np.ndarray, spec: LayerSpec
+) -> Sums:
+    """The same sums for a sparse block x, masked as a.
+
+    Products with the input take its stored values only. Outputs, and so products with errors, are dense.
+    """
+    z = a.times(w[1:]) + w[0]
+    h = activate(z, spec.activation)
+    out = sigmoid(decode_input(h, w, s, spec.tied))
+    loss = sparse_cross_entropy(x, out)
+    e = x.taken_from(out)
+    slopes = slope(z, h, spec.activation)
+    hidden = (e @ (w[1:] if spec.tied else s[1:].T)) * slopes
+    wanted = [hidden, slopes] if spec.method == "sparse" else [hidden]
+    # The transposed product gathers entries once for both.
+    products = a.transposed_times(np.concatenate(wanted, axis=1))
+    k = w.shape[1]
+    weights = products[:, :k]
+    if spec.tied:
+        decoder = np.zeros_like(s)
+        if not spec.rules.encoder_path:
+            weights = weights + e.T @ h
+    else:
+        decoder = _with_bias_row(h.T @ e, e.sum(axis=0))
+    lever = np.zeros((0, k))
+    if spec.method == "sparse":
+        lever = _with_bias_row(products[:, k:], slopes.sum(axis=0))
+    encoder = _with_bias_row(weights, hidden.sum(axis=0))
+    return Sums(float(len(x)), loss, encoder, decoder, h.sum(axis=0), lever)

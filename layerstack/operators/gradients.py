@@ -20,16 +20,20 @@ from layerstack.operators.blocks import (
     activate,
     cross_entropy,
     decode_input,
+    filled,
+    layer_loss,
     layer_sums,
     masked_input,
     sigmoid,
+    sparsity,
     target_of,
 )
 from layerstack.operators.sums import (
     PARTIAL_SCHEMA,
     REDUCE_BYTES,
     partial_row,
-    reduce_partials,
+    sum_blocks,
+    tree_totals,
 )
 from layerstack.operators.tables import Shared, Source
 
@@ -176,7 +180,7 @@ def _entry_rows(
     read = source.read
     n, k = shape
     bytes_per_unit = 8 * (2 + len(_ENCODER_SUMS) * (n + 1) + len(_DECODER_SUMS) * n)
-    buckets = -(-tasks * bytes_per_unit // REDUCE_BYTES)
+    fan = max(2, REDUCE_BYTES // bytes_per_unit)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = shared.get()
@@ -194,14 +198,14 @@ def _entry_rows(
                 enc[1] += found.lever
             rows += len(x)
             if eps:
-                _Nudged(x, keys, w, s, spec).add_to(enc, dec, eps)
+                _Nudged(filled(x), keys, w, s, spec).add_to(enc, dec, eps)
         if not rows:
             return
         part = TaskContext.get().partitionId()
         for unit in range(k):
             v = [[rows, active[unit]], enc[:, :, unit].ravel(), dec[:, unit + 1].ravel()]
-            yield partial_row(unit, part % buckets, part, np.concatenate(v))
-        yield partial_row(k, part % buckets, part, np.concatenate([[rows], dec[:, 0].ravel()]))
+            yield partial_row(unit, 0, part, np.concatenate(v))
+        yield partial_row(k, 0, part, np.concatenate([[rows], dec[:, 0].ravel()]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = shared.get()
@@ -223,12 +227,9 @@ def _entry_rows(
                     found = dict(zip(_DECODER_SUMS, v[at:].reshape(-1, n)))
                     yield _entries("decoder", np.full(n, row), outputs, w=s[row], m=rows, **found)
 
-    totals = reduce_partials(
-        source.narrowed(tasks).mapInArrow(sums, PARTIAL_SCHEMA), min((k + 1) * buckets, tasks)
-    )
-    if buckets > 1:
-        totals = reduce_partials(totals.withColumn("part", F.col("bucket")).withColumn(
-            "bucket", F.lit(0)), min(k + 1, tasks))
+    rows = source.narrowed(tasks)
+    parts = min(tasks, max(1, rows.rdd.getNumPartitions()))
+    totals = tree_totals(rows.mapInArrow(sums, PARTIAL_SCHEMA), parts, k + 1, fan)
     return totals.mapInArrow(spread, _ENTRY_SCHEMA)
 
 
@@ -289,3 +290,76 @@ def summarize_check(check: DataFrame) -> DataFrame:
         (F.sum("numeric") - F.sum("analytic")).alias("difference"),
         F.max("difference").alias("largest"),
     )
+
+
+def direction(shape: tuple[int, int], at: int, seed: int, tied: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A random direction of unit length in the space of a layer's weights: encoder and decoder parts."""
+    n, k = shape
+    source = np.random.default_rng([seed, at])
+    w, s = source.normal(size=(n + 1, k)), source.normal(size=(k + 1, n))
+    if tied:
+        s[:] = 0.0
+    length = np.sqrt((w**2).sum() + (s**2).sum())
+    return w / length, s / length
+
+
+def checked_directions(
+    source: Source, stack, shared: Shared, layer: int, target: float, beta: float, lmbda: float,
+    eps: float, directions: int, seed: int, tasks: int,
+) -> DataFrame:
+    """`(direction, analytic, numeric, difference)`: slopes of the cost along random directions.
+
+    The analytic slope is the product of gradient and direction, the numeric one a central difference of the
+    whole cost. One pass takes two more forward passes for each direction, whatever the number of
+    weights, and a task emits a few numbers for each direction and unit, so whole tables can be checked.
+    """
+    spec, w, s = stack.specs[layer - 1], stack.weights[layer - 1], stack.decoders[layer - 1]
+    shape = w.shape[0] - 1, w.shape[1]
+    k = shape[1]
+    each = 3 + 3 * k
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(total: np.ndarray, x: np.ndarray, keys: np.ndarray | None) -> None:
+        stack = shared.get()
+        w, s, spec = stack.weights[layer - 1], stack.decoders[layer - 1], stack.specs[layer - 1]
+        x = filled(stack.encode(x, layer - 1))
+        found = layer_sums(x, keys, w, s, spec)
+        total[0] += found.rows
+        total[1 : 1 + k] += found.active
+        for d in range(directions):
+            if len(made) <= d:
+                made.append(direction(shape, d, seed, spec.tied))
+            by_w, by_s = made[d]
+            own = total[1 + k + d * each :][:each]
+            own[2] += (found.encoder * by_w).sum() + (found.decoder * by_s).sum()
+            if spec.method == "sparse":
+                own[3 + 2 * k :] += (found.lever * by_w).sum(axis=0)
+            for side, step in ((0, eps), (1, -eps)):
+                loss, active = layer_loss(x, keys, w + step * by_w, s + step * by_s, spec)
+                own[side] += loss
+                own[3 + side * k : 3 + (side + 1) * k] += active
+
+    total = sum_blocks(source, 1 + k + directions * each, add, tasks)
+    if total is None:
+        raise ValueError("the table has no rows")
+    rows, active = total[0], total[1 : 1 + k]
+    power = spec.rules.beta_power
+    out = []
+    for d in range(directions):
+        by_w, by_s = direction(shape, d, seed, spec.tied)
+        own = total[1 + k + d * each :][:each]
+        l2 = lambda w, s: lmbda / 2 * ((w[1:] ** 2).sum() + (s[1:] ** 2).sum())
+        analytic = own[2] / rows + lmbda * ((w[1:] * by_w[1:]).sum() + (s[1:] * by_s[1:]).sum())
+        numeric = (own[0] - own[1]) / rows / (2 * eps)
+        numeric += (l2(w + eps * by_w, s + eps * by_s) - l2(w - eps * by_w, s - eps * by_s)) / (2 * eps)
+        if spec.method == "sparse":
+            _, pull = sparsity(active, rows, target, beta, power, spec.rules.guard)
+            analytic += (pull * own[3 + 2 * k :]).sum() / rows
+            ends = [
+                sparsity(own[3 + i * k : 3 + (i + 1) * k], rows, target, beta, power, spec.rules.guard)[0]
+                for i in (0, 1)
+            ]
+            numeric += beta * (ends[0] - ends[1]) / (2 * eps)
+        out.append((d, float(analytic), float(numeric), float(abs(analytic - numeric))))
+    schema = "direction int, analytic double, numeric double, difference double"
+    return source.df.sparkSession.createDataFrame(out, schema)

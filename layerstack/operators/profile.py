@@ -1,4 +1,8 @@
-"""Feature width, ranges and validity of a table, in one pass."""
+"""Feature width, ranges and validity of a table, in one pass.
+
+A task's figures are vectors, cut into chunks of features, and combined in a tree of shuffles: a row of
+a shuffle stands for thousands of features, and none is as long as the table is wide.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from layerstack.operators.sparse import vector_rows
+from layerstack.operators.sums import FAN, PARTIAL_SCHEMA, partial_row, tree_totals
 from layerstack.operators.tables import list_parts, stored_column, task_bound
 
 _SCHEMA = "feature int, lo double, hi double, n bigint, bad bigint"
@@ -17,6 +24,10 @@ _ARROW = pa.schema(
     [("feature", pa.int32()), ("lo", pa.float64()), ("hi", pa.float64()),
      ("n", pa.int64()), ("bad", pa.int64())]
 )
+# Features whose figures travel together: a megabyte.
+CHUNK_FEATURES = 1 << 15
+# The chunk with counts of rows: rows, null vectors, rows of the fullest task.
+HEAD = -1
 
 
 class _Running:
@@ -78,51 +89,106 @@ class _Running:
         self.lo[:width] = np.fmin(self.lo[:width], lo)
         self.hi[:width] = np.fmax(self.hi[:width], hi)
 
-    def batch(self) -> pa.RecordBatch:
-        seen = ~np.isnan(self.lo)
-        lo = [None, *[v if ok else None for v, ok in zip(self.lo.tolist(), seen)]]
-        hi = [None, *[v if ok else None for v, ok in zip(self.hi.tolist(), seen)]]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(-1, len(self.lo), dtype="i4")),
-                pa.array(lo, pa.float64()),
-                pa.array(hi, pa.float64()),
-                pa.array(np.concatenate([[self.rows], self.n]).astype("i8")),
-                pa.array(np.concatenate([[self.null_rows], self.bad]).astype("i8")),
-            ],
-            schema=_ARROW,
-        )
-
-
-def feature_profile(df: DataFrame, features: str | list[str], max_tasks: int = 0) -> DataFrame:
-    """`(feature, lo, hi, n, bad)`: range, count and number of null or NaN values per feature.
-
-    The row with feature -1 counts table rows in `n` and null vectors in `bad`. One pass over
-    the feature column; a task emits one row per feature and the rest is a small aggregation.
-    """
-
+    def add_vectors(self, column: pa.StructArray) -> None:
+        """Take in ML vectors by their stored values; features that some rows leave out reach 0."""
+        self.rows += len(column)
+        self.null_rows += column.null_count
+        column = column.drop_null()
+        if not len(column):
+            return
+        size, values = column.field("size"), column.field("values")
+        widths = pc.if_else(pc.is_null(size), pc.list_value_length(values), size).to_numpy()
+        for width in np.unique(widths).tolist():
+            rows = vector_rows(column.filter(pa.array(widths == width)), width)
+            self._grow(width)
+            self.n[:width] += len(rows)
+            held = np.bincount(rows.columns, minlength=width)
+            lo = np.where(held < len(rows), 0.0, np.nan)
+            hi = lo.copy()
+            order = rows.by_column
+            columns, stored = rows.columns[order], rows.values[order]
+            self.bad[:width] += np.bincount(columns[np.isnan(stored)], minlength=width)
+            if len(columns):
+                first = np.flatnonzero(np.diff(columns, prepend=-1))
+                at = columns[first]
+                lo[at] = np.fmin(lo[at], np.fmin.reduceat(stored, first))
+                hi[at] = np.fmax(hi[at], np.fmax.reduceat(stored, first))
+            self._widen(lo, hi)
+
+    def partials(self, part: int) -> Iterator[pa.RecordBatch]:
+        head = np.array([self.rows, self.null_rows, self.rows], "f8")
+        yield partial_row(HEAD, 0, part, head)
+        for chunk, at in enumerate(range(0, len(self.lo), CHUNK_FEATURES)):
+            some = np.s_[at : at + CHUNK_FEATURES]
+            figures = [self.lo[some], self.hi[some], self.n[some], self.bad[some]]
+            yield partial_row(chunk, 0, part, np.concatenate(figures).astype("f8"))
+
+
+def _combined(chunk: int, total: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Figures of two sets of rows; the narrower set has nothing for the features it lacks."""
+    if chunk == HEAD:
+        return np.array([total[0] + v[0], total[1] + v[1], max(total[2], v[2])])
+    a, b = total.reshape(4, -1), v.reshape(4, -1)
+    width = max(a.shape[1], b.shape[1])
+    out = np.zeros((4, width))
+    out[:2] = np.nan
+    out[:, : a.shape[1]] = a
+    some = out[:, : b.shape[1]]
+    some[0], some[1] = np.fmin(some[0], b[0]), np.fmax(some[1], b[1])
+    some[2:] += b[2:]
+    return out.ravel()
+
+
+def _totals(parts: DataFrame, tasks: int) -> DataFrame:
+    """One row of figures for each chunk of features, and the head."""
+    found = parts.rdd.getNumPartitions()
+    return tree_totals(parts, max(1, min(tasks, found)), 8, FAN, _combined)
+
+
+def _figure_totals(df: DataFrame, features: str | list[str], max_tasks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running = _Running()
         for batch in batches:
-            for lists in list_parts(batch.column(0)):
+            column = batch.column(0)
+            if pa.types.is_struct(column.type):
+                running.add_vectors(column)
+                continue
+            for lists in list_parts(column):
                 running.add(lists)
         if running.rows:
-            yield running.batch()
+            yield from running.partials(TaskContext.get().partitionId())
 
     tasks = task_bound(df.sparkSession, max_tasks)
     column = stored_column(df, features).alias("x")
-    parts = df.select(column).coalesce(tasks).mapInArrow(run, _SCHEMA)
-    return _merged(parts).drop("most")
+    return _totals(df.select(column).coalesce(tasks).mapInArrow(run, PARTIAL_SCHEMA), tasks)
+
+
+def feature_profile(df: DataFrame, features: str | list[str], max_tasks: int = 0) -> DataFrame:
+    """`(feature, lo, hi, n, bad)`: range, count and number of null or NaN values per feature.
 
+    The row with feature -1 counts table rows in `n` and null vectors in `bad`. One pass over
+    the feature column, and a tree that combines the tasks' figures.
+    """
 
-def _merged(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("feature").agg(
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-        F.sum("n").alias("n"),
-        F.sum("bad").alias("bad"),
-        F.max("n").alias("most"),
-    )
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(3)):
+                v = np.frombuffer(data.as_buffer())
+                if chunk == HEAD:
+                    features, lo, hi, n, bad = np.array([-1]), *np.full((2, 1), np.nan), v[:1], v[1:2]
+                else:
+                    lo, hi, n, bad = v.reshape(4, -1)
+                    features = chunk * CHUNK_FEATURES + np.arange(len(lo))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(features, pa.int32()),
+                        *(pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (lo, hi)),
+                        *(pa.array(x.astype("i8")) for x in (n, bad)),
+                    ],
+                    schema=_ARROW,
+                )
+
+    return _figure_totals(df, features, max_tasks).mapInArrow(spread, _SCHEMA)
 
 
 @dataclass
@@ -138,7 +204,7 @@ def checked_profile(
     df: DataFrame, features: str | list[str], width: int = 0, max_tasks: int = 0
 ) -> Profile:
     """Profile of a table that can be trained on; raises for any row that cannot."""
-    return _checked(feature_profile(df, features, max_tasks).withColumn("most", F.col("n")), width)
+    return _checked(_figure_totals(df, features, max_tasks), width)
 
 
 def block_profile(blocks: DataFrame, width: int = 0, max_tasks: int = 0) -> Profile:
@@ -151,36 +217,34 @@ def block_profile(blocks: DataFrame, width: int = 0, max_tasks: int = 0) -> Prof
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 running.add_block(*row)
         if running.rows:
-            yield running.batch()
+            yield from running.partials(TaskContext.get().partitionId())
 
     tasks = task_bound(blocks.sparkSession, max_tasks)
     figures = blocks.select("rows", "null_rows", "bad", "lo", "hi").coalesce(tasks)
-    return _checked(_merged(figures.mapInArrow(run, _SCHEMA)), width)
+    return _checked(_totals(figures.mapInArrow(run, PARTIAL_SCHEMA), tasks), width)
 
 
-def _checked(profile: DataFrame, width: int) -> Profile:
-    found = profile.collect()
-    head = [r for r in found if r.feature < 0]
-    body = sorted((r for r in found if r.feature >= 0), key=lambda r: r.feature)
-    if not head:
+def _checked(totals: DataFrame, width: int) -> Profile:
+    """The figures of all chunks (four numbers for each feature, as the model's ranges need them)."""
+    found = {r.chunk: np.frombuffer(r.v) for r in totals.select("chunk", "v").collect()}
+    if HEAD not in found:
         raise ValueError("the input has no rows")
-    rows, null_rows = head[0].n, head[0].bad
+    rows, null_rows, heaviest = map(int, found.pop(HEAD))
     if null_rows:
         raise ValueError(f"{null_rows} of {rows} feature vectors are null")
-    if not body:
+    if not found:
         raise ValueError("feature vectors are empty")
-    if any(r.n != rows for r in body):
-        raise ValueError(f"feature vectors differ in width (widest: {len(body)})")
-    if width and width != len(body):
-        raise ValueError(f"features have width {len(body)}, not {width}")
-    bad = sum(r.bad for r in body)
-    if bad:
-        raise ValueError(f"{bad} feature values are null or NaN")
-    lo = np.array([r.lo for r in body], dtype="f8")
-    hi = np.array([r.hi for r in body], dtype="f8")
+    chunks = [found[c].reshape(4, -1) for c in sorted(found)]
+    lo, hi, n, bad = np.concatenate(chunks, axis=1)
+    if (n != rows).any():
+        raise ValueError(f"feature vectors differ in width (widest: {len(n)})")
+    if width and width != len(n):
+        raise ValueError(f"features have width {len(n)}, not {width}")
+    if bad.any():
+        raise ValueError(f"{int(bad.sum())} feature values are null or NaN")
     if not (np.isfinite(lo).all() and np.isfinite(hi).all()):
         raise ValueError("feature values are infinite")
-    return Profile(rows, len(body), lo, hi, head[0].most)
+    return Profile(rows, len(n), lo, hi, heaviest)
 
 
 def check_unit_range(profile: Profile) -> None:

@@ -3,7 +3,6 @@ its class documentation), and a hash mask that does not depend on partitioning."
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
 import numpy as np
@@ -18,41 +17,69 @@ _LCG_INCREMENT = 0xB
 _LCG_MASK = (1 << 48) - 1
 
 
+# Trials that are drawn at once.
+TRIALS = 1 << 18
+
+
+@lru_cache(maxsize=4)
+def _jumps(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and increments that take the state on by 1 to `count` steps.
+
+    Each doubling puts the steps known so far behind the last of them. Words wrap at 64 bits, a
+    multiple of the 48 that count.
+    """
+    times, plus = np.array([_LCG_MULTIPLIER], "u8"), np.array([_LCG_INCREMENT], "u8")
+    while len(times) < count:
+        plus = np.concatenate([plus, times * plus[-1] + plus])
+        times = np.concatenate([times, times * times[-1]])
+    return times[:count], plus[:count]
+
+
 class Lcg48:
-    """48-bit linear congruential generator with uniform and polar normal draws."""
+    """48-bit linear congruential generator: uniform draws from any place of its sequence on."""
 
     def __init__(self, seed: int):
-        self._state = (seed ^ _LCG_MULTIPLIER) & _LCG_MASK
-        self._spare: float | None = None
-
-    def _bits(self, count: int) -> int:
-        self._state = (self._state * _LCG_MULTIPLIER + _LCG_INCREMENT) & _LCG_MASK
-        return self._state >> (48 - count)
-
-    def uniform(self) -> float:
-        high = self._bits(26)
-        return ((high << 27) + self._bits(27)) / float(1 << 53)
-
-    def normal(self) -> float:
-        if self._spare is not None:
-            value, self._spare = self._spare, None
-            return value
-        while True:
-            u = 2 * self.uniform() - 1
-            v = 2 * self.uniform() - 1
+        self._start = (seed ^ _LCG_MULTIPLIER) & _LCG_MASK
+
+    def _state(self, steps: int) -> int:
+        """The state after so many steps, by repeated squaring."""
+        state, times, plus = self._start, _LCG_MULTIPLIER, _LCG_INCREMENT
+        while steps:
+            if steps & 1:
+                state = (state * times + plus) & _LCG_MASK
+            plus = (times * plus + plus) & _LCG_MASK
+            times = (times * times) & _LCG_MASK
+            steps >>= 1
+        return state
+
+    def uniforms(self, first: int, count: int) -> np.ndarray:
+        """Draws `first` to `first + count` - 1 of the sequence in [0, 1); each takes two steps."""
+        times, plus = _jumps(2 * count)
+        states = (np.uint64(self._state(2 * first)) * times + plus) & np.uint64(_LCG_MASK)
+        high, low = states[0::2] >> np.uint64(22), states[1::2] >> np.uint64(21)
+        return ((high << np.uint64(27)) + low).astype("f8") / float(1 << 53)
+
+    def normals(self, count: int) -> np.ndarray:
+        """The first normal draws, by the polar method: two from each pair of uniforms in the circle."""
+        out, found, pair = np.empty(count + 1), 0, 0
+        while found < count:
+            trials = min(TRIALS, 16 + (count - found) * 3 // 4)
+            u, v = (2 * self.uniforms(2 * pair, 2 * trials) - 1).reshape(-1, 2).T
+            pair += trials
             square = u * u + v * v
-            if 0 < square < 1:
-                break
-        factor = math.sqrt(-2 * math.log(square) / square)
-        self._spare = v * factor
-        return u * factor
+            inside = (square > 0) & (square < 1)
+            u, v, square = u[inside], v[inside], square[inside]
+            factor = np.sqrt(-2 * np.log(square) / square)
+            both = np.stack([u * factor, v * factor], axis=1).ravel()[: len(out) - found]
+            out[found : found + len(both)] = both
+            found += len(both)
+        return out[:count]
 
 
 @lru_cache(maxsize=16)
 def fixed_mask(width: int) -> np.ndarray:
     """The 0/1 mask of the reference semantics: a prefix of one fixed sequence."""
-    source = Lcg48(MASK_SEED)
-    return np.array([1.0 if source.uniform() >= 0.5 else 0.0 for _ in range(width)])
+    return (Lcg48(MASK_SEED).uniforms(0, width) >= 0.5).astype("f8")
 
 
 # The five primes of the public 64-bit xxHash.
@@ -97,9 +124,21 @@ def hash_mask(
     Equals `xxhash64(key, layer, epoch, seed, feature) >= threshold` in Spark SQL, all as
     bigint.
     """
+    rows = mask_rows(keys, layer, epoch, seed)
+    return mask_at(rows[:, None], np.arange(width)[None, :], drop)
+
+
+def mask_rows(keys: np.ndarray, layer: int, epoch: int, seed: int) -> np.ndarray:
+    """The part of the mask's hash that depends on the row."""
     with np.errstate(over="ignore"):
         h = _hash_long(keys.astype("u8"), np.full(len(keys), _SPARK_SEED))
         for part in (layer, epoch, seed):
             h = _hash_long(np.array(part, dtype="i8").astype("u8"), h)
-        grid = _hash_long(np.arange(width, dtype="u8")[None, :], h[:, None])
-    return grid.view("i8") >= keep_threshold(drop)
+    return h
+
+
+def mask_at(rows: np.ndarray, features: np.ndarray, drop: float) -> np.ndarray:
+    """Which of some features to keep, from the hashes of their rows."""
+    with np.errstate(over="ignore"):
+        h = _hash_long(features.astype("u8"), rows)
+    return h.view("i8") >= keep_threshold(drop)

@@ -7,6 +7,7 @@ streaming tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,14 @@ from layerstack.operators.blocks import (
     decode_input,
     encode_layer,
     features_block,
+    filled,
     scale_block,
     sigmoid,
     target_of,
 )
 from layerstack.operators.randoms import fixed_mask
-from layerstack.operators.tables import Shared
+from layerstack.operators.sparse import SparseInput, sparse_inputs
+from layerstack.operators.tables import Shared, block_rows
 from layerstack.operators.vectors import skip_nulls, vector_udf
 
 
@@ -53,10 +56,21 @@ class Stack:
     def arrays(self) -> list[np.ndarray]:
         return [*self.weights, *self.decoders, *(self.ranges or ())]
 
-    def scaled(self, column: pa.Array) -> np.ndarray:
-        return bounded(scale_block(features_block(column, self.width), self.ranges), self.outside)
-
-    def encode(self, x: np.ndarray, upto: int) -> np.ndarray:
+    def blocks(self, column: pa.Array) -> Iterator[np.ndarray | SparseInput]:
+        """Scaled rows of a feature column: lists at once, ML vectors in blocks as sparse as they are."""
+        if not pa.types.is_struct(column.type):
+            x = scale_block(features_block(column, self.width), self.ranges)
+            yield bounded(x, self.outside)
+            return
+        if not len(column):
+            yield np.zeros((0, self.width))
+        for x in sparse_inputs(column, self.width, self.ranges, block_rows(self.width)):
+            yield x if self.outside == "keep" else bounded(filled(x), self.outside)
+
+    def codes(self, column: pa.Array, upto: int) -> np.ndarray:
+        return np.concatenate([self.encode(x, upto) for x in self.blocks(column)])
+
+    def encode(self, x: np.ndarray | SparseInput, upto: int) -> np.ndarray | SparseInput:
         for w, spec in zip(self.weights[:upto], self.specs[:upto]):
             x = encode_layer(x, w, spec)
         return x
@@ -70,8 +84,7 @@ class Stack:
 
 def encode_column(shared: Shared, x: Column, upto: int) -> Column:
     def make(c: pa.Array) -> np.ndarray:
-        stack = shared.get()
-        return stack.encode(stack.scaled(c), upto)
+        return shared.get().codes(c, upto)
 
     return vector_udf(make, x)
 
@@ -83,7 +96,7 @@ def reconstruct_column(
 
     def make(c: pa.Array) -> np.ndarray:
         stack = shared.get()
-        y = stack.encode(stack.scaled(c), upto)
+        y = stack.codes(c, upto)
         for layer in range(upto, down_to, -1):
             y = stack.decode_once(y, layer)
         if original_units and stack.ranges is not None:
@@ -99,17 +112,21 @@ def loss_column(shared: Shared, x: Column, upto: int) -> Column:
 
     @F.arrow_udf("double")
     def run(v: pa.Array) -> pa.Array:
-        def loss(c: pa.Array) -> pa.Array:
-            stack = shared.get()
+        def loss_of(stack: Stack, x: np.ndarray | SparseInput) -> np.ndarray:
             spec = stack.specs[upto - 1]
-            inputs = stack.encode(stack.scaled(c), upto - 1)
+            inputs = stack.encode(x, upto - 1)
             codes = encode_layer(inputs, stack.weights[upto - 1], spec)
             out = stack.decode_once(codes, upto)
+            inputs = filled(inputs)
             masked = inputs
             if spec.method == "denoising" and spec.rules.fixed_mask:
                 masked = inputs * fixed_mask(inputs.shape[1])
             target = target_of(inputs, masked, spec)
-            return pa.array(cross_entropy(target, out, spec.rules.guard).sum(axis=1))
+            return cross_entropy(target, out, spec.rules.guard).sum(axis=1)
+
+        def loss(c: pa.Array) -> pa.Array:
+            stack = shared.get()
+            return pa.array(np.concatenate([loss_of(stack, x) for x in stack.blocks(c)]))
 
         return skip_nulls(v, loss)
 

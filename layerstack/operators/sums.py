@@ -9,13 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from layerstack.operators.tables import Source, result_bytes
 
 # Largest total of partial sums that is brought to the driver directly.
 COLLECT_BYTES = 256 << 20
-# Largest group of partial chunks that one reducing task adds up.
+# Largest group of partial chunks that one step of the tree adds up, and how many it has if it can.
 REDUCE_BYTES = 256 << 20
+FAN = 32
+# Tasks of one level of the tree.
+MOST_REDUCE_TASKS = 4096
 
 PARTIAL_SCHEMA = "chunk int, bucket int, part int, v binary"
 _PARTIAL_ARROW = pa.schema(
@@ -30,8 +34,16 @@ def partial_row(chunk: int, bucket: int, part: int, v: np.ndarray) -> pa.RecordB
     )
 
 
-def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up consecutive partials of the same (chunk, bucket); input is sorted."""
+Combine = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _added(chunk: int, total: np.ndarray, v: np.ndarray) -> np.ndarray:
+    total += v
+    return total
+
+
+def _combine_runs(batches: Iterator[pa.RecordBatch], combine: Combine) -> Iterator[pa.RecordBatch]:
+    """Combine consecutive partials of the same (chunk, bucket); input is sorted."""
     current: tuple[int, int] | None = None
     total = np.zeros(0)
     for batch in batches:
@@ -40,7 +52,7 @@ def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             v = np.frombuffer(batch.column(3)[i].as_buffer(), dtype="f8")
             if (chunks[i], buckets[i]) == current:
-                total += v
+                total = combine(chunks[i], total, v)
                 continue
             if current is not None:
                 yield partial_row(*current, 0, total)
@@ -49,27 +61,40 @@ def _add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield partial_row(*current, 0, total)
 
 
-def reduce_partials(rows: DataFrame, tasks: int) -> DataFrame:
-    """Add up partial vectors by (chunk, bucket), in the order of their parts."""
+def reduce_partials(rows: DataFrame, tasks: int, combine: Combine = _added) -> DataFrame:
+    """Combine partial vectors by (chunk, bucket), in the order of their parts."""
     return (
         rows.repartition(tasks, "chunk", "bucket")
         .sortWithinPartitions("chunk", "bucket", "part")
-        .mapInArrow(_add_runs, PARTIAL_SCHEMA)
+        .mapInArrow(lambda batches: _combine_runs(batches, combine), PARTIAL_SCHEMA)
     )
 
 
-def reduce_layout(
-    partials: int, size: int, collect_bytes: int, reduce_bytes: int
-) -> tuple[int, int]:
-    """(buckets, chunk length) of the shuffle that shrinks partial vectors.
+def tree_totals(
+    rows: DataFrame, parts: int, chunks: int, fan: int, combine: Combine = _added,
+    most_tasks: int = MOST_REDUCE_TASKS,
+) -> DataFrame:
+    """One total per chunk, of partials with parts from 0 to `parts` - 1.
 
-    What reaches the driver is `buckets` vectors, at most `collect_bytes` (or one vector); what
-    one reducing group adds up is at most about `reduce_bytes`, whatever the data size.
+    `combine(chunk, total, v)` takes a partial into a total; sums if left out. They are combined level by level, in groups of at most `fan` neighbouring parts, so no task reads more
+    than that many partials of a chunk, however many tasks made them; the sums are repeatable.
     """
-    buckets = max(1, min(partials, collect_bytes // (8 * size)))
-    per_group = math.ceil(partials / buckets)
-    chunk = max(1024, min(size, reduce_bytes // (8 * per_group)))
-    return buckets, min(chunk, size)
+    if fan < 2:
+        raise ValueError("groups hold two partials or more")
+    while True:
+        groups = -(-parts // fan)
+        rows = rows.withColumn("bucket", F.floor(F.col("part") / fan).cast("int"))
+        rows = reduce_partials(rows, max(1, min(groups * chunks, most_tasks)), combine)
+        if groups == 1:
+            return rows
+        rows = rows.withColumn("part", F.col("bucket"))
+        parts = groups
+
+
+def tree_layout(size: int, reduce_bytes: int) -> tuple[int, int]:
+    """(chunk length, fan) of a tree for vectors of a size; a group holds about `reduce_bytes`."""
+    length = min(size, max(1024, reduce_bytes // (8 * FAN)))
+    return length, max(2, reduce_bytes // (8 * length))
 
 
 def sum_blocks(
@@ -82,21 +107,18 @@ def sum_blocks(
 ) -> np.ndarray | None:
     """Sum of a vector of length `size` over all blocks; None without rows.
 
-    Each task calls `add(total, block, keys)` to add its blocks into one vector; there are at most `partials` tasks. When all
-    those vectors together are small they come straight to the driver; beyond that they are
-    cut into chunks and added up by a shuffle first. Partials are added in partition order, so
-    a sum is repeatable.
+    Each task calls `add(total, block, keys)` to add its blocks into one vector; there are at most
+    `partials` tasks. When all those vectors together are small they come straight to the driver; beyond
+    that they are cut into chunks, which a tree of shuffles adds up, and only the total comes. Partials
+    are added in partition order, so a sum is repeatable.
     """
     limit = result_bytes(source.df.sparkSession)
     if 8 * size > limit // 2:
         raise ValueError(
             f"one total takes {8 * size} bytes: set spark.driver.maxResultSize to twice as much"
         )
-    collect_bytes = min(collect_bytes, limit // 2)
-    direct = partials * size * 8 <= collect_bytes
-    buckets, length = 1, size
-    if not direct:
-        buckets, length = reduce_layout(partials, size, collect_bytes, reduce_bytes)
+    direct = partials * size * 8 <= min(collect_bytes, limit // 2)
+    length, fan = (size, 2) if direct else tree_layout(size, reduce_bytes)
     read = source.read
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +131,12 @@ def sum_blocks(
             return
         part = TaskContext.get().partitionId()
         for chunk, at in enumerate(range(0, size, length)):
-            yield partial_row(chunk, part % buckets, part, total[at : at + length])
+            yield partial_row(chunk, 0, part, total[at : at + length])
 
     rows = source.narrowed(partials).mapInArrow(run, PARTIAL_SCHEMA)
     if not direct:
-        rows = reduce_partials(rows, min(buckets * math.ceil(size / length), partials))
-    found = sorted(rows.collect(), key=lambda r: (r.chunk, r.bucket, r.part))
+        rows = tree_totals(rows, partials, math.ceil(size / length), fan)
+    found = sorted(rows.collect(), key=lambda r: (r.chunk, r.part))
     if not found:
         return None
     result = np.zeros(size)

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layerstack.operators.blocks import bounded, features_block, scale_block
+from layerstack.operators.blocks import bounded, features_block, filled, scale_block
+from layerstack.operators.sparse import SparseInput, sparse_inputs
 
 # A block fits a core's second-level cache, but holds enough rows for matrix products to pay.
 BLOCK_BYTES = 256 << 10
@@ -32,17 +33,24 @@ VECTOR_BLOCK_BYTES = 1 << 20
 CLOSURE_BYTES = 1 << 20
 # Weights live on the driver and in every Python worker, so their size is bounded (by default).
 MODEL_BYTES = 256 << 20
-# A pass has at most this many tasks (or four per core, if that is more).
+# A pass has a task for each split where that is at most this many (or four per core, if that is more),
+# or where all partial sums together are at most this part of the data.
 MIN_TASK_BOUND = 4096
+PARTIAL_SHARE = 16
 
 Ranges = tuple[np.ndarray, np.ndarray] | None
-Reader = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray | None]]]
+# A block is a matrix, or sparse rows where the source holds ML vectors.
+Reader = Callable[
+    [Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray | SparseInput, np.ndarray | None]]
+]
 
 
 def check_model_bytes(size: int, limit: int) -> None:
     """Refuse what the driver and every worker would have to hold."""
     if size > limit:
-        raise ValueError(f"weights take {size} bytes; modelBytes allows {limit}")
+        raise ValueError(
+            f"weights take {size} bytes; modelBytes allows {limit} (fit_blocked trains larger layers)"
+        )
 
 
 def result_bytes(spark: SparkSession) -> int:
@@ -68,10 +76,24 @@ class Shared:
 
 
 def task_bound(spark: SparkSession, requested: int = 0) -> int:
-    """Number of tasks (and partial results) of a pass: it follows the cluster, not the data."""
+    """Number of tasks (and partial results) that a pass may always have: it follows the cluster."""
     return requested or max(MIN_TASK_BOUND, 4 * spark.sparkContext.defaultParallelism)
 
 
+def pass_tasks(
+    spark: SparkSession, splits: int, cells: int, partial: int, requested: int = 0
+) -> int:
+    """Tasks of a pass over `cells` numbers in so many splits, with partial sums of `partial` numbers.
+
+    A task for each split, so that it can run where its data are and little is done again if it is lost,
+    unless that makes more than `task_bound` partial sums that come to more than a share of the data.
+    """
+    if requested:
+        return max(1, min(splits, requested))
+    affordable = cells // (PARTIAL_SHARE * max(1, partial))
+    return max(1, min(splits, max(task_bound(spark), affordable)))
+
+
 def feature_column(df: DataFrame, features: str | list[str]) -> Column:
     """Features as an array column: an array, an ML vector, or a list of numeric columns."""
     if isinstance(features, (list, tuple)):
@@ -161,11 +183,18 @@ class Source:
 
 def _read_vectors(
     batches: Iterator[pa.RecordBatch], width: int, ranges: Ranges, keyed: bool, outside: str
-) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+) -> Iterator[tuple[np.ndarray | SparseInput, np.ndarray | None]]:
     step = block_rows(width)
     for batch in batches:
         keys = batch.column(1).to_numpy(zero_copy_only=False) if keyed else None
         first = 0
+        if pa.types.is_struct(batch.schema.field(0).type):
+            for x in sparse_inputs(batch.column(0), width, ranges, step):
+                if outside != "keep":
+                    x = bounded(filled(x), outside)
+                yield x, None if keys is None else keys[first : first + len(x)]
+                first += len(x)
+            continue
         for lists in list_parts(batch.column(0)):
             x = features_block(lists, width)
             for at in range(0, len(x), step):
@@ -320,7 +349,7 @@ def _read_vector_blocks(
 
 
 def vector_block_source(blocks: DataFrame, width: int, ranges: Ranges) -> Source:
-    """Read a table of packed ML vectors, filled with zeros block by block in the tasks."""
+    """Read a table of packed ML vectors; sparse blocks stay sparse, others are filled with zeros."""
     read = partial(_read_vector_blocks, width=width, ranges=ranges)
     return Source(blocks.select("keys", "x"), width, read)
 

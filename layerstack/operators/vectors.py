@@ -22,8 +22,10 @@ def _lists(y: np.ndarray) -> pa.Array:
 
 
 def complete(column: pa.Array) -> np.ndarray:
-    """Which vectors are there and hold no null element."""
+    """Which vectors are there and hold no null element (ML vectors, which are structs, have none)."""
     flags = np.array(column.is_valid())
+    if pa.types.is_struct(column.type):
+        return flags
     values = column.flatten()
     if values.null_count:
         flags[pc.list_parent_indices(column).to_numpy()[np.array(values.is_null())]] = False

@@ -28,7 +28,7 @@ from layerstack.operators.tables import (
     MODEL_BYTES,
     Shared,
     Source,
-    feature_column,
+    stored_column,
     task_bound,
     vector_source,
 )
@@ -230,7 +230,7 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
         return layer
 
     def _column(self, df: DataFrame) -> Column:
-        return feature_column(df, self._features())
+        return stored_column(df, self._features())
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return self.encode(df, output=self._get("outputCol"))
@@ -315,6 +315,22 @@ class StackedAutoencoderModel(Model, _StackParams, MLWritable, MLReadable):
             self._get("sparsity"), self._get("beta"), self._get("lmbda"), eps, self._tasks(),
         )
 
+    def check_directions(
+        self, df: DataFrame, layer: int | None = None, eps: float = 1e-3, directions: int = 8,
+        seed: int = 0,
+    ) -> DataFrame:
+        """`(direction, analytic, numeric, difference)` along random directions of a layer's weights.
+
+        Its cost does not grow with the number of weights, as that of `check_gradients` does.
+        """
+        if eps <= 0 or directions < 1:
+            raise ValueError("eps is above 0, and there are one or more directions")
+        at = self._layer(layer)
+        return gradients.checked_directions(
+            self._source(df, True), self._stack, self._shared(), at, self._get("sparsity"),
+            self._get("beta"), self._get("lmbda"), eps, directions, seed, self._tasks(),
+        )
+
     def export_text(self, folder: str, name: str) -> str:
         """Write the encoder weights as text; returns the path."""
         return files.export_text(self._spark, self.weights, folder, name)

@@ -35,6 +35,7 @@ from layerstack.operators.tables import (
     map_blocks,
     pack,
     pack_vectors,
+    pass_tasks,
     task_bound,
     vector_block_source,
     vector_source,
@@ -196,7 +197,7 @@ def start_layer(n: int, k: int, layer: int, settings: Settings) -> tuple[Descent
 
 
 def train_layer(
-    source: Source, k: int, layer: int, settings: Settings, state: State | None = None,
+    source: Source, rows: int, k: int, layer: int, settings: Settings, state: State | None = None,
     save: Callable[[int, Descent, Descent, list[EpochReport]], None] | None = None,
 ) -> tuple[np.ndarray, np.ndarray, list[EpochReport]]:
     """Fixed number of epochs on one layer: (encoder, decoder, reports).
@@ -207,8 +208,11 @@ def train_layer(
     if state is not None:
         encoder = replace(encoder, theta=state.encoders[-1], total=state.encoder_total)
         decoder = replace(decoder, theta=state.decoders[-1], total=state.decoder_total)
-    bound = task_bound(source.df.sparkSession, settings.max_tasks)
-    partials = max(1, min(source.df.rdd.getNumPartitions(), bound))
+    size = Sums.size(source.width, k, settings.method == "sparse")
+    partials = pass_tasks(
+        source.df.sparkSession, source.df.rdd.getNumPartitions(), rows * source.width, size,
+        settings.max_tasks,
+    )
     reports = []
     for epoch in range(state.epochs if state is not None else 0, settings.epochs):
         spec = replace(settings.spec(layer), epoch=epoch)
@@ -313,7 +317,9 @@ def train(df: DataFrame, settings: Settings) -> tuple[Stack, list[EpochReport]]:
                 if progress is not None:
                     save = partial(_save, progress, stack, list(reports), layer)
                 here = state if state is not None and state.layer == layer else None
-                w, s, found = train_layer(source, k, layer, settings, here, save)
+                w, s, found = train_layer(
+                    source, profile.rows, k, layer, settings, here, save
+                )
                 reports += found
             stack.add(w, s, settings.spec(layer))
             if layer < len(settings.hidden):

@@ -6,10 +6,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from layerstack.functions.activations import CLAMP
+from layerstack.operators.blocks import sparsity
 from layerstack.operators.randoms import WEIGHT_SEED, Lcg48
 from layerstack.operators.rules import Rules
 
+__all__ = ["Descent", "averaged", "initial_decoder", "initial_encoder", "sparsity"]
+
 # Floor for the norm that divides the learning rate, under the standard semantics.
 NORM_FLOOR = 1e-12
 
@@ -18,8 +20,7 @@ def initial_encoder(n: int, k: int, rules: Rules, seed: int, layer: int) -> np.n
     """Gaussian weights of variance 1/n, bias row 0."""
     w = np.zeros((n + 1, k))
     if rules.same_init:
-        source = Lcg48(WEIGHT_SEED)
-        draws = np.array([source.normal() for _ in range((n + 1) * k)]) * np.sqrt(1.0 / n)
+        draws = Lcg48(WEIGHT_SEED).normals((n + 1) * k) * np.sqrt(1.0 / n)
         w[1:] = draws.reshape(k, n + 1).T[1:]
     else:
         w[1:] = np.random.default_rng([seed, layer]).normal(size=(n, k)) * np.sqrt(1.0 / n)
@@ -71,19 +72,3 @@ class Descent:
         if self.rules.guard and not np.isfinite(theta).all():
             raise ArithmeticError("weights are no longer finite: lower the learning rate or beta")
         self.theta = theta
-
-
-def sparsity(
-    active: np.ndarray, rows: float, target: float, beta: float, power: int, guard: bool = False
-):
-    """(sum of KL terms, gradient constant per unit) from summed activations.
-
-    With `guard` a dead or saturated unit's mean is kept off 0 and 1, as in `kl_term`.
-    """
-    p = active / rows
-    if guard:
-        p = np.clip(p, CLAMP, 1.0 - CLAMP)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kl = target * np.log(target / p) + (1 - target) * np.log((1 - target) / (1 - p))
-        pull = beta**power * ((1 - target) / (1 - p) - target / p)
-    return float(kl.sum()), pull

@@ -13,7 +13,7 @@ from layerstack import (
     scale_minmax,
     validate_features,
 )
-from layerstack.operators.blocks import LayerSpec, layer_sums
+from layerstack.operators.blocks import LayerSpec, filled, layer_sums
 from layerstack.operators.rules import Rules
 from layerstack.plans.update import Descent
 from layerstack.sources import write_libsvm
@@ -289,7 +289,7 @@ def test_stored_vectors_follow_their_values(spark):
     source = vector_block_source(blocks, 5000, None)
     batches = iter(source.df.toArrow().to_batches())
     found = [(x, k) for x, k in source.read(batches)]
-    whole = np.concatenate([x for x, _ in found])
+    whole = np.concatenate([filled(x) for x, _ in found])
     np.testing.assert_array_equal(whole, np.array([v.toArray() for _, v in rows]))
     assert sum(len(k) for _, k in found) == 301
     with pytest.raises(ValueError, match="1 of 302 feature vectors are null"):

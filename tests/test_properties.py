@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import math
 from dataclasses import replace
 from pathlib import Path
 
@@ -24,11 +25,12 @@ from layerstack import functions as fn
 from layerstack.operators import blocks
 from layerstack.operators.matrices import matrices_of
 from layerstack.operators.randoms import hash_mask, keep_threshold
-from layerstack.operators.sums import reduce_layout, sum_blocks
+from layerstack.operators.sums import PARTIAL_SCHEMA, sum_blocks, tree_layout, tree_totals
 from layerstack.operators.tables import (
     block_source,
     heaviest_task,
     pack,
+    pass_tasks,
     vector_source,
 )
 from layerstack.plans.training import BlockStore, Settings, train
@@ -82,13 +84,41 @@ def test_shuffled_sums_equal_collected_ones(embeddings):
     )
 
 
-def test_reduce_layout_bounds():
-    for partials, size in ((10, 100), (5000, 3_000), (32_000, 20_000_000), (4096, 7)):
-        buckets, length = reduce_layout(partials, size, 256 << 20, 256 << 20)
-        assert 1 <= buckets <= partials and 1 <= length <= size
-        assert buckets == 1 or buckets * size * 8 <= 256 << 20
-        if length > 1024:
-            assert (partials / buckets) * length * 8 <= 2 * (256 << 20)
+def test_tree_layout_bounds():
+    for size in (7, 100, 3_000, 20_000_000, 1 << 33):
+        length, fan = tree_layout(size, 256 << 20)
+        assert 1 <= length <= size and fan >= 2
+        assert fan * length * 8 <= 256 << 20 and (length == size or fan == 32)
+    assert tree_layout(100_000, 3000) == (1024, 2)
+
+
+@pytest.mark.parametrize("parts,fan", [(1, 2), (2, 2), (37, 3), (64, 4), (50, 100)])
+def test_tree_totals(spark, parts, fan):
+    """Every partial of every chunk counts once, and no group is larger than the fan."""
+    rng = np.random.default_rng(parts)
+    values = rng.normal(size=(3, parts, 5))
+    rows = [(c, 0, p, values[c, p].tobytes()) for c in range(3) for p in range(parts)]
+    df = spark.createDataFrame(rows, PARTIAL_SCHEMA).repartition(4)
+    totals = tree_totals(df, parts, 3, fan)
+    got = {r.chunk: np.frombuffer(r.v) for r in totals.collect()}
+    assert sorted(got) == [0, 1, 2]
+    for c in range(3):
+        np.testing.assert_allclose(got[c], values[c].sum(axis=0))
+    levels = 1 if parts <= fan else math.ceil(math.log(parts) / math.log(fan) - 1e-9)
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == levels
+    with pytest.raises(ValueError):
+        tree_totals(df, parts, 3, 1)
+
+
+def test_tasks_follow_splits(spark):
+    bound = max(4096, 4 * spark.sparkContext.defaultParallelism)
+    assert pass_tasks(spark, 100, 10, 1 << 30) == 100
+    assert pass_tasks(spark, 800_000, 1 << 30, 1 << 30) == bound
+    # 100 TB of doubles in splits of 128 MB: a task each, as long as partial sums are small beside them.
+    assert pass_tasks(spark, 800_000, 100 << 37, 100_000) == 800_000
+    assert bound < pass_tasks(spark, 800_000, 100 << 37, 10_000_000) < 800_000
+    assert pass_tasks(spark, 800_000, 100 << 37, 100_000, requested=50) == 50
+    assert pass_tasks(spark, 0, 0, 0) == 1
 
 
 def test_task_bound_limits_partials(spark, embeddings):
@@ -359,16 +389,16 @@ def test_pipeline(embeddings, tmp_path):
 
 
 @pytest.mark.parametrize("method", ["regular", "sparse"])
-def test_gradients_in_two_rounds_of_sums(embeddings, monkeypatch, method):
-    """Unit vectors too many for one reducing group are added up in two rounds."""
+def test_gradients_in_rounds_of_sums(embeddings, monkeypatch, method):
+    """Unit vectors too many for one reducing group are added up in a tree: eight by twos."""
     df = embeddings.repartition(8)
     model = fit(df, method=method, epochs=1)
     key = ["role", "i", "j"]
     once = model.gradients(df).orderBy(key).collect()
-    monkeypatch.setattr("layerstack.operators.gradients.REDUCE_BYTES", 1_000_000)
+    monkeypatch.setattr("layerstack.operators.gradients.REDUCE_BYTES", 1000)
     twice = model.gradients(df)
     one_round = plan_text(model.mean_activation(df)).count("Exchange")
-    assert plan_text(twice).count("Exchange") == one_round + 1
+    assert plan_text(twice).count("Exchange") == one_round + 2
     rows = twice.orderBy(key).collect()
     assert [r[:3] for r in rows] == [r[:3] for r in once]
     np.testing.assert_allclose([r.g for r in rows], [r.g for r in once], atol=1e-10)
