@@ -10,7 +10,9 @@ A surrogate is drawn by a hash of a secret key, the type and the entity's canoni
 digits only), so an entity has the same surrogate everywhere, however it is written. Draws are
 checked over the whole corpus: a surrogate that two entities of a type share, or that is itself an
 entity of the corpus, is kept by the first alone or by none, and the others are drawn again
-until all differ. The draws, not the texts, are joined; texts without entities are not shuffled.
+until all differ. After `SAME_FORMAT` draws a surrogate gets 1, 2, 4, ... drawn characters more (as does a
+mailbox without letters and digits, or a hundred of one letter), so there is always another one and draws
+come to an end. The draws, not the texts, are joined; texts without entities are not shuffled.
 
 Defined results: null and empty texts stay; rows are kept one to one, equal rows alike; texts without
 entities are unchanged to the byte; an input column named like an added one is replaced; an empty table
@@ -54,7 +56,15 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-#: Alphabets from which characters of each kind are drawn.
+#: Draws of an entity that keep its format to the character; later ones are longer.
+SAME_FORMAT = 4
+
+
+def _between(first: int, last: int, step: int = 1) -> str:
+    return "".join(map(chr, range(first, last + 1, step)))
+
+
+#: Alphabets from which characters of each kind are drawn: the first kind that a character is of.
 ALPHABETS = (
     (r"[0-9]", "0123456789"),
     (r"[\p{IsLatin}&&\p{Ll}]", "abcdefghijklmnopqrstuvwxyz"),
@@ -63,6 +73,19 @@ ALPHABETS = (
     (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
     (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"),
     (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    # Scripts without case, by ranges of code points: letters that are words' letters in each.
+    (r"[\p{IsHan}&&\p{L}]", _between(0x4E00, 0x9F00, 64)),
+    (r"[\p{IsHangul}&&\p{L}]", _between(0xAC00, 0xD7A3, 28)),
+    (r"[\p{IsHiragana}&&\p{L}]", _between(0x304B, 0x3062)),
+    (r"[\p{IsKatakana}&&\p{L}]", _between(0x30AB, 0x30C2)),
+    (r"[\p{IsArabic}&&\p{L}]", _between(0x0628, 0x063A)),
+    (r"[\p{IsHebrew}&&\p{L}]", _between(0x05D0, 0x05EA)),
+    (r"[\p{IsDevanagari}&&\p{L}]", _between(0x0915, 0x0939)),
+    (r"[\p{IsThai}&&\p{L}]", _between(0x0E01, 0x0E2E)),
+    # Letters and digits of other scripts.
+    (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+    (r"\p{N}", "0123456789"),
 )
 #: Syllables and endings of names by script: male, female and family names.
 SYLLABLES = {
@@ -94,13 +117,13 @@ def _letters(text: Column) -> Column:
 
 
 def _drawn(c: Column, h: Column, i: Column) -> Column:
-    """A character of the same kind; others stay, and letters of other scripts become Latin ones."""
+    """A character of the same kind; those that are no letter or digit stay."""
     out = None
     for kind, alphabet in ALPHABETS:
         draw = F.substring(F.lit(alphabet), _number(h, i, len(alphabet)) + 1, F.lit(1))
         test = c.rlike(kind)
         out = F.when(test, draw) if out is None else out.when(test, draw)
-    return out.when(c.rlike(r"\p{Lo}"), F.lit("x")).otherwise(c)
+    return out.otherwise(c)
 
 
 def _charwise(text: Column, h: Column, keep: int = 0) -> Column:
@@ -126,10 +149,22 @@ def _card(digits: Column, h: Column) -> Column:
     return F.when(_luhn(digits) == 0, F.concat(body, check)).otherwise(new)
 
 
-def _domain(domain: Column, h: Column) -> Column:
+def _domain(domain: Column, h: Column, more: Column) -> Column:
     top = F.substring_index(domain, ".", -1)
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(_charwise(labels, h), top)
+    return F.concat(more, _charwise(labels, h), top)
+
+
+def _more(h: Column, attempt: int, alphabet: str) -> Column:
+    """Drawn characters that make a surrogate longer: none at first, then twice as many each time."""
+    later = attempt - SAME_FORMAT
+    if later < 0:
+        return F.lit("")
+    places = F.sequence(F.lit(1), F.lit(min(1 << later, 64)))
+    draw = lambda i: F.substring(
+        F.lit(alphabet), _number(h, i + 1_000_000, len(alphabet)) + 1, F.lit(1)
+    )
+    return F.array_join(F.transform(places, draw), "")
 
 
 def _hex(digits: Column, h: Column) -> Column:
@@ -160,33 +195,40 @@ def _name(word: Column, kind: Column, h: Column, attempt: Column) -> Column:
     return out.otherwise(_charwise(word, h))
 
 
-def surrogate(kind: Column, canonical: Column, key: str, attempt: Column) -> Column:
+def surrogate(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
     """The canonical form of the surrogate that is drawn for an entity at this attempt."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")), 256)
+    h = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt))), 256)
     octets = F.transform(
         F.split(canonical, r"\."), lambda _, i: (_number(h, i, 254) + 1).cast("string")
     )
+    letters, digits, hexes = (
+        _more(h, attempt, a) for a in ("abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef")
+    )
     phone = F.concat(
         F.substring_index(canonical, ":", 1), F.lit(":"),
-        _charwise(F.substring_index(canonical, ":", -1), h),
+        _charwise(F.substring_index(canonical, ":", -1), h), digits,
     )
     return (
-        F.when(kind == "local", _charwise(canonical, h))
-        .when(kind == "domain", _domain(canonical, h))
+        F.when(kind == "local", F.concat(_charwise(canonical, h), letters))
+        .when(kind == "domain", _domain(canonical, h, letters))
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "phone", phone)
-        .when(kind == "card", _card(canonical, h))
-        .when(kind == "secret", _hex(canonical, h))
-        .when((kind == "assigned") & canonical.rlike("^[0-9a-f]+$"), _hex(canonical, h))
-        .when(kind == "key", _charwise(canonical, h, 4))
-        .when(kind == "iban", _charwise(canonical, h, 2))
-        .when(kind.startswith("name_"), _name(canonical, kind, h, attempt))
-        .otherwise(_charwise(canonical, h))
+        .when(kind == "card", F.concat(_card(canonical, h), digits))
+        .when(kind == "secret", F.concat(_hex(canonical, h), hexes))
+        .when((kind == "assigned") & canonical.rlike("^[0-9a-f]+$"), F.concat(_hex(canonical, h), hexes))
+        .when(kind == "key", F.concat(_charwise(canonical, h, 4), digits))
+        .when(kind == "iban", F.concat(_charwise(canonical, h, 2), digits))
+        .when(kind == "ssn", F.concat(_charwise(canonical, h), digits))
+        .when(kind.startswith("name_"), F.concat(_name(canonical, kind, h, F.lit(attempt)), letters))
+        .otherwise(F.concat(_charwise(canonical, h), letters))
     )
 
 
 def _filled(raw: Column, new: Column) -> Column:
-    """raw with its letters and digits replaced by those of new, in order and by raw's case."""
+    """raw with its letters and digits replaced by those of new, in order and by raw's case.
+
+    What new has more follows at the end.
+    """
     solid = F.regexp_replace(new, r"[^\p{L}\p{N}]", "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
@@ -199,7 +241,8 @@ def _filled(raw: Column, new: Column) -> Column:
             (state["at"] + is_solid.cast("int")).alias("at"),
         )
 
-    return F.aggregate(_letters(raw), start, put, lambda s: s["out"])
+    rest = lambda s: F.concat(s["out"], F.substring(solid, s["at"], F.length(solid)))
+    return F.aggregate(_letters(raw), start, put, rest)
 
 
 def _written(kind: Column, raw: Column, new: Column) -> Column:
@@ -208,9 +251,11 @@ def _written(kind: Column, raw: Column, new: Column) -> Column:
     rest = F.substring(raw, F.length(country) + 1, F.length(raw))
     phone = F.concat(country, _filled(rest, F.substring_index(new, ":", -1)))
     name = F.when(raw.rlike(r"^\p{Lu}{2,}$"), F.upper(new)).otherwise(F.initcap(new))
+    # A longer domain is longer in front.
+    longer = (kind == "domain") & (F.length(new) > F.length(raw))
     return (
         F.when(kind == "phone", phone)
-        .when(kind == "ip", new)
+        .when((kind == "ip") | longer, new)
         .when(kind.startswith("name_"), name)
         .otherwise(_filled(raw, new))
     )
@@ -275,7 +320,7 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
     while True:
         own = F.concat_ws("|", F.lit(key), F.col("owner"))
         tried = open_.withColumn("own_key", own)
-        tried = tried.withColumn("surrogate", _with_owner(key, F.lit(attempt)))
+        tried = tried.withColumn("surrogate", _with_owner(key, attempt))
         tried = tried.drop("own_key").join(
             taken.withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left"
         )
@@ -299,13 +344,14 @@ def draw(entities: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
-def _with_owner(key: str, attempt: Column) -> Column:
+def _with_owner(key: str, attempt: int) -> Column:
     """The draw for an entity; its owner takes part where there is one."""
     kind, canonical = F.col("kind"), F.col("canonical")
-    plain = surrogate(kind, canonical, key, attempt)
+    h = F.sha2(F.concat_ws("|", "own_key", F.lit(attempt)), 256)
+    more = _more(h, attempt, "abcdefghijklmnopqrstuvwxyz")
     return F.when(
-        kind == "local", _charwise(canonical, F.sha2(F.concat_ws("|", "own_key", attempt), 256))
-    ).otherwise(plain)
+        kind == "local", F.concat(_charwise(canonical, h), more)
+    ).otherwise(surrogate(kind, canonical, key, attempt))
 
 
 def replace(df: DataFrame, key: str, text: str = "text", count: str = "n_entities") -> DataFrame:

@@ -114,6 +114,23 @@ def test_distinctness_needs_redraws(spark):
     assert sum(other[r.canonical] == r.surrogate for r in got) < 20
 
 
+def test_always_another_surrogate(spark):
+    """Entities without letters, more of them than their format has, and scripts without case."""
+    texts = ["_@example.com", "-_.@example.com", "+1 23 45", "你好@例子.com", "שלום@דוגמה.org", "ա@բ.am", "٣٤@x.org"]
+    texts += [f"{c}@host{i}.org" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789" * 3)]
+    texts += [f"box@{c}.net" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = {r.doc_id: r.text for r in pii.replace(df, "k").collect()}
+    mails = [(a, rows[i]) for i, a in enumerate(texts) if "@" in a]
+    assert all(a != b for a, b in mails) and len({b for _, b in mails}) == len(texts) - 1
+    assert re.fullmatch(r"_[a-z]+@[a-z]+\.com", rows[0]) and re.fullmatch(r"-_\.[a-z]+@[a-z]+\.com", rows[1])
+    assert re.fullmatch(r"[\u4e00-\u9fff]{2}@[\u4e00-\u9fff]{2}\.com", rows[3])
+    assert re.fullmatch(r"[\u05d0-\u05ea]{4}@[\u05d0-\u05ea]{5}\.org", rows[4])
+    locals_ = [b.split("@")[0] for _, b in mails[:-36]]
+    assert len(set(locals_)) == len(locals_)
+    assert len({b.split("@")[1] for _, b in mails[-36:]}) == 36 and all(b.endswith(".net") for _, b in mails[-36:])
+
+
 def test_empty(spark):
     assert pii.replace(spark.createDataFrame([], "a int, text string"), "k").count() == 0
     plain = spark.createDataFrame([("no entity",)], "text string")
