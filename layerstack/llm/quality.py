@@ -6,8 +6,8 @@ tanh layer embeds it; gated attention, softmax(w . (tanh(V h) * sigmoid(U h))),
 passages; the logistic score is that of the weighted representation. Only documents have labels;
 which passages matter is learnt.
 
-The model is fitted on the driver to a bounded sample of labelled documents (`SAMPLE`, a parameter;
-those with the smallest hash of their id), and scores whole texts of all documents in tasks. It
+The model is fitted on the driver to a bounded sample of labelled documents (`SAMPLE` documents and
+`SAMPLE_BYTES` of features, parameters; those with the smallest hash of their id), and scores whole texts of all documents in tasks. It
 never sees id, language or source.
 
 Defined results: a null, empty or blank text is one passage without words, and is scored; rows are
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     BinaryType,
@@ -32,10 +32,12 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from layerstack.llm.common import index_of, with_arrow, without
+from layerstack.llm.common import index_of, stored, with_arrow, without
 
 #: Most labelled documents that a model is fitted to.
 SAMPLE = 6000
+#: Bytes of these documents' passages (as features) that are fitted to, at most.
+SAMPLE_BYTES = 128 << 20
 #: Bytes of a passage at most.
 PASSAGE = 400
 #: Bytes handled at once; longer texts are encoded in slices.
@@ -231,8 +233,8 @@ def fit_bags(
 
 
 def fold(doc_id, folds: int):
-    """Which fold an id is in: crc32 of its text, modulo."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """Which fold an id is in: crc32 of its text, modulo; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def fit(
@@ -242,11 +244,13 @@ def fit(
     doc_id: str = "doc_id",
     label: str = "quality",
     sample: int = SAMPLE,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> AttentionModel:
-    """Fit to at most `sample` labelled documents, chosen by a hash of their id.
+    """Fit to at most `sample` labelled documents and `sample_bytes` of features, by a hash of their id.
 
     The ids are chosen from the labels alone, so the join broadcasts `sample` rows at most and the
-    documents are not shuffled. Passages of those documents' features go to the driver.
+    documents are not shuffled. Features of those documents' passages go to the driver, in order of the hash as
+    long as they fit.
     """
     chosen = (
         labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").alias("_label"))
@@ -263,7 +267,11 @@ def fit(
         return [pa.array([encode_text(t).tobytes() for t in texts], pa.binary())]
 
     added = StructType([StructField("bag", BinaryType())])
-    rows = with_arrow(found, added, make).select("_id", "_label", "bag").collect()
+    rows = stored(with_arrow(found, added, make).select("_id", "_label", "bag"), "quality-bags")
+    # As many rows as the sample has, so one task can order them.
+    in_order = Window.orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("bag"))
+    size = F.sum(F.octet_length("bag").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("size", size).where(F.col("size") <= sample_bytes).collect()
     rows.sort(key=lambda r: (r["_id"], r["_label"], bytes(r["bag"])))
     bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, N_FEATURES) for r in rows]
     return fit_bags(bags, np.array([float(r["_label"] > 0) for r in rows]))

@@ -82,6 +82,29 @@ def test_operators(spark):
     assert q.score(docs.limit(0), model).count() == 0
 
 
+def test_fold_of_null_ids(spark):
+    """A null id counts as the empty text, so it is in a fold."""
+    df = spark.createDataFrame([(None,), (7,), (1234,)], "doc_id long")
+    got = [r[0] for r in df.select(q.fold(df.doc_id, 5)).collect()]
+    assert got == [0, zlib.crc32(b"7") % 5, zlib.crc32(b"1234") % 5]
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(q, "fit_bags", lambda bags, labels: fitted.append(bags))
+    docs = spark.createDataFrame([(i, GOOD * (1 + i % 3)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    q.fit(docs, labels)
+    sizes = [b.nbytes for b in fitted[0]]
+    assert len(sizes) == 40
+    for limit in (0, sum(sizes) // 2, sum(sizes)):
+        q.fit(docs, labels, sample_bytes=limit)
+        held = sum(b.nbytes for b in fitted[-1])
+        assert held <= limit and held > limit - 2 * max(sizes)
+    q.fit(docs, labels, sample=5)
+    assert len(fitted[-1]) == 5
+
+
 def test_one_class_and_no_labels(spark):
     docs = spark.createDataFrame([(1, GOOD)], "doc_id long, text string")
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
