@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from layerstack.llm.common import WordHashes, gram_hashes, stored
 from layerstack.llm.links import components
-from layerstack.llm.packs import Pack, ask, join_answers, pack, split_words
+from layerstack.llm.packs import Answers, Pack, ask, join_answers, pack, split_words
 
 SHINGLE = 5
 #: Sets, and shingles in them, that a block has on average at most.
@@ -116,12 +116,11 @@ def ordered_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     answers = ask(packs, entries, _commonness, COUNT_BYTES)
 
-    def make(ids, texts, level: np.ndarray) -> pa.RecordBatch:
+    def make(ids, texts, answers: Answers) -> pa.RecordBatch:
         sets = document_sets(split_words(ids, texts, memory, True)[0])
         keys = [set_key(s) for s in sets]
         distinct, _ = _entries(sets, keys)
-        if len(distinct) != len(level):
-            raise RuntimeError("a pack changed between two computations")
+        level = answers.to(distinct)
         prefixes, wholes, given = [], [], set()
         for s, key in zip(sets, keys):
             own = level[np.searchsorted(distinct, s)] if len(s) else np.empty(0, np.uint8)

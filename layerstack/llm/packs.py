@@ -3,11 +3,11 @@
 Documents are packed into rows of a few megabytes. Each pack sends its distinct hashes, with a small
 payload, to buckets of the hash range as one binary value a bucket; a bucket sorts what all packs sent,
 and answers every hash with one byte, in the order in which the pack sent it. Pack and answers meet
-again by a cogroup. A hash that occurs in a third of all documents is one entry a pack, and each
-group has a bounded size: a pack is bounded, and a bucket is handled by itself.
+again by a cogroup. A hash that occurs in a third of all documents is one entry a pack. A pack is bounded, and
+there are as many buckets as keep one to about `BUCKET_BYTES` by the input's size, up to `MOST_BUCKETS`.
 
-The packs are computed twice, from the same scan. Each answer carries the number of hashes it is for,
-and a pack that does not come out as before is an error.
+The packs are computed twice, from the same scan. Each answer carries the number of hashes it is for and
+a digest of them, and a pack that does not come out as before is an error.
 """
 
 from __future__ import annotations
@@ -21,9 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstack.llm.common import WordHashes
+from layerstack.llm.common import WordHashes, mix64
 
 PACK_BYTES, PACK_DOCS = 2_000_000, 20_000
+#: A bucket's entries, if the input's size is known; and the finest cut of the hash range.
+BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 1 << 16
+#: Bytes of entries for each byte of the input as it is stored (compressed).
+ENTRY_SHARE = 4
 
 PACKED = "pack long, ids array<long>, texts array<string>"
 
@@ -99,13 +103,26 @@ def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in columns)
 
 
+def digest_of(hashes: np.ndarray) -> int:
+    """A number that tells sets of hashes apart; that of a union is the sum, modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return int(mix64(hashes).sum(dtype=np.uint64).view(np.int64))
+
+
+def bucket_count(size: int, parts: int) -> int:
+    """A power of two: at least two buckets for each partition, more where the input is large."""
+    known = size if 0 < size < 1 << 60 else 0  # Spark gives a huge number where it does not know
+    wanted = max(2 * parts, min(ENTRY_SHARE * known // BUCKET_BYTES, MOST_BUCKETS))
+    return 1 << max(1, (wanted - 1).bit_length())
+
+
 def ask(
     packs: DataFrame,
     entries: Callable[[list, list], tuple[np.ndarray, np.ndarray]],
     answer: Callable[[np.ndarray, np.ndarray], np.ndarray],
     width: int = 8,
 ) -> DataFrame:
-    """Answers to each pack's entries: pack, bucket, n, answers.
+    """Answers to each pack's entries: pack, bucket, n, digest, answers.
 
     entries(ids, texts) gives a pack's distinct hashes, ascending, and their payload (int64).
     answer(hashes, payload) gets all entries of a bucket and gives a byte for each. Hashes are sent
@@ -113,7 +130,9 @@ def ask(
     may be one to the answers, which callers must allow for.
     """
     parts = max(1, int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    buckets = 1 << max(1, (2 * parts - 1).bit_length())
+    plan = packs._jdf.queryExecution().optimizedPlan()
+    size = max(int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(plan))
+    buckets = bucket_count(size, parts)
     bits = buckets.bit_length() - 1
     shift = np.uint64(64 - bits)
 
@@ -126,7 +145,7 @@ def ask(
                     lower = hashes
                 lower = np.ascontiguousarray(lower.view(np.uint8).reshape(-1, 8)[:, :width])
                 cuts = np.searchsorted(hashes >> shift, np.arange(buckets + 1, dtype=np.uint64))
-                out = [[], [], [], []]
+                out = [[], [], [], [], []]
                 for b, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
                     if i < j:
                         own = payload[i:j]
@@ -136,13 +155,14 @@ def ask(
                         out[1].append(lower[i:j].tobytes())
                         out[2].append(low)
                         out[3].append(narrow.tobytes())
+                        out[4].append(digest_of(hashes[i:j]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([number] * len(out[0]), pa.int64()), pa.array(out[0], pa.int32()),
                         pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()),
-                        pa.array(out[3], pa.binary()),
+                        pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64()),
                     ],
-                    names=["pack", "bucket", "hashes", "low", "payload"],
+                    names=["pack", "bucket", "hashes", "low", "payload", "digest"],
                 )
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +188,10 @@ def ask(
                     pa.array([r[0] for r in held], pa.int64()),
                     pa.array([r[1] for r in held], pa.int32()),
                     pa.array(sizes, pa.int64()),
+                    pa.array([r[5] for r in held], pa.int64()),
                     pa.array([values[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
                 ],
-                names=["pack", "bucket", "n", "answers"],
+                names=["pack", "bucket", "n", "digest", "answers"],
             )
             held.clear()
             return out
@@ -184,26 +205,47 @@ def ask(
             yield settle()
 
     sent = packs.mapInArrow(
-        send, "pack long, bucket int, hashes binary, low long, payload binary"
+        send, "pack long, bucket int, hashes binary, low long, payload binary, digest long"
     )
     sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "pack")
-    return sent.mapInArrow(reply, "pack long, bucket int, n long, answers binary")
+    return sent.mapInArrow(reply, "pack long, bucket int, n long, digest long, answers binary")
+
+
+def _leaves(plan) -> list:
+    found = plan.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+@dataclass
+class Answers:
+    """A byte for each of a pack's hashes, ascending, and what the hashes were when they were sent."""
+
+    values: np.ndarray
+    digest: int
+
+    def to(self, hashes: np.ndarray) -> np.ndarray:
+        """The answers to a pack's hashes as they are now: they must be those that were sent."""
+        if len(hashes) != len(self.values) or digest_of(hashes) != self.digest:
+            raise RuntimeError("a pack changed between two computations")
+        return self.values
 
 
 def join_answers(
     packs: DataFrame,
     answers: DataFrame,
     schema: str,
-    make: Callable[[list, list, np.ndarray], pa.RecordBatch],
+    make: Callable[[list, list, Answers], pa.RecordBatch],
 ) -> DataFrame:
     """Rows that make(ids, texts, answers) gives for each pack; answers are in order of hashes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (_, ids, texts) = next(_rows(left.select(["pack", "ids", "texts"])))
-        rows = sorted(_rows(right.select(["bucket", "n", "answers"])))
-        if sum(n for _, n, _ in rows) != sum(len(a) for _, _, a in rows):
+        rows = sorted(_rows(right.select(["bucket", "n", "digest", "answers"])))
+        if sum(r[1] for r in rows) != sum(len(r[3]) for r in rows):
             raise RuntimeError("answers of a pack are not complete")
-        values = np.frombuffer(b"".join(a for _, _, a in rows), np.uint8)
-        return pa.Table.from_batches([make(ids, texts, values)])
+        values = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        digest = sum(r[2] for r in rows) % (1 << 64)
+        found = Answers(values, digest - (1 << 64) if digest >> 63 else digest)
+        return pa.Table.from_batches([make(ids, texts, found)])
 
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from layerstack.llm.common import WordHashes, gram_hashes
-from layerstack.llm.packs import Pack, ask, join_answers, pack, split_words
+from layerstack.llm.packs import Answers, Pack, ask, join_answers, pack, split_words
 
 WINDOW = 13
 NULL_ID = -(1 << 63)
@@ -99,11 +99,10 @@ def duplicate_spans(
 
     answers = ask(packs, entries, _earlier)
 
-    def make(ids, texts, found: np.ndarray) -> pa.RecordBatch:
+    def make(ids, texts, answers: Answers) -> pa.RecordBatch:
         p, words = split_words(ids, texts, memory, False)
         distinct, first, place, own, starts = _entries(p, window)
-        if len(found) != len(distinct):
-            raise RuntimeError("a pack changed between two computations")
+        found = answers.to(distinct)
         known = np.zeros(len(p.words) + 1, bool)
         known[starts] = (found[place] > 0) | (own > first[place]) if len(starts) else False
         columns: list[list] = [[], [], [], [], [], []]
