@@ -23,6 +23,7 @@ from layerstack.llm import (
     pii,
     quality,
     spelling_variants,
+    sql,
     substring_dedup,
 )
 
@@ -168,7 +169,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-@register("op11_conversation_repair")
+@register("op11_conversation_repair", sql.conversation_repair())
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repairs of all conversations after damage, also of those that lost all rows."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -186,7 +187,7 @@ def op12_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("op13_spelling_variants")
+@register("op13_spelling_variants", sql.spelling_variants())
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Common forms of all words of at least 5 letters and 3 occurrences, some of which lost a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
