@@ -3,7 +3,8 @@
 Vectors are projected to a few dimensions at random, once for each curve, shifted, and ordered along a
 Hilbert curve. The orderings are cut into blocks of key ranges (quantiles, found by Spark). A query is
 looked up in a window of neighbouring blocks around its own key on each curve, the windows' results
-are merged, and the nearest are ranked by exact distances on the original vectors.
+are merged, and the nearest are ranked by exact distances on the original vectors. A vector is sent to one
+block of each curve, once; a block's queries stream past it, however many they are.
 
 How wide a window must be depends on the vectors: where they lie in clusters, a narrow one does; where they
 are spread evenly over many dimensions (the neighbours hardly nearer than the rest), it must hold a
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from layerstack.llm.common import stored
 
 CURVES, PROJECTED, BITS, SHARE, SEED = 4, 4, 10, 0.4, 97
-#: Rows of a block, blocks at most, and queries that meet a block in one group.
-BLOCK_ROWS, MOST_BLOCKS, QUERY_ROWS = 2048, 4096, 4096
+#: Rows of a block, blocks at most, and distances that are held at once.
+BLOCK_ROWS, MOST_BLOCKS, CELLS = 2048, 16384, 1 << 20
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -184,45 +185,16 @@ def nearest(
             F.greatest(F.col("middle") - half, F.lit(0)), F.least(F.col("middle") + half, F.lit(blocks - 1))
         )),
     )
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = asked.select(
-        "curve", "block", F.expr(f"CAST(pmod(xxhash64(id), {groups}) AS INT)").alias("part"), "id", "v"
+    none = F.lit(None)
+    asked = asked.select("curve", "block", "id", "v", none.cast("array<long>").alias("ids"))
+    data = data.select(
+        "curve", block_of("curve", "key").alias("block"), none.cast("long").alias("id"), "v", "ids"
     )
-    data = data.select("curve", block_of("curve", "key").alias("block"), "v", "ids").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    both = data.unionByName(asked).repartition("curve", "block").sortWithinPartitions(
+        "curve", "block", F.col("id").asc_nulls_first()
     )
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k + 1 nearest vectors of a block, for each of its queries."""
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            block = _matrix(left["v"].combine_chunks(), width)
-            ids = left["ids"].to_pylist()
-            square = (block * block).sum(1)
-            first = np.array([x[0] for x in ids])
-            many = _matrix(right["v"].combine_chunks(), width)
-            take = min(k + 1, len(block))
-            for query, q in zip(right["id"].to_pylist(), many):
-                rough = square - 2 * (block @ q)
-                bound = np.partition(rough, take - 1)[take - 1]
-                near = np.flatnonzero(rough <= bound + 1e-9 * (abs(bound) + q @ q))
-                exact = np.sqrt(((block[near] - q) ** 2).sum(1))
-                best = np.lexsort((first[near], exact))[:take]
-                for i in best.tolist():
-                    out[0].append(query)
-                    out[1].append(ids[near[i]])
-                    out[2].append(float(exact[i]))
-        return pa.table(
-            {
-                "query_id": pa.array(out[0], pa.int64()),
-                "ids": pa.array(out[1], pa.list_(pa.int64())),
-                "score": pa.array(out[2], pa.float64()),
-            }
-        )
-
-    keys = ["curve", "block", "part"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(
-        search, "query_id long, ids array<long>, score double"
+    found = both.mapInArrow(
+        functools.partial(search, width=width, k=k), "query_id long, ids array<long>, score double"
     )
     found = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where(
         "vec_id <> query_id"
@@ -233,6 +205,67 @@ def nearest(
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+class Block:
+    """The vectors of a block, and which are nearest to a query."""
+
+    def __init__(self, parts: list[np.ndarray], ids: list[list[int]]):
+        self.vectors, self.ids = np.concatenate(parts), ids
+        self.square = (self.vectors * self.vectors).sum(1)
+        self.first = np.array([x[0] for x in ids])
+
+    def nearest(self, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+        """Query, place and distance of the k nearest vectors of each query; ties to the smaller id."""
+        take = min(k, len(self.square))
+        step = max(1, CELLS // len(self.square))
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            rough = self.square - 2 * (some @ self.vectors.T)
+            bounds = np.partition(rough, take - 1, axis=1)[:, take - 1]
+            bounds += 1e-9 * (np.abs(bounds) + (some * some).sum(1))
+            for i, (row, bound) in enumerate(zip(rough, bounds)):
+                near = np.flatnonzero(row <= bound)
+                exact = np.sqrt(((self.vectors[near] - some[i]) ** 2).sum(1))
+                for x in np.lexsort((self.first[near], exact))[:take].tolist():
+                    yield at + i, int(near[x]), float(exact[x])
+
+
+def search(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The k + 1 nearest vectors of a block for each of its queries: query_id, ids and score.
+
+    Rows come sorted by curve and block, a block's vectors (without id) before its queries, which
+    stream by, however many they are.
+    """
+    key, parts, ids, block = None, [], [], None
+    for batch in batches:
+        curve, number = (batch.column(c).to_numpy() for c in (0, 1))
+        query = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = (np.diff(curve) != 0) | (np.diff(number) != 0) | (query[1:] != query[:-1])
+        cuts = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        matrix = _matrix(batch.column(3), width)
+        for i, j in zip(cuts, cuts[1:]):
+            if (curve[i], number[i]) != key:
+                key, parts, ids, block = (curve[i], number[i]), [], [], None
+            if not query[i]:
+                parts.append(matrix[i:j])
+                ids += batch.column(4).slice(i, j - i).to_pylist()
+                continue
+            if not parts:
+                continue
+            if block is None:
+                block = Block(parts, ids)
+            asked = batch.column(2).slice(i, j - i).to_numpy()
+            found = list(block.nearest(matrix[i:j], k + 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(asked[[f[0] for f in found]], pa.int64()),
+                    pa.array([block.ids[f[1]] for f in found], pa.list_(pa.int64())),
+                    pa.array([f[2] for f in found], pa.float64()),
+                ],
+                names=["query_id", "ids", "score"],
+            )
+
+
 def brute_force(vectors: dict[int, list[float]], query: int, k: int = 10) -> list[tuple[int, float]]:
     """The exact answer for one query, for tests and for measuring recall on samples."""
     ids = np.array([i for i in vectors if i != query])

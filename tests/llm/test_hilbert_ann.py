@@ -28,7 +28,7 @@ def compare(spark, rows, k=10, **options):
 
 def test_whole_windows_are_exact(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(ann, "QUERY_ROWS", 5)
+    monkeypatch.setattr(ann, "CELLS", 40)
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(120)]
     rows += [(i, rows[7][1]) for i in range(120, 160)]  # many equal vectors
@@ -43,6 +43,23 @@ def test_whole_windows_are_exact(spark, monkeypatch):
         assert [s for *_, s in found] == pytest.approx([s for _, s in want], rel=1e-14)
 
 
+def test_queries_stream_past_blocks(spark):
+    """Every row a query, in batches much smaller than a block's queries."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {}
+        for r in ann.nearest(df, lambda i: i >= 0, 3, share=1.0).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 400
+    for q, found in got.items():
+        assert [v for _, v in sorted(found)] == [v for v, _ in ann.brute_force(dict(rows), q, 3)]
+
+
 def test_few_rows(spark):
     assert compare(spark, [(0, [1.0, 2.0])]) == {}
     got = compare(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 4.0])])
