@@ -7,8 +7,10 @@
 2. Candidates. Equal sets are one class. Classes that share a prefix shingle and are of like length
    are chained (through the smallest class of each shingle and length band, so a shingle of a third of
    all sets makes no more links than sets), and chains are followed to candidate components.
-3. Join. Each component's sets go to a task together, large components in blocks by a hash, each pair
-   of blocks in a task. There the sets form a trie: sorted by their ordered shingles, with the depths
+3. Join. Where a component is too large for one task, each set is first compared with one other, the one
+   that shares most of its prefix; mostly this links the whole component, as copies of one text are, and it is
+   done. Each other component's sets go to a task together, large ones in blocks by a hash, each
+   pair of blocks in a task. There the sets form a trie: sorted by their ordered shingles, with the depths
    at which neighbours branch. A probe goes down the branches that hold a set sharing a
    prefix shingle, keeps the overlap of the path shared with the branch before, and leaves
    a subtree as soon as the shingles that remain cannot make up the overlap needed. Sets already linked,
@@ -214,15 +216,21 @@ class Trie:
             mark[own] = False
 
 
-def spanning_links(sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+def spanning_links(
+    sets: list[np.ndarray], sides: list[int], linked: list[int] | None = None
+) -> list[tuple[int, int]]:
     """Links that span the components of similar sets, as places in the list.
 
-    With two sides, only sets of different sides are compared.
+    With two sides, only sets of different sides are compared. Sets of equal `linked` are linked already.
     """
+    if linked is not None and len(set(linked)) == 1:
+        return []
     trie = Trie(sets)
     side = np.array([sides[i] for i in trie.order])
     two = len(set(sides)) > 1
     root = np.arange(len(sets))
+    if linked is not None:
+        root = np.unique([linked[i] for i in trie.order], return_inverse=True)[1]
     out = []
     for x in range(len(sets)):
         low, high = trie.sizes[x] * 4, trie.sizes[x] * 5
@@ -241,11 +249,16 @@ def spanning_links(sets: list[np.ndarray], sides: list[int]) -> list[tuple[int,
     return out
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """Chains (a, b) of classes that share a prefix shingle and whose lengths may be similar."""
+def _postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, band, shingle) for the prefix shingles of all classes, and the least class of each."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
     postings = classes.select("cls", band.alias("band"), F.explode("prefix").alias("shingle"))
-    least = postings.groupBy("shingle", "band").agg(F.min("cls").alias("least"))
+    return postings, postings.groupBy("shingle", "band").agg(F.min("cls").alias("least"))
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """Chains (a, b) of classes that share a prefix shingle and whose lengths may be similar."""
+    postings, least = _postings(classes)
     within = postings.join(least, ["shingle", "band"]).where("cls <> least")
     above = least.select("shingle", (F.col("band") - 1).alias("band"), F.col("least").alias("next"))
     across = least.join(above, ["shingle", "band"])
@@ -254,34 +267,75 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     )
 
 
+def first_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) of similar classes, one pair tried for each class.
+
+    A class is tried against the least class with which it shares most of its prefix shingles. Copies of one text
+    are mostly linked by this alone, with as many comparisons as there are copies.
+    """
+    postings, least = _postings(classes)
+    shared = postings.join(least, ["shingle", "band"]).where("cls <> least")
+    shared = shared.groupBy(F.col("cls").alias("a"), F.col("least").alias("b")).count()
+    best = shared.groupBy("a").agg(F.max(F.struct("count", (-F.col("b")).alias("least"))).alias("best"))
+    pairs = best.select("a", (-F.col("best.least")).alias("b"))
+    for side in "ab":
+        own = classes.select(F.col("cls").alias(side), F.col("shingles").alias(f"of_{side}"))
+        pairs = pairs.join(own, side)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, two = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                overlap = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(similar(overlap, len(one), len(two)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
+
+
 def verified_links(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (a, b) of similar classes that span the components within candidate components."""
-    members = classes.select("cls", "n", "shingles").join(
-        roots.select(F.col("node").alias("cls"), "root"), "cls"
+    """Links (a, b) of similar classes that span the components within candidate components.
+
+    Components that need more than one block are linked by `first_links` before; those that are one
+    component then are done, and in the others blocks know what is linked.
+    """
+    named = roots.select(F.col("node").alias("cls"), "root")
+    sizes = named.join(classes.select("cls", "n"), "cls").groupBy("root").agg(
+        F.count("*").alias("sets"), F.sum("n").alias("total")
     )
-    sizes = roots.select(F.col("node").alias("cls"), "root").join(
-        classes.select("cls", "n"), "cls"
-    ).groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     sizes = sizes.select(
         "root",
         F.greatest(
             F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)
         ).alias("blocks"),
     )
-    members = members.join(sizes, "root")
+    members = stored(named.join(sizes, "root"), "join-members")
+    large = members.where("blocks > 1").select("cls")
+    members, first = members.withColumn("star", F.col("cls")), None
+    if not large.isEmpty():
+        first = stored(first_links(classes.join(large, "cls", "left_semi")), "join-first")
+        stars = components(first).select(F.col("node").alias("cls"), F.col("root").alias("centre"))
+        members = members.join(stars, "cls", "left").withColumn("star", F.coalesce("centre", "star"))
+    several = members.groupBy("root").agg((F.min("star") < F.max("star")).alias("several"))
+    members = members.join(several.where("several").select("root"), "root").join(
+        classes.select("cls", "shingles"), "cls"
+    )
     members = members.withColumn("block", F.expr("pmod(xxhash64(cls), blocks)"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     members = members.select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "cls", "block", "shingles",
+        "cls", "block", "star", "shingles",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def settle() -> pa.RecordBatch:
-            sets = [np.frombuffer(r[2], np.uint64) for r in held]
-            links = spanning_links(sets, [r[1] for r in held]) if len(held) > 1 else []
+            sets = [np.frombuffer(r[3], np.uint64) for r in held]
+            links = []
+            if len(held) > 1:
+                links = spanning_links(sets, [r[1] for r in held], [r[2] for r in held])
             ends = [[held[link[k]][0] for link in links] for k in (0, 1)]
             held.clear()
             return pa.RecordBatch.from_arrays(
@@ -290,19 +344,20 @@ def verified_links(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for root, low, high, cls, block, shingles in zip(*columns):
+            for root, low, high, *row in zip(*columns):
                 if group != (root, low, high):
                     if held:
                         yield settle()
                     group = (root, low, high)
-                held.append((cls, block, shingles))
+                held.append(row)
         if held:
             yield settle()
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(parts, "root", "low", "high")
     dealt = dealt.sortWithinPartitions("root", "low", "high", "cls")
-    return dealt.mapInArrow(run, "a long, b long")
+    links = dealt.mapInArrow(run, "a long, b long")
+    return links if first is None else links.unionByName(first)
 
 
 def _grouped(df: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -101,6 +101,30 @@ def test_spanning_links_equal_all_pairs():
         ]
         found = ngram_join.spanning_links(sets, sides)
         assert span(found) == span(every) and len(found) < 60
+        given = every[::2]
+        known = [min(g) for i in range(60) for g in span(given) if i in g]
+        rest = ngram_join.spanning_links(sets, sides, known)
+        assert span(rest + given) == span(every) and len(rest) < 60
+
+
+def test_copies_are_linked_one_by_one(spark, monkeypatch):
+    """A large group of near copies needs no pairs of blocks; others are still found by them."""
+    rng = random.Random(3)
+    base = rng.choices([f"w{i}" for i in range(1000)], k=150)
+    texts = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(150)] = f"x{i}"
+        texts.append(" ".join(w))
+    chain = [" ".join(base[:5 * k] + [f"y{j}" for j in range(5 * k, 150)]) for k in range(31)]
+    rows = list(enumerate(texts + chain))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    sets = ngram_join.stored(ngram_join.ordered_sets(df.limit(40)), "test-sets")
+    classes = sets.where("shingles IS NOT NULL").selectExpr("doc_id AS cls", "key", "n", "prefix", "shingles")
+    first = ngram_join.first_links(classes).collect()
+    assert len(first) == 39 and len({r.a for r in first}) == 39
+    assert result(ngram_join.join_components(df)) == plain(rows)
 
 
 def test_components_of_links(spark):
