@@ -7,6 +7,7 @@ documents. Between stages the table is written to the shared folder and read aga
 from __future__ import annotations
 
 import os
+import secrets
 
 import public_tokenizers
 from catalog.session import ship
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from layerstack.llm import bpe, curriculum, ngram_join, pii, quality
 from layerstack.llm.common import stored
 
-#: The key of surrogates; set it in the environment for data that leaves the house.
-KEY = os.environ.get("CORPUS_PIPELINE_KEY", "registered queries")
+#: The key of surrogates. Set it in the environment where several runs must give equal surrogates; else
+#: it is drawn for each run of the driver and known to nobody.
+KEY = os.environ.get("CORPUS_PIPELINE_KEY") or secrets.token_hex(32)
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 

@@ -37,10 +37,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again, which cuts its lineage."""
+    """The table written to the shared folder and read again, which cuts its lineage.
+
+    Results that were not yet read may need the files, so they go when the driver ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,9 +7,13 @@ documents share a sample with the probability of their generalised Jaccard simil
 sum(min(w)) / sum(max(w)). A fingerprint is 128 samples of 16 bits, in hex; the share of equal
 samples estimates the similarity (standard error at most 0.045).
 
-The random variables come from a fixed pool of rows, found by a term's hash: a bid is one row of a
-table. Terms of one document that meet in a row bid alike, and the smaller hash wins, which keeps
-the choice consistent between documents.
+The random variables are not drawn for each term: they come from a fixed pool of rows (32,768 for each
+sample), found by a term's hash, so a bid is one row of a table. This departs from the textbook method, as terms
+of one document can meet in a row: they bid alike, and the smaller hash wins, which keeps the choice
+consistent between documents. The collision rate is then that of the weights added up by row, not exactly
+generalised Jaccard similarity: with d terms about d / 32,768 of them meet another (a hundredth at 300
+terms, a seventh at 5,000). Measured on documents of 200 to 2,000 words, estimates are off by 0.012 at
+most on average, beside a standard deviation of 0.035 to 0.05 from 128 samples.
 
 Defined results: a null text is empty; texts without words share one fingerprint, which is like no
 other; a text of one word has that word as its term; words are cut every 32 bytes; rows are kept
