@@ -64,10 +64,53 @@ def test_spans_and_text(spark):
 
 
 def test_parse():
-    known = np.zeros(40, bool)
-    known[[2, 3, 9, 30]] = True
-    assert sd.factors(known, 5) == [(2, 8), (9, 14), (30, 35)]
-    assert sd.factors(np.zeros(0, bool), 5) == []
+    blocks = np.zeros(40, np.uint8)
+    blocks[[2, 3, 9, 30]] = 7
+    assert sd.factors(blocks, 5) == [(2, 8, 7), (9, 14, 7), (30, 35, 7)]
+    blocks[4:6] = 9  # another block has what follows: a factor across the boundary
+    assert sd.factors(blocks, 5) == [(2, 8, 7), (4, 10, 9), (9, 14, 7), (30, 35, 7)]
+    assert sd.spans(sd.factors(blocks, 5)) == [(2, 14), (30, 35)]
+    assert sd.factors(np.zeros(0, np.uint8), 5) == [] == sd.spans([])
+
+
+def plain_factors(rows, size=13):
+    """Windows one after another, each with the block of the first document that has it."""
+    first, docs = {}, [(i, t.split()) for i, t in rows]
+    for i, w in docs:
+        for s in range(len(w) - size + 1):
+            key = tuple(w[s : s + size])
+            first[key] = min(first.get(key, i), i)
+    out = {}
+    for i, w in docs:
+        found = []
+        for s in range(len(w) - size + 1):
+            source = first[tuple(w[s : s + size])]
+            if source < i:
+                block = int(sd.block_of(np.array([source]))[0])
+                if found and found[-1][1] == s + size - 1 and found[-1][2] == block:
+                    found[-1][1] += 1
+                else:
+                    found.append([s, s + size, block])
+        out[i] = [tuple(f) for f in found]
+    return out
+
+
+def test_factors_name_their_block(spark, small_packs):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    passages = [rng.choices(words, k=30) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        body = rng.choices(words, k=10)
+        for p in rng.sample(passages, rng.randrange(4)):
+            cut = rng.randrange(15)
+            body += p[cut:] + rng.choices(words, k=rng.choice([0, 0, 5]))
+        rows.append((i, " ".join(body)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in sd.duplicate_spans(df).collect()}
+    assert got == plain_factors(rows)
+    assert len({f[2] for v in got.values() for f in v}) > 3
+    assert all(end - start >= 13 for v in got.values() for start, end, _ in v)
 
 
 def test_empty(spark):
