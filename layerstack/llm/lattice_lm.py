@@ -48,6 +48,8 @@ from layerstack.llm.common import stored
 HEAD, HEAD_BYTES = 200_000, 64
 #: Entries of a task's partial counts before they are handed on, and documents scored at once.
 PARTIAL, SLICE = 250_000, 500
+#: A line is frequent if it is this part of all lines; there are at most twice as many such lines.
+HOT_LINES = 1000
 #: Weight of the vocabulary's own scores beside the expected counts.
 PRIOR_SHARE = 0.02
 SPACE = b" \t\n\r\x0b\x0c"
@@ -437,7 +439,17 @@ def score(
     share = model.line_share
     by_word = F.col("known") + F.coalesce("tail_p", F.lit(0.0))
     by_word = by_word + F.col("words") * math.log10(1 - share)
-    lines = lines.join(tails, ["key", "at"], "left").join(seen, "line", "left")
+    # Frequent lines get their counts from a broadcast; in the join they are dealt out as if each were another.
+    hot = seen.where(F.col("line_c") >= max(2.0, model.line_mass / HOT_LINES))
+    lines = lines.join(tails, ["key", "at"], "left").join(
+        F.broadcast(hot.withColumnRenamed("line_c", "hot_c")), "line", "left"
+    )
+    lines = lines.withColumn(
+        "by", F.when(F.col("hot_c").isNull(), F.col("line")).otherwise(F.xxhash64("key", "at"))
+    )
+    lines = lines.join(seen.withColumnRenamed("line", "by"), "by", "left").withColumn(
+        "line_c", F.coalesce("hot_c", "line_c")
+    )
     if share > 0:
         whole = F.log10((F.col("line_c") - model.line_discount) * (share / model.line_mass))
         top = F.greatest(whole, by_word)

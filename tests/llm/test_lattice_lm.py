@@ -98,8 +98,9 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("head", [0, 3, 1000])
-def test_scores(spark, head):
+@pytest.mark.parametrize("head,hot", [(0, 1000), (3, 1), (1000, 1000), (1000, 3)])
+def test_scores(spark, monkeypatch, head, hot):
+    monkeypatch.setattr(lm, "HOT_LINES", hot)
     rows = [(i if i != 3 else None, t, "c") for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string")
     model = lm.fit(docs.limit(9).select("doc_id", "text"), PATH, head=head)
