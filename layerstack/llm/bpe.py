@@ -38,7 +38,7 @@ from layerstack.llm.common import index_of, texts_of, with_arrow
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bound of each task's memory of pieces already encoded, and of their length there.
-MOST_PIECES, LONG_PIECE = 500_000, 64
+MOST_PIECES, LONG_PIECE = 300_000, 64
 #: Characters of texts handled together; bytes of a piece that is merged in a row among others; and
 #: cells of such a group of rows.
 GROUP_CHARS, WIDEST, CELLS = 2_000_000, 64, 1 << 19

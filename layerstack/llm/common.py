@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,6 +51,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go() -> None:
+    """Give back to the system what a task no longer needs: its worker lives on, idle or for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """The table without columns that a result is about to add (in any case of letters)."""
     taken = {n.lower() for n in names}
@@ -78,6 +89,7 @@ def with_arrow(
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
         if after:
             after()
+        let_go()
 
     return df.mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerstack.llm.common import WordHashes, gram_hashes, stored
+from layerstack.llm.common import WordHashes, gram_hashes, let_go, stored
 from layerstack.llm.links import components
 from layerstack.llm.packs import Answers, Pack, ask, join_answers, pack, split_words
 
@@ -352,6 +352,7 @@ def verified_links(classes: DataFrame, roots: DataFrame) -> DataFrame:
                 held.append(row)
         if held:
             yield settle()
+        let_go()
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(parts, "root", "low", "high")

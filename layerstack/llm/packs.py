@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layerstack.llm.common import WordHashes, mix64
+from layerstack.llm.common import WordHashes, let_go, mix64
 
 PACK_BYTES, PACK_DOCS = 2_000_000, 20_000
 #: A bucket's entries, if the input's size is known; and the finest cut of the hash range.
@@ -79,6 +79,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
             held.append(batch.slice(start))
         if docs:
             yield row()
+        let_go()
 
     import pyarrow.compute  # noqa: F401  (pa.compute)
 
@@ -164,6 +165,7 @@ def ask(
                     ],
                     names=["pack", "bucket", "hashes", "low", "payload", "digest"],
                 )
+        let_go()
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -203,6 +205,7 @@ def ask(
                 held.append(row)
         if held:
             yield settle()
+        let_go()
 
     sent = packs.mapInArrow(
         send, "pack long, bucket int, hashes binary, low long, payload binary, digest long"
@@ -246,6 +249,8 @@ def join_answers(
         values = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
         digest = sum(r[2] for r in rows) % (1 << 64)
         found = Answers(values, digest - (1 << 64) if digest >> 63 else digest)
-        return pa.Table.from_batches([make(ids, texts, found)])
+        out = pa.Table.from_batches([make(ids, texts, found)])
+        let_go()
+        return out
 
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, schema)
