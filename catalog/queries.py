@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import layerstack as op
 from catalog import oracles as o
@@ -55,6 +56,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: StructType) -> DataFrame:
+    """A file stream of a table that is one parquet file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(schema)
+    if files.exists(where) and files.getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    # A stream starts at a folder, so a single file is picked from the one it lies in.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
@@ -806,10 +819,7 @@ def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of a file stream, written to a table."""
     df = embeddings(spark, sf_dir)
     model = start_model(df, [8, 4], method="regular", **EMBEDDING)
-    stream = (
-        spark.readStream.schema(df.schema).option("pathGlobFilter", "embeddings.parquet")
-        .parquet(sf_dir)
-    )
+    stream = table_stream(spark, sf_dir, "embeddings", df.schema)
     path, checkpoint = scratch(spark, "stream"), scratch(spark, "progress")
     query = score_stream(model, stream, path, checkpoint, ["vec_id"], available_now=True)
     query.awaitTermination()

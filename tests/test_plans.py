@@ -2,11 +2,14 @@
 
 import contextlib
 import io
+import shutil
 
 import pytest
 from fixture_data import DATA
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+from catalog.queries import EMBEDDING, start_model
 from layerstack import StackedAutoencoder, feature_profile
 from layerstack.operators.tables import block_source, pack
 from layerstack.streaming import score_stream
@@ -99,3 +102,18 @@ def test_stream_resumes_with_new_files(spark, embeddings, tmp_path):
     batch = model.score(model.encode(embeddings)).select("vec_id", "code", "loss")
     assert rows.select("vec_id", "code", "loss").exceptAll(batch).count() == 0
     assert rows.agg(F.countDistinct("vec_id")).first()[0] == embeddings.count()
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_stream_of_a_table_in_one_file_or_many(spark, embeddings, tmp_path, folder):
+    """A table may be a file or a folder of files; both are streamed whole."""
+    path = tmp_path / "embeddings.parquet"
+    if folder:
+        embeddings.repartition(3).write.parquet(str(path))
+    else:
+        shutil.copy(f"{DATA}/embeddings.parquet", path)
+    rows = contract.queries()["stream_encode"](spark, str(tmp_path)).collect()
+    batch = start_model(embeddings, [8, 4], method="regular", **EMBEDDING).encode(embeddings)
+    want = {(r.vec_id, i): round(v, 6) for r in batch.collect() for i, v in enumerate(r.code)}
+    assert len(rows) == len(want) == 4 * embeddings.count()
+    assert all(abs(r.a - want[r.vec_id, r.unit]) < 2e-6 for r in rows)
