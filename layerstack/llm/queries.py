@@ -165,7 +165,7 @@ def op5_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    text = html_text.extract(pages)
+    text = html_text.extract(pages, keep=["page_id", "url"])
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

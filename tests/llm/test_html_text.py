@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from layerstack.llm import html_text as ht
@@ -123,3 +124,53 @@ def test_query(spark, llm):
         parts = [" ".join(html.unescape(p).split()) for p in parts]
         assert r.text == "\n\n".join(p for p in parts if p)
         assert r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_suffix_array_is_in_order():
+    rng = np.random.default_rng(4)
+    tokens, host = rng.integers(0, 3, 400).astype(np.uint64), np.repeat([1, 0], [150, 250])
+    for run in (1, 2, 5, 6, 7):
+        order, agrees = ht.suffix_array(tokens, host, run)
+        begin = [(host[i], tokens[i : i + run].tolist()) for i in range(400)]
+        assert order.tolist() == sorted(range(400), key=lambda i: begin[i])
+        assert agrees.tolist() == [k > 0 and begin[order[k]] == begin[order[k - 1]] for k in range(400)]
+
+
+def test_every_page_is_in_the_array_of_its_host(spark):
+    """What a page without a mark shares with the menu of a marked one goes; the marked article stays whole."""
+    menu, body = "Start News Sports Weather Money Travel Contact", "one two three four five six seven eight nine"
+    marked = f"<nav>{menu}</nav><article><p>{body}</p></article>"
+    rows = [
+        (1, "http://a.org/1", marked), (2, "http://a.org/2", f"<div>{menu}</div><div>quite other words here</div>"),
+        (3, "http://b.org/3", f"<div>{menu}</div>"), (4, "http://a.org/4", f"<article>{body}</article>"),
+        (5, None, f"<div>{menu}</div>"), (6, "http://a.org/6", None),
+    ]
+    want = {1: body, 2: "quite other words here", 3: menu, 4: body, 5: menu, 6: ""}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1, ht.PACK_BYTES):
+        out = ht.extract(df, keep=["PAGE_ID"], pack_bytes=most)
+        assert out.columns == ["page_id", "text"]
+        assert {r.page_id: r.text for r in out.collect()} == want
+
+
+def test_hosts_in_several_packs(spark):
+    """A host that is dealt out gives what it gives in one pack, which is what brute force gives."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    lines = [" ".join(rng.choices(words, k=rng.randrange(2, 12))) for _ in range(12)]
+    pages = []
+    for _ in range(40):
+        own = [" ".join(rng.choices(words, k=rng.randrange(1, 14))) for _ in range(3)]
+        pages.append(rng.sample(lines, 3) + own)
+    pages += pages[:6]
+    rows = [(i, "http://a.org/x", "".join(f"<div>{b}</div>" for b in p), [i]) for i, p in enumerate(pages)]
+    want = {}
+    for i, flags in enumerate(plain_repeats(pages)):
+        want[i] = "\n\n".join(ht.unique_blocks(pages[i], np.array(flags)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, more array<int>")
+    # In one task, the copies of a page are told apart from its first one.
+    for frame, most in [(df, 400), (df, 3000), (df.coalesce(1), 400), (df.coalesce(1), 3000), (df, ht.PACK_BYTES)]:
+        got = ht.extract(frame, pack_bytes=most).collect()
+        assert {r.page_id: r.text for r in got} == want
+        assert all(r.more == [r.page_id] and r.html == rows[r.page_id][2] for r in got)
+    assert any(len(t.split("\n\n")) < 6 for t in want.values()) and any(want.values())
